@@ -73,7 +73,11 @@ def bm25(docs: DataFrame, wanted: Sequence[str]) -> DataFrame:
     listed = docs.select("session_id", "ordinal", terms(F.col("text")).alias("__t"))
     sized = listed.withColumn("dl", F.size("__t"))
     totals = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tfs = [F.size(F.filter("__t", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(wanted)]
+
+    def frequency(term: str) -> Column:
+        return F.size(F.filter("__t", lambda x: x == term))
+
+    tfs = [frequency(t).alias(f"tf{i}") for i, t in enumerate(wanted)]
     held = sized.select("session_id", "ordinal", "dl", *tfs)
     dfs = held.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     score = F.lit(0.0)
