@@ -317,7 +317,7 @@ def ancestors(path: Column) -> Column:
 def passage_ref(parts: Column) -> Column:
     """``p1:`` and the URL-safe base64 of the JSON of the parts."""
     raw = F.base64(F.encode(F.to_json(parts), "UTF-8"))
-    return F.concat(F.lit("p1:"), F.rtrim(F.translate(raw, "+/", "-_"), F.lit("=")))
+    return F.concat(F.lit("p1:"), F.rtrim(F.translate(raw, "+/\r\n", "-_"), F.lit("=")))
 
 
 def parse_passage_ref(ref: Column, schema: str) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ["q_sessions", "q_search", "q_text", "q_events", "q_relations"]
+MODULES = ["q_sessions", "q_search", "q_text", "q_events", "q_relations", "q_library"]
 
 
 def queries() -> dict[str, registry.Query]:
