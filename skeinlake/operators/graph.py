@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or one of our own if unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-skeinlake-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir, or one of our own if unset."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-skeinlake-"))
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    """Cut the lineage: write to the shared scratch folder and read back."""
+    path = f"{scratch_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

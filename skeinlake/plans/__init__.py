@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ["q_sessions", "q_search", "q_text", "q_events", "q_relations", "q_library"]
+MODULES = ["q_sessions", "q_search", "q_text", "q_events", "q_relations", "q_library", "q_sources"]
 
 
 def queries() -> dict[str, registry.Query]:
