@@ -75,7 +75,7 @@ def resolve(stats: DataFrame, target: str, also: list[str] = (), exclude: list[s
     where projects live), renamed (parent and name joined by a dash) or worktree.
     """
     t = target.rstrip("/") or "/"
-    base, parent = t.rsplit("/", 1)[-1], (t.rsplit("/", 2) + ["", ""])[-2] if t.count("/") > 1 else ""
+    parent, base = ["", *t.split("/")][-2:]
     generic = base in GENERIC
     cwd = fx.trim_slash(F.col("cwd"))
     out = F.lit(False)
