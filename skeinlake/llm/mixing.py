@@ -9,7 +9,7 @@ The copies then get random positions in one global order.
 
 Edge cases: a null source is a source of its own; a null text has no bytes (a
 source without any bytes keeps each of its documents once); rows that share a
-doc_id draw the same k; an empty table gives an empty result; columns named
+doc_id draw the same k, and stand side by side ordered by a hash of their text; an empty table gives an empty result; columns named
 like those added here are replaced.
 """
 
@@ -131,5 +131,5 @@ def mix(
         .withColumn("__range", F.floor(F.col("__key") * (ranges / float(1 << 52))).cast("int"))
         .withColumn("__all", F.lit(0))
     )
-    order = [F.col("__key"), F.col("doc_id").asc_nulls_first(), F.col("copy")]
+    order = [F.col("__key"), F.col("doc_id").asc_nulls_first(), F.col("copy"), F.xxhash64("text")]
     return common.gapless_rank(keyed, "position", ["__all"], "__range", order).drop("__key", "__all")
