@@ -6,10 +6,10 @@ fingerprints differ in at most ``bits`` bits are linked, and linked documents
 form groups.
 
 Finding the links takes two steps. Fingerprints that differ in 3 bits or fewer
-agree on at least one of 4 blocks of 16 bits, so each distinct fingerprint is
-dealt to 4 groups by the value of a block; a group that is still too large is
-dealt again by 4 blocks of the bits not yet fixed, and so on, which loses no
-link and bounds every group. Inside a task the members of a group are sorted by
+agree on at least one of 4 blocks of 16 bits (5 bits: 6 blocks), so each distinct
+fingerprint is dealt to 4 groups by the value of a block; a group that is still
+too large is dealt again by blocks of the bits not yet fixed, and so on, which
+loses no link and bounds every group. Inside a task the members of a group are sorted by
 Gray rank, so that neighbours share bits, and a tree is built over them: a node
 holds the bits on which all its members agree, and children only the bits that
 their parent does not hold. A query runs down the tree adding up differences and
@@ -30,13 +30,16 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 SEED = 42
 BITS = 3
+#: Near-copies share that part of their shingles of so many words.
+SIMILARITY = 0.8
+SHINGLE = 5
 #: Members of a group beyond which it is dealt again.
 GROUP_LIMIT = 2048
 #: Children of a tree node, and pairs of query and member looked at in one go.
@@ -178,23 +181,23 @@ class GrayIndex:
         return query[later], node[later]
 
 
-def _split_bits(mask: int) -> list[int]:
-    """``mask`` extended by each of 4 blocks of the bits it lacks."""
+def _split_bits(mask: int, bits: int) -> list[int]:
+    """``mask`` extended by each of ``bits`` + 1 blocks of the bits it lacks."""
     free = [b for b in range(64) if not mask >> b & 1]
-    cuts = [round(i * len(free) / (BITS + 1)) for i in range(BITS + 2)]
-    return [mask | sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(BITS + 1)]
+    cuts = [round(i * len(free) / (bits + 1)) for i in range(bits + 2)]
+    return [mask | sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(bits + 1)]
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def deal(codes: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def deal(codes: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> DataFrame:
     """(mask, value, fp): the groups in which links are looked for."""
     spark = codes.sparkSession
-    top = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("value")) for m in _split_bits(0)])
+    top = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("value")) for m in _split_bits(0, bits)])
     open_groups = codes.select("fp", F.explode(top).alias("g")).select("g.mask", "g.value", "fp")
-    masks, settled = _split_bits(0), None
+    masks, settled = _split_bits(0, bits), None
     while True:
         open_groups = common.materialise(open_groups, "simhash-groups")
         large = open_groups.groupBy("mask", "value").count().filter(F.col("count") > limit)
@@ -204,7 +207,7 @@ def deal(codes: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
         settled = small if settled is None else settled.unionByName(small)
         if none:
             return settled
-        finer = [(_signed(m), _signed(x)) for m in set(masks) for x in _split_bits(m)]
+        finer = [(_signed(m), _signed(x)) for m in set(masks) for x in _split_bits(m, bits)]
         masks = [x & ALL_BITS for _, x in finer]
         children = F.broadcast(spark.createDataFrame(finer, "mask long, child long"))
         open_groups = (
@@ -216,9 +219,6 @@ def deal(codes: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
 
 def links(codes: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> DataFrame:
     """(u, v), u > v: enough links between distinct fingerprints to join each group."""
-    if bits > BITS:
-        raise ValueError(f"blocks are dealt for {BITS} bits at most")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -234,7 +234,7 @@ def links(codes: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> DataF
             [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"]
         )
 
-    groups = deal(codes, limit)
+    groups = deal(codes, bits, limit)
     parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return groups.repartition(parts, "mask", "value").mapInArrow(run, "u long, v long").filter("u <> v").distinct()
 
@@ -286,13 +286,47 @@ def groups(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, bits: int = BITS) -> DataFrame:
-    """The documents without those of a group whose doc_id isn't the group's smallest.
+def _shingle_hashes(text: Column) -> Column:
+    """Distinct hashes of the five-word shingles; a shorter text is one shingle."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = F.least(F.size(words), F.lit(SHINGLE))
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))
+
 
-    Rows with a null doc_id can't be told apart and stay; so do repeats of the
-    smallest doc_id.
+def copies(docs: DataFrame, words: int, bits: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(__copy): documents that repeat the document with the smallest id of their group.
+
+    The groups are the candidates. A member goes if its text is that document's or
+    shares so many five-word shingles with it: their Jaccard similarity decides.
     """
     found = groups(docs, words, bits)
-    copies = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__copy"))
-    copies = common.materialise(copies.distinct(), "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
+    members = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("component_id").alias("first"))
+    members = common.materialise(members.distinct(), "members")
+    known = docs.filter(F.col("doc_id").isNotNull())
+    texts = known.select("doc_id", F.xxhash64("text").alias("digest"), F.octet_length("text").alias("size"))
+    firsts = texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("first"), F.col("digest").alias("d"), F.col("size").alias("s"))
+    firsts = common.materialise(firsts.join(members.select("first").distinct(), "first", "left_semi"), "firsts")
+    compared = common.materialise(members.join(texts, "doc_id").join(firsts, "first"), "compared")
+    same = F.col("digest").eqNullSafe(F.col("d")) & F.col("size").eqNullSafe(F.col("s"))
+    rest = compared.filter(~same).select("doc_id", "first").distinct()
+    own = known.select("doc_id", "text").join(rest, "doc_id").select("first", "doc_id", _shingle_hashes(F.col("text")).alias("a"))
+    other = known.select(F.col("doc_id").alias("first"), "text").join(rest.select("first").distinct(), "first", "left_semi")
+    other = other.select("first", _shingle_hashes(F.col("text")).alias("b")).dropDuplicates(["first"])
+    shared = F.size(F.array_intersect("a", "b"))
+    near = own.join(common.materialise(other, "first-shingles"), "first").filter(
+        (shared > 0) & (shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9)
+    )
+    gone = compared.filter(same).select("doc_id").unionByName(near.select("doc_id"))
+    return common.materialise(gone.distinct().select(F.col("doc_id").alias("__copy")), "copies")
+
+
+def deduplicate(docs: DataFrame, words: int = 2, bits: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without those that repeat the first one of their group.
+
+    Fingerprints of word pairs with a wide limit find more near-copies than those of
+    longer shingles; what they find is checked on shingles of five words. Rows with a
+    null doc_id can't be told apart and stay; so do repeats of a document that is first.
+    """
+    gone = copies(docs, words, bits, similarity)
+    return docs.join(gone, F.col("doc_id") == F.col("__copy"), "left_anti")

@@ -304,7 +304,7 @@ def test_sharding_odd_input(spark, odd):
 # --- 6 SimHash -------------------------------------------------------------------------------------
 
 
-def brute_groups(prints):
+def brute_groups(prints, bits=3):
     label = {d: d for d, _ in prints}
 
     def root(d):
@@ -314,7 +314,7 @@ def brute_groups(prints):
 
     for i, (a, x) in enumerate(prints):
         for b, y in prints[:i]:
-            if bin(x ^ y).count("1") <= 3:
+            if bin(x ^ y).count("1") <= bits:
                 r, s = sorted((root(a), root(b)))
                 label[s] = r
     return {d: root(d) for d, _ in prints}
@@ -332,8 +332,8 @@ def test_fingerprint_by_hand():
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
 
 
-@pytest.mark.parametrize("limit", [8, 2048])
-def test_links_like_brute_force(spark, limit):
+@pytest.mark.parametrize("limit, bits", [(8, 3), (2048, 3), (2048, 5)])
+def test_links_like_brute_force(spark, limit, bits):
     """Clusters, chains and random codes; a small limit makes groups be dealt again and again."""
     rng = np.random.default_rng(3)
     codes = [int(c) for c in rng.integers(0, 2**63, 150, dtype=np.uint64) * 2 + 1]
@@ -345,8 +345,8 @@ def test_links_like_brute_force(spark, limit):
             codes.append(c)
     codes = sorted(set(codes))
     signed = [(simhash._signed(c),) for c in codes]
-    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame(signed, "fp bigint"), 3, limit)).collect()}
-    want = brute_groups(list(enumerate(codes)))
+    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame(signed, "fp bigint"), bits, limit)).collect()}
+    want = brute_groups(list(enumerate(codes)), bits)
     mine = defaultdict(set)
     for i, (s,) in enumerate(signed):
         mine[roots.get(s, s)].add(i)
@@ -540,8 +540,17 @@ def test_pipeline_stages(spark, local):
     good, single, clean, mixed, placed = kept[1:]
     fine = [d for d in local if labels.get(d) == 1]
     assert all(labels.get(d) != 0 for d in good) and sum(d in good for d in fine) > 0.9 * len(fine)
-    roots = brute_groups([(d, simhash.fingerprint(local[d], 5)) for d in sorted(good)])
-    assert single == set(roots.values())
+    roots = brute_groups([(d, simhash.fingerprint(local[d], 2)) for d in sorted(good)], 5)
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def repeats(d):
+        a, b = shingles(local[d]), shingles(local[roots[d]])
+        return d != roots[d] and len(a & b) >= 0.8 * len(a | b)
+
+    assert single == {d for d in good if not repeats(d)} and len(single) < len(good)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert clean == single - {d for d, _ in brute_containment([(d, local[d]) for d in single], items)}
     assert mixed <= clean and placed == mixed
