@@ -59,6 +59,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lowest_by_hash(df: DataFrame, cols: list[str], rows: int, limit: int) -> DataFrame:
+    """The ``limit`` rows with the smallest hash of ``cols``, of a frame of ``rows`` rows.
+
+    The hash first thins the rows to about twice as many as are wanted, so that no
+    task hands on ``limit`` rows of its own however many tasks there are.
+    """
+    buckets = 1 << 30
+    kept = min(buckets, (2 * limit + 100) * buckets // max(1, rows))
+    thin = df.filter(F.pmod(F.xxhash64(*cols), F.lit(buckets)) < kept)
+    return thin.orderBy(F.pmod(F.xxhash64(*cols), F.lit(buckets)), *cols).limit(limit)
+
+
+def most_frequent(counts: DataFrame, col: str, limit: int) -> DataFrame:
+    """The rows whose ``col``, a positive count, is so high that ``limit`` rows at most are as high.
+
+    A histogram over sixteenths of powers of two finds the cut, so only rows above
+    it leave their tasks. Equal counts stay together.
+    """
+    step = F.floor(F.log2(col) * 16).cast("int")
+    found = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    cut, held = None, 0
+    for row in sorted(found, key=lambda r: -r.step):
+        held += row.n
+        if held > limit:
+            break
+        cut = row.step
+    return counts.limit(0) if cut is None else counts.filter(step >= cut)
+
+
 def hex52(*parts: Column | str) -> Column:
     """A uniform number in [0, 2^52) from the MD5 of the joined parts.
 
