@@ -43,6 +43,7 @@ CANDIDATE = re.compile(f"{QUOTED}|{LONG}")
 #: Names that secrets are assigned to, in part.
 SECRET_NAMES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "private_key", "auth", "credential")
 ASSIGNMENT = re.compile(r"([A-Za-z_][A-Za-z0-9_\-]*)\s?[:=]\s?[\"']?$")
+#: Words of the dictionary, at most.
 DICTIONARY = 5000
 PER_CLASS = 2000
 TREES = 25
@@ -89,8 +90,8 @@ def lexicon(docs: DataFrame) -> Lexicon:
     """The most frequent words of all documents."""
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0))
     counts = docs.filter(F.col("text").isNotNull()).select(F.explode(found).alias("w")).groupBy("w").count()
-    top = counts.orderBy(F.col("count").desc(), "w").limit(DICTIONARY).collect()
-    return Lexicon.learn([(r.w, r["count"]) for r in top])
+    top = common.most_frequent(common.materialise(counts, "secret-words"), "count", DICTIONARY).collect()
+    return Lexicon.learn(sorted((r.w, r["count"]) for r in top))
 
 
 def assigned_name(before: str) -> str | None:
@@ -246,8 +247,8 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Forest:
         return Forest([], prior)
     rows = []
     for label in (0, 1):
-        one = labelled.filter(F.col("label") == label)
-        rows += one.orderBy(F.xxhash64("features"), "features").limit(per_class).collect()
+        one = labelled.filter(F.col("label") == label).select("features", "label")
+        rows += common.lowest_by_hash(one, ["features"], sizes[label], per_class).collect()
     x = np.array([r.features for r in rows])
     y = np.array([r.label for r in rows], float)
     trees = []
