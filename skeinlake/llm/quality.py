@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 PER_CLASS = 1500
 DIMENSIONS = 48
 NEIGHBOURS = 15
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensio
     sizes = dict(usable.groupBy("quality").count().collect())
     picked = None
     for label in sorted(sizes):
-        one = usable.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        one = common.lowest_by_hash(usable.filter(F.col("quality") == label), ["doc_id"], sizes[label], per_class)
         picked = one if picked is None else picked.unionByName(one)
     if picked is None:
         return Model(np.zeros(N_PAIRS), np.zeros((N_TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)

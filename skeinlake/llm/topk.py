@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from . import common
+
 K = 5
 SCALE = 256
 PIVOTS = 16
@@ -126,7 +128,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     queries = rows.filter(is_query)
     query_blocks = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
     sample: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect():
+    for r in common.lowest_by_hash(rows, ["vec_id"], n, PIVOT_SAMPLE).collect():
         sample.setdefault(r.d, []).append(r.v)
     pivots = {d: choose_pivots(np.array(v, np.float64)) for d, v in sample.items()}
 
