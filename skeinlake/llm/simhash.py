@@ -286,9 +286,12 @@ def groups(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _shingle_hashes(text: Column) -> Column:
-    """Distinct hashes of the five-word shingles; a shorter text is one shingle."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+
+def _shingle_hashes(words: str) -> Column:
+    """Distinct hashes of the five-word shingles of a column of words; fewer words are one shingle."""
     n = F.least(F.size(words), F.lit(SHINGLE))
     starts = F.when(n > 0, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))
@@ -310,9 +313,11 @@ def copies(docs: DataFrame, words: int, bits: int, similarity: float = SIMILARIT
     compared = common.materialise(members.join(texts, "doc_id").join(firsts, "first"), "compared")
     same = F.col("digest").eqNullSafe(F.col("d")) & F.col("size").eqNullSafe(F.col("s"))
     rest = compared.filter(~same).select("doc_id", "first").distinct()
-    own = known.select("doc_id", "text").join(rest, "doc_id").select("first", "doc_id", _shingle_hashes(F.col("text")).alias("a"))
+    own = known.select("doc_id", "text").join(rest, "doc_id").select("first", "doc_id", _words(F.col("text")).alias("w"))
+    own = own.select("first", "doc_id", _shingle_hashes("w").alias("a"))
     other = known.select(F.col("doc_id").alias("first"), "text").join(rest.select("first").distinct(), "first", "left_semi")
-    other = other.select("first", _shingle_hashes(F.col("text")).alias("b")).dropDuplicates(["first"])
+    other = other.select("first", _words(F.col("text")).alias("w")).select("first", _shingle_hashes("w").alias("b"))
+    other = other.dropDuplicates(["first"])
     shared = F.size(F.array_intersect("a", "b"))
     near = own.join(common.materialise(other, "first-shingles"), "first").filter(
         (shared > 0) & (shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9)
