@@ -44,6 +44,8 @@ SHINGLE = 5
 GROUP_LIMIT = 2048
 #: Children of a tree node, and pairs of query and member looked at in one go.
 FANOUT = 8
+#: Rows of a table of ids up to which it is broadcast rather than texts shuffled.
+MAX_BROADCAST_ROWS = 500_000
 PAIRS_AT_ONCE = 2_000_000
 HASHES_AT_ONCE = 1 << 16
 ALL_BITS = (1 << 64) - 1
@@ -312,10 +314,11 @@ def copies(docs: DataFrame, words: int, bits: int, similarity: float = SIMILARIT
     firsts = common.materialise(firsts.join(members.select("first").distinct(), "first", "left_semi"), "firsts")
     compared = common.materialise(members.join(texts, "doc_id").join(firsts, "first"), "compared")
     same = F.col("digest").eqNullSafe(F.col("d")) & F.col("size").eqNullSafe(F.col("s"))
-    rest = compared.filter(~same).select("doc_id", "first").distinct()
+    rest, _ = common.small_side(compared.filter(~same).select("doc_id", "first").distinct(), MAX_BROADCAST_ROWS, "rest")
+    heads, _ = common.small_side(rest.select("first").distinct(), MAX_BROADCAST_ROWS, "heads")
     own = known.select("doc_id", "text").join(rest, "doc_id").select("first", "doc_id", _words(F.col("text")).alias("w"))
     own = own.select("first", "doc_id", _shingle_hashes("w").alias("a"))
-    other = known.select(F.col("doc_id").alias("first"), "text").join(rest.select("first").distinct(), "first", "left_semi")
+    other = known.select(F.col("doc_id").alias("first"), "text").join(heads, "first", "left_semi")
     other = other.select("first", _words(F.col("text")).alias("w")).select("first", _shingle_hashes("w").alias("b"))
     other = other.dropDuplicates(["first"])
     shared = F.size(F.array_intersect("a", "b"))
@@ -323,7 +326,7 @@ def copies(docs: DataFrame, words: int, bits: int, similarity: float = SIMILARIT
         (shared > 0) & (shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9)
     )
     gone = compared.filter(same).select("doc_id").unionByName(near.select("doc_id"))
-    return common.materialise(gone.distinct().select(F.col("doc_id").alias("__copy")), "copies")
+    return common.small_side(gone.distinct().select(F.col("doc_id").alias("__copy")), MAX_BROADCAST_ROWS, "copies")[0]
 
 
 def deduplicate(docs: DataFrame, words: int = 2, bits: int = 5, similarity: float = SIMILARITY) -> DataFrame:
