@@ -299,42 +299,84 @@ def _shingle_hashes(words: str) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of texts that share so many shingles."""
+    left = sets.select(F.col("t").alias("u"), F.col("a"))
+    right = sets.select(F.col("t").alias("v"), F.col("a").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    enough = (shared > 0) & (shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9)
+    return pairs.join(left, "u").join(right, "v").filter(enough).select("u", "v")
+
+
+def similar_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v), u > v: links that join all texts of a component that are so similar.
+
+    ``sets`` has (t, comp, a): a text, its component, its distinct shingles. With the shingles of
+    each text in order of rarity, two similar texts share one of the first ones (as many as may
+    differ, and one more), so only texts that meet in such a bucket are compared: first each
+    with the smallest of its bucket, then all that are not yet joined. No link that matters is left out.
+    """
+    each = sets.select("t", "comp", F.size("a").alias("n"), F.explode("a").alias("h"))
+    often = each.groupBy("comp", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    held = each.join(often, ["comp", "h"]).groupBy("t", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))
+    first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1
+    free = first - (F.col("n") - F.size("s"))  # shingles of no other text come first
+    buckets = held.withColumn("free", free).filter("free > 0").select("t", "comp", "n", F.explode(F.slice("s", 1, F.col("free"))).alias("e"))
+    buckets = common.materialise(buckets.select("t", "comp", "n", F.col("e.h").alias("h")), "buckets")
+    heads = buckets.groupBy("comp", "h").agg(F.min("t").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    to_heads = buckets.join(heads, ["comp", "h"]).filter("t <> v").select(F.col("t").alias("u"), "v").distinct()
+    joined = common.materialise(_similar(to_heads, sets, similarity), "to-heads")
+    label = joined.groupBy(F.col("u").alias("t")).agg(F.min("v").alias("label"))
+    buckets = buckets.join(label, "t", "left").withColumn("label", F.coalesce("label", "t"))
+    buckets = common.materialise(buckets, "labelled")
+    most = buckets.groupBy("comp", "h").agg(F.min("label").alias("most"), F.max("label").alias("other")).filter("most <> other")
+    open_ones = common.materialise(buckets.join(most.drop("other"), ["comp", "h"]), "open-buckets")
+    rest = open_ones.filter("label <> most").select("comp", "h", F.col("t").alias("x"), F.col("n").alias("m"), F.col("label").alias("own"))
+    near = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    pairs = open_ones.join(rest, ["comp", "h"]).filter((F.col("label") != F.col("own")) & near)
+    pairs = pairs.select(F.greatest("t", "x").alias("u"), F.least("t", "x").alias("v")).distinct()
+    return joined.unionByName(_similar(pairs, sets, similarity)).distinct()
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the digest of the text in doc_id: rows of one id may hold several texts."""
+    digest = F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
+    return docs.filter(F.col("doc_id").isNotNull()).select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
+
+
 def copies(docs: DataFrame, words: int, bits: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(__copy): documents that repeat the document with the smallest id of their group.
+    """(__copy, __digest): ids, with their texts, that repeat a document of a smaller id.
 
-    The groups are the candidates. A member goes if its text is that document's or
-    shares so many five-word shingles with it: their Jaccard similarity decides.
+    Of equal texts the smallest id stays, whatever their component. Distinct texts of a component
+    of fingerprints are candidates; those that share so many five-word shingles (by their
+    Jaccard similarity) are linked, and of linked texts the smallest id stays.
     """
-    found = groups(docs, words, bits)
-    members = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("component_id").alias("first"))
-    members = common.materialise(members.distinct(), "members")
-    known = docs.filter(F.col("doc_id").isNotNull())
-    texts = known.select("doc_id", F.xxhash64("text").alias("digest"), F.octet_length("text").alias("size"))
-    firsts = texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("first"), F.col("digest").alias("d"), F.col("size").alias("s"))
-    firsts = common.materialise(firsts.join(members.select("first").distinct(), "first", "left_semi"), "firsts")
-    compared = common.materialise(members.join(texts, "doc_id").join(firsts, "first"), "compared")
-    same = F.col("digest").eqNullSafe(F.col("d")) & F.col("size").eqNullSafe(F.col("s"))
-    rest, _ = common.small_side(compared.filter(~same).select("doc_id", "first").distinct(), MAX_BROADCAST_ROWS, "rest")
-    heads, _ = common.small_side(rest.select("first").distinct(), MAX_BROADCAST_ROWS, "heads")
-    own = known.select("doc_id", "text").join(rest, "doc_id").select("first", "doc_id", _words(F.col("text")).alias("w"))
-    own = own.select("first", "doc_id", _shingle_hashes("w").alias("a"))
-    other = known.select(F.col("doc_id").alias("first"), "text").join(heads, "first", "left_semi")
-    other = other.select("first", _words(F.col("text")).alias("w")).select("first", _shingle_hashes("w").alias("b"))
-    other = other.dropDuplicates(["first"])
-    shared = F.size(F.array_intersect("a", "b"))
-    near = own.join(common.materialise(other, "first-shingles"), "first").filter(
-        (shared > 0) & (shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9)
+    named = _named(docs)
+    prints = common.materialise(fingerprints(named, words), "fingerprints").select("doc_id.*", "fp")
+    firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"))
+    firsts = common.materialise(firsts, "texts")
+    equal = prints.join(firsts.select("digest", "first"), "digest").filter("doc_id <> first").select("doc_id", "digest")
+    roots = components(links(firsts.select("fp").distinct(), bits))
+    placed = firsts.join(roots, firsts.fp == roots.node, "left").select(
+        F.struct(F.col("first").alias("doc_id"), "digest").alias("t"), F.coalesce("root", "fp").alias("comp")
     )
-    gone = compared.filter(same).select("doc_id").unionByName(near.select("doc_id"))
-    return common.small_side(gone.distinct().select(F.col("doc_id").alias("__copy")), MAX_BROADCAST_ROWS, "copies")[0]
+    placed = common.materialise(placed, "placed")
+    several = placed.groupBy("comp").count().filter("count > 1").select("comp")
+    candidates, _ = common.small_side(placed.join(several, "comp"), MAX_BROADCAST_ROWS, "candidates")
+    sets = named.join(candidates, F.col("doc_id") == F.col("t")).select("t", "comp", _words(F.col("text")).alias("w"))
+    sets = common.materialise(sets.select("t", "comp", _shingle_hashes("w").alias("a")).dropDuplicates(["t"]), "shingles")
+    near = components(similar_links(sets, similarity)).filter("node <> root").select("node.*")
+    gone = equal.unionByName(near).distinct().select(F.col("doc_id").alias("__copy"), F.col("digest").alias("__digest"))
+    return common.small_side(gone, MAX_BROADCAST_ROWS, "copies")[0]
 
 
 def deduplicate(docs: DataFrame, words: int = 2, bits: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without those that repeat the first one of their group.
+    """The documents without those that repeat one of a smaller id.
 
     Fingerprints of word pairs with a wide limit find more near-copies than those of
     longer shingles; what they find is checked on shingles of five words. Rows with a
-    null doc_id can't be told apart and stay; so do repeats of a document that is first.
+    null doc_id can't be told apart and stay; so do repeats of a document that stays.
     """
     gone = copies(docs, words, bits, similarity)
-    return docs.join(gone, F.col("doc_id") == F.col("__copy"), "left_anti")
+    digest = F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
+    return docs.join(gone, (F.col("doc_id") == F.col("__copy")) & (digest == F.col("__digest")), "left_anti")

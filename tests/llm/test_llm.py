@@ -558,6 +558,47 @@ def test_pipeline_stages(spark, local):
     assert rows(again.toPandas()) == rows(frame.toPandas())
 
 
+def test_copies_in_a_chained_component(spark):
+    """The component's smallest document is unlike the others; of equal and of similar texts one stays all the same."""
+    rng = np.random.default_rng(4)
+    words = [[f"w{x}" for x in rng.integers(0, 5000, 60)] for _ in range(4)]
+    unlike, a, b, c = (" ".join(w) for w in words)
+    chain = [" ".join(words[3][:60] + [f"x{i}" for i in range(k)]) for k in (4, 8, 12, 16)]  # each like the next, the ends less so
+    data = [(0, unlike), (1, a), (2, a), (3, a), (4, a + " more"), (5, b), (6, f"say {b}"), (7, f"say {b}"), (8, c), *enumerate(chain, 9)]
+    data += [(20, None), (21, None), (22, ""), (None, a), (1, unlike + " and other words"), (1, a)]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in data], DOCS)
+    got = simhash.deduplicate(frame, bits=40)
+    assert simhash.groups(frame.filter("doc_id < 13"), 2, 40).select("component_id").distinct().count() == 1
+    assert sorted(((r.doc_id is None, r.doc_id or 0) for r in got.collect())) == [(False, i) for i in (0, 1, 1, 5, 8, 20, 22)] + [(True, 0)]
+
+
+def brute_similar(sets):
+    root = {t: t for t in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return {t: top(t) for t in sets}
+
+
+def test_similar_links_like_brute_force(spark):
+    rng = np.random.default_rng(6)
+    sets = {}
+    for i in range(240):
+        base = set(range(1000 * (i % 6), 1000 * (i % 6) + 40)) | set(range(9000, 9005))
+        sets[i] = (base - set(rng.choice(sorted(base), 3, replace=False).tolist())) | {int(x) for x in rng.integers(10**6, 10**9, int(rng.integers(0, 9)))}
+    frame = spark.createDataFrame([(t, 0, sorted(s)) for t, s in sets.items()], "t long, comp long, a array<long>")
+    found = {r.node: r.root for r in simhash.components(simhash.similar_links(frame)).collect()}
+    assert {t: found.get(t, t) for t in sets} == brute_similar(sets)
+
+
 def test_mixing_is_repeatable(spark, docs):
     """Counts of copies don't depend on how the rows are dealt."""
     a, b = mixing.mix(docs).select("doc_id", "copy", "position"), mixing.mix(docs.repartition(7)).select("doc_id", "copy", "position")
