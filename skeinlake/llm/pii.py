@@ -13,9 +13,9 @@ itself. With p(t) the chance that a random window holds the term,
 A disclosure of 1 means that seeing the term is as good as seeing the entity.
 Terms at or above ``remove_at`` are removed, those at or above ``generalise_at``
 are replaced by what kind of word they are. Term counts cover every word of
-every document. Co-occurrence is counted over distinct texts (a text that is
-copied a thousand times is one piece of evidence) and needs ``support`` distinct
-contexts, as one joint occurrence says nothing about dependence.
+every document, and so do contexts and joint occurrences: each copy of a text and
+each document with the same words around an entity counts. A pair needs ``support``
+documents, as one joint occurrence says nothing about dependence.
 
 Edge cases: null texts count as empty; empty texts have no spans; rows are
 independent of their doc_id, so null or repeated ids get a row each; equal texts
@@ -189,19 +189,27 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def disclosure(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, joint, contexts, n, disclosure) for pairs with enough support."""
-    texts = found.filter(F.col("__key").isNotNull()).select("__key", "__near").dropDuplicates(["__key"])
-    contexts = texts.select(F.explode("__near").alias("c")).select(
+    """(entity, term, joint, contexts, n, disclosure) for pairs with enough support.
+
+    Everything is counted over all documents: contexts of equal texts count as often as the text.
+    """
+    texts = found.filter(F.col("__key").isNotNull()).groupBy("__key").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("__near").alias("__near")
+    )
+    contexts = texts.select("__key", "copies", F.explode("__near").alias("c")).select(
+        "__key",
+        "copies",
         F.col("c.entity").alias("entity"),
-        F.array_sort(F.array_distinct(F.transform("c.terms", lambda t: t["term"]))).alias("terms"),
+        F.array_distinct(F.transform("c.terms", lambda t: t["term"])).alias("terms"),
     )
-    contexts = contexts.groupBy("entity", "terms").agg(F.count(F.lit(1)).alias("seen"))
-    per_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("contexts"))
+    per_entity = contexts.groupBy("entity").agg(F.sum("copies").alias("contexts"))
+    in_text = contexts.select("__key", "copies", "entity", F.explode("terms").alias("term"))
+    in_text = in_text.groupBy("__key", "copies", "entity", "term").agg(F.count(F.lit(1)).alias("times"))
     joint = (
-        contexts.select("entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("joint"))
-        .filter(F.col("joint") >= support)
+        in_text.groupBy("entity", "term")
+        .agg(F.sum(F.col("copies") * F.col("times")).alias("joint"), F.sum("copies").alias("documents"))
+        .filter(F.col("documents") >= support)
+        .drop("documents")
     )
     joint, _ = common.small_side(joint, MAX_BROADCAST_ROWS, "pii-joint")
     counts = common.materialise(term_counts(docs), "pii-terms")

@@ -205,6 +205,19 @@ def test_revealing_terms(spark):
     assert clean[100] == texts[100]
 
 
+def test_same_windows_in_different_documents_are_evidence(spark):
+    """A signature of unlike documents counts once for each, and so does each copy of a text."""
+    sign = "-" * 80 + " regards zyxwv mail a@b.cd " + "-" * 80
+    data = [(i, f"text number{i} {sign} end{i}", "en", "a", 1) for i in range(5)]
+    data += [(10 + i, "other words qponm e@f.gh here", "en", "a", 1) for i in range(4)]
+    data += [(20, "once lkjih i@j.kl and lkjih i@j.kl and lkjih i@j.kl", "en", "a", 1)]
+    frame = spark.createDataFrame(data, DOCS)
+    got = {(r.entity, r.term): r for r in pii.disclosure(frame, pii.detect(frame)).collect()}
+    assert [got["0:a@b.cd", "zyxwv"][k] for k in ("joint", "contexts", "n")] == [5, 5, 5]
+    assert [got["0:e@f.gh", "qponm"][k] for k in ("joint", "contexts", "n")] == [4, 4, 4]
+    assert ("0:i@j.kl", "lkjih") not in got
+
+
 def test_pii_odd_input(spark, odd):
     got = pii.report(odd)
     assert got.count() == odd.count()
