@@ -9,8 +9,9 @@ words beside it.
 
 The forest learns from labelled findings, ``per_class`` of each label at most, those
 with the smallest hash. Findings may be given; else ``weak_labels`` derives them
-from the documents: a value that is assigned to a name for secrets is one, any
-other candidate is not. The dictionary and the transitions come from the word
+from the documents: a value that is assigned to a name for secrets, or has the form of a
+known kind of key, is one; numbers, UUIDs, words joined by separators and values after a word for
+digests and versions are not; all others stay unlabelled. The rules are no features. The dictionary and the transitions come from the word
 counts of all documents.
 
 Edge cases: null and empty texts have no candidates; a null doc_id or source is
@@ -37,12 +38,22 @@ from pyspark.sql import functions as F
 from . import common
 
 LONG = r"[A-Za-z0-9+/_=\-]{16,}"
-ASSIGNED = r"[A-Za-z_][A-Za-z0-9_\-]*\s?[:=]\s?[\"'][^\"'\s]{8,}[\"']"
+ASSIGNED = r"[A-Za-z_][A-Za-z0-9_\-]*[\"']?\s?[:=]\s?[\"'][^\"'\s]{8,}[\"']"
 QUOTED = r"(?:(?<=[:=][\"'])|(?<=[:=]\s[\"']))[^\"'\s]{8,}(?=[\"'])"
 CANDIDATE = re.compile(f"{QUOTED}|{LONG}")
 #: Names that secrets are assigned to, in part.
 SECRET_NAMES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "private_key", "auth", "credential")
-ASSIGNMENT = re.compile(r"([A-Za-z_][A-Za-z0-9_\-]*)\s?[:=]\s?[\"']?$")
+ASSIGNMENT = re.compile(r"([A-Za-z_][A-Za-z0-9_\-]*)[\"']?\s?[:=]\s?[\"']?$")
+#: How keys of known services look, alone or at the end of a longer run.
+KEY = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|sk-[A-Za-z0-9_\-]{20,}"
+    r"|[sr]k_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|glpat-[A-Za-z0-9_\-]{20,})(?![A-Za-z0-9])"
+)
+#: Words before what is no secret, and its forms: numbers, UUIDs, joined words.
+PLAIN_NAMES = frozenset("commit sha sha1 sha256 md5 hash digest checksum revision rev uuid guid etag version build".split())
+PLAIN = re.compile(
+    r"[0-9\-]+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[/_=\-]*[A-Za-z]{2,}(?:[/_=\-]+(?:[A-Za-z]{2,}|[0-9]{1,4}))+[/_=\-]*"
+)
 #: Words of the dictionary, at most.
 DICTIONARY = 5000
 PER_CLASS = 2000
@@ -50,7 +61,7 @@ TREES = 25
 DEPTH = 7
 LEAF = 4
 CUTS = 16
-N_FEATURES = 20
+N_FEATURES = 17
 THRESHOLD = 0.5
 ALPHABET = 38
 
@@ -100,6 +111,16 @@ def assigned_name(before: str) -> str | None:
     return found[1].lower() if found else None
 
 
+def weak_label(value: str, before: str) -> int | None:
+    """1: a secret, 0: none, by rules that look at names and forms; None if none of them holds."""
+    name = assigned_name(before)
+    if KEY.search(value) or name and any(s in name for s in SECRET_NAMES):
+        return 1
+    words = re.findall(r"[A-Za-z0-9_]+", before)
+    near = name or (words[-1].lower() if words else "")
+    return 0 if near in PLAIN_NAMES or PLAIN.fullmatch(value) else None
+
+
 def features(value: str, before: str, after: str, source: str | None, known: Lexicon) -> list[float]:
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
@@ -109,7 +130,6 @@ def features(value: str, before: str, after: str, source: str | None, known: Lex
     move = float(np.mean(known.moves[at[:-1], at[1:]])) if n > 1 else 0.0
     words = before.split()
     last = re.sub(r"[^A-Za-z_\-]", "", words[-1]).lower() if words else ""
-    name = assigned_name(before)
     nextw = after.split()
     return [
         n,
@@ -123,10 +143,7 @@ def features(value: str, before: str, after: str, source: str | None, known: Lex
         move,
         known.coverage(value),
         float(all(c in "0123456789abcdefABCDEF" for c in value)),
-        float(share["d"] == n),
         zlib.crc32((source or "").encode()) % 64,
-        float(name is not None),
-        float(bool(name) and any(s in name for s in SECRET_NAMES)),
         float(before[-1:] in ("'", '"') and before != ""),
         float(after[:1] in ("'", '"') and after != ""),
         len(last),
@@ -164,7 +181,7 @@ def findings(docs: DataFrame) -> DataFrame:
                             m.end(),
                             hashlib.sha256(value.encode()).hexdigest(),
                             features(value, before, after, batch.column(1)[i].as_py(), words),
-                            int(bool(name) and any(s in name for s in SECRET_NAMES)),
+                            weak_label(value, before),
                         )
                     )
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -260,7 +277,7 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Forest:
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "features", F.col("weak").alias("label"))
+    return found.filter(F.col("weak").isNotNull()).select("doc_id", "features", F.col("weak").alias("label"))
 
 
 def judge(found: DataFrame, forest: Forest) -> DataFrame:

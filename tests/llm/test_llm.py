@@ -517,6 +517,20 @@ def test_secrets_and_look_alikes(spark):
     assert got[1].sha256 == hashlib.sha256(hexes[1].encode()).hexdigest()
 
 
+def test_weak_labels_of_several_rules(spark):
+    """Known keys, quoted names and joined words are labelled; what no rule knows isn't."""
+    key = "ghp_" + "a1B2" * 9
+    texts = [f"use {key} here", "log AKIA" + "Q7" * 8, f"https://x.y/?key={key}", '{"password": "hunterhunter"}', '{"api_key":"abcdefgh9"}', f"note = '{key}'"]
+    texts += ["commit 0a1b2c3d4e5f60718293", "see /wiki/some_page/of/words_2020", "number 98079158 9807915762804490"]
+    texts += ["blob Zq9x8w7v6u5t4s3r2q1p"]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: (r.weak, len(r.features)) for r in secret_scan.findings(frame).collect()}
+    n = secret_scan.N_FEATURES
+    assert got == {**{i: (1, n) for i in range(6)}, **{i: (0, n) for i in range(6, 9)}, 9: (None, n)}
+    bare = secret_scan.Lexicon.learn([("some", 1), ("words", 2)])
+    assert secret_scan.features(key, 'token = "', '"', "a", bare) == secret_scan.features(key, 'label = "', '"', "a", bare)
+
+
 def test_forest_on_held_out_findings():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, secret_scan.N_FEATURES))
