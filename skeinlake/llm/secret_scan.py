@@ -7,8 +7,9 @@ character transitions and of its kinds of characters, how much of it dictionary
 words cover, where the document comes from (its path; the source here) and the
 words beside it.
 
-The forest learns from labelled findings, ``per_class`` of each label at most, those
-with the smallest hash. Findings may be given; else ``weak_labels`` derives them
+The forest learns from labelled findings, ``per_class`` distinct feature vectors of each
+label at most, those with the smallest hash, drawn by how often they occur (damped by the
+logarithm, so that copies of one finding don't take all places). Findings may be given; else ``weak_labels`` derives them
 from the documents: a value that is assigned to a name for secrets, or has the form of a
 known kind of key, is one; numbers, UUIDs, words joined by separators and values after a word for
 digests and versions are not; all others stay unlabelled. The rules are no features. The dictionary and the transitions come from the word
@@ -255,23 +256,37 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.nda
     return tuple(np.array(c) for c in zip(*nodes, strict=True))
 
 
+def sample(vectors: DataFrame, limit: int) -> list:
+    """``limit`` of the distinct (features, count), or all if there are fewer."""
+    known = vectors.count()
+    rows = common.lowest_by_hash(vectors, ["features"], known, limit).collect()
+    if len(rows) < min(limit, known):  # the thinning left too few
+        rows = vectors.orderBy(F.xxhash64("features"), "features").limit(limit).collect()
+    return rows
+
+
 def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Forest:
     """A forest from rows (features, label)."""
-    sizes = dict(labelled.groupBy("label").count().collect())
+    vectors = common.materialise(labelled.groupBy("label", "features").count(), "secret-vectors")
+    sizes = dict(vectors.groupBy("label").agg(F.sum("count")).collect())
     total = sum(sizes.get(k, 0) for k in (0, 1))
     prior = sizes.get(1, 0) / total if total else 0.5
     if not sizes.get(0) or not sizes.get(1):
         return Forest([], prior)
-    rows = []
+    found, weights, labels, places = [], [], [], 0
     for label in (0, 1):
-        one = labelled.filter(F.col("label") == label).select("features", "label")
-        rows += common.lowest_by_hash(one, ["features"], sizes[label], per_class).collect()
-    x = np.array([r.features for r in rows])
-    y = np.array([r.label for r in rows], float)
+        rows = sample(vectors.filter(F.col("label") == label).select("features", "count"), per_class)
+        weight = np.array([1 + math.log2(r["count"]) for r in rows])
+        share = min(per_class, sizes[label])
+        found += [r.features for r in rows]
+        weights.append(weight / weight.sum() * share)
+        labels.append(np.full(len(rows), float(label)))
+        places += share
+    x, y, p = np.array(found), np.concatenate(labels), np.concatenate(weights) / places
     trees = []
     for t in range(TREES):
         rng = np.random.default_rng(t)
-        drawn = rng.integers(0, len(y), len(y))
+        drawn = rng.choice(len(y), places, p=p / p.sum())
         trees.append(grow(x[drawn], y[drawn], rng))
     return Forest(trees, prior)
 

@@ -531,6 +531,17 @@ def test_weak_labels_of_several_rules(spark):
     assert secret_scan.features(key, 'token = "', '"', "a", bare) == secret_scan.features(key, 'label = "', '"', "a", bare)
 
 
+def test_forest_learns_from_copied_findings(spark):
+    """Few distinct vectors, each copied thousands of times: none is lost, neither label goes missing."""
+    vectors = [[float(i)] + [float(i >= 20)] * (secret_scan.N_FEATURES - 1) for i in range(40)]
+    once = spark.createDataFrame([(v, int(i >= 20)) for i, v in enumerate(vectors)], "features array<double>, label int")
+    forest = secret_scan.train(once.crossJoin(spark.range(2000)).drop("id"), 10)
+    assert len(forest.trees) == secret_scan.TREES
+    assert ((forest.score(np.array(vectors)) >= 0.5) == (np.arange(40) >= 20)).all()
+    counted = once.filter("label = 1").groupBy("features").count()
+    assert len(secret_scan.sample(counted, 10)) == 10 and len(secret_scan.sample(counted, 100)) == 20
+
+
 def test_forest_on_held_out_findings():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, secret_scan.N_FEATURES))
