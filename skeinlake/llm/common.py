@@ -55,6 +55,11 @@ def small_side(df: DataFrame, max_rows: int, tag: str) -> tuple[DataFrame, int]:
     return (F.broadcast(kept) if rows <= max_rows else kept), rows
 
 
+def partitions(size: int, per_task: int, spark: SparkSession) -> int:
+    """Partitions for so many rows or bytes, the session's shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per_task))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

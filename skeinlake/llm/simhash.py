@@ -16,11 +16,19 @@ their parent does not hold. A query runs down the tree adding up differences and
 leaves a whole node as soon as they exceed the limit. Each task joins its links
 to a forest; a distributed star contraction joins the forests.
 
+``deduplicate`` keeps one document of each group of near-copies. It collapses equal
+texts, finds candidates with the same index over fingerprints of distinct words
+(nearest at the similarity asked for), each link confirmed by a second fingerprint,
+and verifies them on five-word shingles.
+
 Edge cases: null and empty texts have fingerprint zero and are linked with each
 other like any other; texts with fewer words than a shingle are one shingle; a
 null doc_id never names a group unless nothing else is in it; rows that share a
-doc_id each get a row; an empty table gives an empty result; other columns are
-ignored.
+doc_id each get a row; a text of any length is one value in one task; an empty table
+gives an empty result; other columns are ignored. ``deduplicate``: equal texts, null
+ones and those without words included, are copies whatever their ids, texts without
+words are no near-copies of others; of rows equal in doc_id and text the least by its
+other columns stays; column names that start with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -44,10 +52,17 @@ SHINGLE = 5
 GROUP_LIMIT = 2048
 #: Children of a tree node, and pairs of query and member looked at in one go.
 FANOUT = 8
+#: Dealt codes that one task takes, about.
+ROWS_PER_TASK = 100_000
 #: Rows of a table of ids up to which it is broadcast rather than texts shuffled.
 MAX_BROADCAST_ROWS = 500_000
 PAIRS_AT_ONCE = 2_000_000
 HASHES_AT_ONCE = 1 << 16
+#: Bits that may differ between near-copies in the fingerprint of their words, and in the second one.
+WORD_BITS = 7
+SECOND_BITS = 10
+#: Words whose hashes a task remembers.
+REMEMBERED = 200_000
 ALL_BITS = (1 << 64) - 1
 
 
@@ -122,8 +137,10 @@ class GrayIndex:
     one group below it.
     """
 
-    def __init__(self, group: np.ndarray, codes: np.ndarray):
+    def __init__(self, group: np.ndarray, codes: np.ndarray, second: np.ndarray | None = None):
         self.codes = codes
+        #: Codes that must be near as well.
+        self.second = second
         n = len(codes)
         head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
         self.sizes = np.diff(np.r_[head, n])
@@ -180,6 +197,8 @@ class GrayIndex:
             near = apart <= bits
             query, node, apart, above = query[near], node[near], apart[near], own[near]
         later = node > query
+        if self.second is not None:
+            later &= np.bitwise_count(self.second[query] ^ self.second[node]) <= SECOND_BITS
         return query[later], node[later]
 
 
@@ -195,10 +214,10 @@ def _signed(value: int) -> int:
 
 
 def deal(codes: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> DataFrame:
-    """(mask, value, fp): the groups in which links are looked for."""
-    spark = codes.sparkSession
+    """(mask, value) and the columns of ``codes``: the groups in which links are looked for."""
+    spark, own = codes.sparkSession, codes.columns
     top = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("value")) for m in _split_bits(0, bits)])
-    open_groups = codes.select("fp", F.explode(top).alias("g")).select("g.mask", "g.value", "fp")
+    open_groups = codes.select(*own, F.explode(top).alias("g")).select("g.mask", "g.value", *own)
     masks, settled = _split_bits(0, bits), None
     while True:
         open_groups = common.materialise(open_groups, "simhash-groups")
@@ -215,12 +234,18 @@ def deal(codes: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> DataFr
         open_groups = (
             open_groups.join(large, ["mask", "value"], "left_semi")
             .join(children, "mask")
-            .select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value"), "fp")
+            .select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value"), *own)
         )
 
 
 def links(codes: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> DataFrame:
-    """(u, v), u > v: enough links between distinct fingerprints to join each group."""
+    """(u, v), u > v: enough links between distinct codes to join each group.
+
+    ``codes`` has fp, or fp, a second code and the number of the node they stand for;
+    links name nodes, or else the codes themselves.
+    """
+    paired = len(codes.columns) > 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -230,15 +255,17 @@ def links(codes: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> DataF
         order = np.lexsort((gray_rank(code), value, mask))
         mask, value, code = mask[order], value[order], code[order]
         group = np.cumsum(np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])
-        child, root = GrayIndex(group, code).links(bits)
-        a, b = code[child].view(np.int64), code[root].view(np.int64)
+        second = rows.column(3).to_numpy().view(np.uint64)[order] if paired else None
+        names = rows.column(4).to_numpy()[order] if paired else code.view(np.int64)
+        child, root = GrayIndex(group, code, second).links(bits)
+        a, b = names[child], names[root]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"]
         )
 
-    groups = deal(codes, bits, limit)
-    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return groups.repartition(parts, "mask", "value").mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+    dealt = deal(codes, bits, limit)
+    parts = common.partitions(dealt.count(), ROWS_PER_TASK, codes.sparkSession)
+    return dealt.repartition(parts, "mask", "value").mapInArrow(run, "u long, v long").filter("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,20 +278,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = common.materialise(edges, "edges")
     before = None
     while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        low = common.materialise(low, "low")
-        larger = edges.join(low, edges.v == low.c).select("u", F.col("m").alias("v"))
-        larger = larger.filter("u <> v").distinct()
+        larger = edges.join(low, edges.v == low.c).select("u", F.col("m").alias("v")).filter("u <> v").distinct()
         larger = common.materialise(larger, "large-star")
-        least = common.materialise(larger.groupBy("u").agg(F.min("v").alias("m")), "least")
-        smaller = (
-            larger.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .filter("u <> v")
-            .distinct()
-        )
+        least = larger.groupBy("u").agg(F.min("v").alias("m"))
+        pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        smaller = larger.join(least, "u").select(F.explode(pair).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         edges = common.materialise(smaller, "small-star")
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
@@ -288,15 +308,61 @@ def groups(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, fp, second): two fingerprints of the distinct words of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        known: dict[bytes, tuple[int, int]] = {}
+        for batch in batches:
+            out = np.zeros((len(batch), 2), np.uint64)
+            for i, text in enumerate(batch.column(2)):
+                found = set((text.as_py() or "").encode().lower().split())
+                if not found:
+                    continue
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w in found:
+                    if w not in known:
+                        known[w] = digest(w, SEED), digest(w, SEED + 1)
+                hashes = np.array([known[w] for w in found], "<u8")
+                totals = np.zeros(128, np.int64)
+                for at in range(0, len(hashes), HASHES_AT_ONCE):
+                    raw = hashes[at : at + HASHES_AT_ONCE].view(np.uint8).reshape(-1, 16)
+                    totals += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                out[i] = np.packbits(totals * 2 > len(hashes), bitorder="little").view("<u8")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out[:, 0].view(np.int64)), pa.array(out[:, 1].view(np.int64))],
+                names=["doc_id", "digest", "fp", "second"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", _digest().alias("digest"), "text")
+    return keyed.mapInArrow(run, f"doc_id {kind}, digest binary, fp long, second long")
+
+
+def _digest() -> Column:
+    return F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def _shingle_hashes(words: str) -> Column:
-    """Distinct hashes of the five-word shingles of a column of words; fewer words are one shingle."""
-    n = F.least(F.size(words), F.lit(SHINGLE))
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))
+def _shingle_hashes(text: Column) -> Column:
+    """Distinct hashes of the five-word shingles of a text; fewer words are one shingle.
+
+    The words are the variable of a function, so that they are cut once and not for each shingle.
+    """
+
+    def hashes(words: Column) -> Column:
+        n = F.least(F.size(words), F.lit(SHINGLE))
+        starts = F.when(n > 0, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))
+
+    return F.element_at(F.transform(F.array(_words(text)), hashes), 1)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -308,75 +374,111 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").filter(enough).select("u", "v")
 
 
-def similar_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(u, v), u > v: links that join all texts of a component that are so similar.
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(t, comp, n, apart, h, pos): the rarest shingles of each text that others of its component have too.
 
-    ``sets`` has (t, comp, a): a text, its component, its distinct shingles. With the shingles of
-    each text in order of rarity, two similar texts share one of the first ones (as many as may
-    differ, and one more), so only texts that meet in such a bucket are compared: first each
-    with the smallest of its bucket, then all that are not yet joined. No link that matters is left out.
+    ``pos`` counts from 1 in the order of rarity, ``apart`` is the share of shingles of no other
+    text. Similar texts share one of the first n - similarity * n + 1 shingles.
     """
     each = sets.select("t", "comp", F.size("a").alias("n"), F.explode("a").alias("h"))
     often = each.groupBy("comp", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    held = each.join(often, ["comp", "h"]).groupBy("t", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))
-    first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1
-    free = first - (F.col("n") - F.size("s"))  # shingles of no other text come first
-    buckets = held.withColumn("free", free).filter("free > 0").select("t", "comp", "n", F.explode(F.slice("s", 1, F.col("free"))).alias("e"))
-    buckets = common.materialise(buckets.select("t", "comp", "n", F.col("e.h").alias("h")), "buckets")
-    heads = buckets.groupBy("comp", "h").agg(F.min("t").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    to_heads = buckets.join(heads, ["comp", "h"]).filter("t <> v").select(F.col("t").alias("u"), "v").distinct()
-    joined = common.materialise(_similar(to_heads, sets, similarity), "to-heads")
-    label = joined.groupBy(F.col("u").alias("t")).agg(F.min("v").alias("label"))
-    buckets = buckets.join(label, "t", "left").withColumn("label", F.coalesce("label", "t"))
-    buckets = common.materialise(buckets, "labelled")
-    most = buckets.groupBy("comp", "h").agg(F.min("label").alias("most"), F.max("label").alias("other")).filter("most <> other")
-    open_ones = common.materialise(buckets.join(most.drop("other"), ["comp", "h"]), "open-buckets")
-    rest = open_ones.filter("label <> most").select("comp", "h", F.col("t").alias("x"), F.col("n").alias("m"), F.col("label").alias("own"))
-    near = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
-    pairs = open_ones.join(rest, ["comp", "h"]).filter((F.col("label") != F.col("own")) & near)
-    pairs = pairs.select(F.greatest("t", "x").alias("u"), F.least("t", "x").alias("v")).distinct()
-    return joined.unionByName(_similar(pairs, sets, similarity)).distinct()
+    rare = F.array_sort(F.collect_list(F.struct("c", "h")))
+    held = each.join(often, ["comp", "h"]).groupBy("t", "comp", "n").agg(rare.alias("s"))
+    own = F.col("n") - F.size("s")
+    first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1 - own
+    cut = held.withColumn("first", first).filter("first > 0").select(
+        "t", "comp", "n", own.alias("own"), (own / F.col("n")).alias("apart"), F.posexplode(F.slice("s", 1, F.col("first")))
+    )
+    return cut.select("t", "comp", "n", "apart", F.col("col.h").alias("h"), (F.col("own") + F.col("pos") + 1).alias("pos"))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with the digest of the text in doc_id: rows of one id may hold several texts."""
-    digest = F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
-    return docs.filter(F.col("doc_id").isNotNull()).select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
+def similar_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v), u > v: links that join all texts of a component that are so similar.
 
+    ``sets`` has (t, comp, a): the number of a text, its component, its distinct shingles. Only
+    texts that share a rare shingle (see ``_prefixes``) are compared: first each with the head of
+    the shingle's texts, the one with the fewest shingles of its own, as the source of many copies
+    is; then all that are not joined by now and whose places of the shingle leave room for enough
+    others. The shorter text of such a pair has it among its first n - 2s / (1 + s) n + 1. No
+    similar pair of different labels is left out.
+    """
+    entries = common.materialise(_prefixes(sets, similarity), "prefixes")
+    both = 2 * similarity / (1 + similarity)
 
-def copies(docs: DataFrame, words: int, bits: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(__copy, __digest): ids, with their texts, that repeat a document of a smaller id.
+    def room(n: str, pos: str, m: str, other: str) -> Column:
+        """Whether texts of n and m shingles that first share those at these places can share enough."""
+        left = 1 + F.least(F.col(n) - F.col(pos), F.col(m) - F.col(other))
+        return left >= both / 2 * (F.col(n) + F.col(m)) - 1e-9
 
-    Of equal texts the smallest id stays, whatever their component. Distinct texts of a component
-    of fingerprints are candidates; those that share so many five-word shingles (by their
-    Jaccard similarity) are linked, and of linked texts the smallest id stays.
-    """
-    named = _named(docs)
-    prints = common.materialise(fingerprints(named, words), "fingerprints").select("doc_id.*", "fp")
-    firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"))
-    firsts = common.materialise(firsts, "texts")
-    equal = prints.join(firsts.select("digest", "first"), "digest").filter("doc_id <> first").select("doc_id", "digest")
-    roots = components(links(firsts.select("fp").distinct(), bits))
-    placed = firsts.join(roots, firsts.fp == roots.node, "left").select(
-        F.struct(F.col("first").alias("doc_id"), "digest").alias("t"), F.coalesce("root", "fp").alias("comp")
-    )
-    placed = common.materialise(placed, "placed")
-    several = placed.groupBy("comp").count().filter("count > 1").select("comp")
-    candidates, _ = common.small_side(placed.join(several, "comp"), MAX_BROADCAST_ROWS, "candidates")
-    sets = named.join(candidates, F.col("doc_id") == F.col("t")).select("t", "comp", _words(F.col("text")).alias("w"))
-    sets = common.materialise(sets.select("t", "comp", _shingle_hashes("w").alias("a")).dropDuplicates(["t"]), "shingles")
-    near = components(similar_links(sets, similarity)).filter("node <> root").select("node.*")
-    gone = equal.unionByName(near).distinct().select(F.col("doc_id").alias("__copy"), F.col("digest").alias("__digest"))
-    return common.small_side(gone, MAX_BROADCAST_ROWS, "copies")[0]
+    head = F.min(F.struct("apart", "t", "n", "pos")).alias("head")
+    heads = entries.groupBy("comp", "h").agg(head, F.count(F.lit(1)).alias("c")).filter("c > 1")
+    heads = heads.select("comp", "h", F.col("head.t").alias("v"), F.col("head.n").alias("m"), F.col("head.pos").alias("at"))
+    near = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    to_heads = entries.join(heads, ["comp", "h"]).filter((F.col("t") != F.col("v")) & near & room("n", "pos", "m", "at"))
+    to_heads = to_heads.select(F.greatest("t", "v").alias("u"), F.least("t", "v").alias("v")).distinct()
+    joined = common.materialise(_similar(to_heads, sets, similarity), "to-heads")
+    label = components(joined).select(F.col("node").alias("t"), F.col("root").alias("label"))
+    entries = entries.drop("apart").join(label, "t", "left").withColumn("label", F.coalesce("label", "t"))
+    entries = common.materialise(entries, "labelled")
+    several = entries.groupBy("comp", "h").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
+    open_ones = common.materialise(entries.join(several.select("comp", "h"), ["comp", "h"]), "open-buckets")
+    short = open_ones.filter(F.col("pos") <= F.col("n") - F.ceil(both * F.col("n") - 1e-9) + 1)
+    short = short.select("comp", "h", F.col("t").alias("x"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("own"))
+    longer = (F.col("n") > F.col("m")) | (F.col("n") == F.col("m")) & (F.col("t") > F.col("x"))
+    on = (F.col("label") != F.col("own")) & longer & (F.col("m") >= similarity * F.col("n") - 1e-9) & room("n", "pos", "m", "at")
+    pairs = open_ones.alias("l").join(short.alias("r"), (F.col("l.comp") == F.col("r.comp")) & (F.col("l.h") == F.col("r.h")) & on)
+    pairs = pairs.select(F.greatest("t", "x").alias("u"), F.least("t", "x").alias("v")).distinct()
+    return joined.unionByName(_similar(pairs, sets, similarity)).distinct()
 
 
-def deduplicate(docs: DataFrame, words: int = 2, bits: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without those that repeat one of a smaller id.
+def copies(docs: DataFrame, bits: int = WORD_BITS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of the texts that repeat another one, and of the rows that occur several times.
 
-    Fingerprints of word pairs with a wide limit find more near-copies than those of
-    longer shingles; what they find is checked on shingles of five words. Rows with a
-    null doc_id can't be told apart and stay; so do repeats of a document that stays.
+    Of equal texts the one of the smallest id stays, and so of texts that are linked: those near
+    in both fingerprints, directly or through others, that share so many five-word shingles.
     """
-    gone = copies(docs, words, bits, similarity)
-    digest = F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
-    return docs.join(gone, (F.col("doc_id") == F.col("__copy")) & (digest == F.col("__digest")), "left_anti")
+    prints = common.materialise(word_prints(docs), "word-prints")
+    texts = prints.groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("second").alias("second"), F.count(F.lit(1)).alias("n")
+    )
+    texts = common.materialise(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
+    codes = common.materialise(texts.groupBy("fp", "second").agg(F.min("t").alias("node"), F.count(F.lit(1)).alias("n")), "codes")
+    roots = components(links(codes.select("fp", "second", "node"), bits))
+    placed = codes.join(roots, "node", "left").select("fp", "second", "n", F.coalesce("root", "node").alias("comp"))
+    placed = common.materialise(placed, "placed")
+    several = placed.groupBy("comp").agg(F.sum("n").alias("n")).filter("n > 1").select("comp")
+    candidates = texts.join(placed.join(several, "comp").select("fp", "second", "comp"), ["fp", "second"])
+    candidates, _ = common.small_side(candidates.select("t", "comp", "doc_id", "digest"), MAX_BROADCAST_ROWS, "candidates")
+    named = docs.select(F.col("doc_id").alias("__id"), _digest().alias("__digest"), "text")
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__digest") == F.col("digest"))
+    sets = named.join(candidates, same).select("t", "comp", _shingle_hashes(F.col("text")).alias("a"))
+    sets = common.materialise(sets.groupBy("t", "comp").agg(F.first("a").alias("a")), "shingles")
+    linked = common.materialise(components(similar_links(sets, similarity)), "linked")
+    linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root")).distinct()
+    members = linked.join(texts.select(F.col("t").alias("node"), "doc_id", "digest"), "node")
+    members = common.materialise(members, "members")
+    stays = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "node")).alias("s"))
+    near = members.join(stays, "root").filter("node <> s.node").select("digest")
+    repeated = texts.filter("n > 1").select("digest", F.col("doc_id").alias("first"))
+    equal = prints.select("doc_id", "digest").join(repeated, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    equal = equal.select("doc_id", "digest")
+    gone = equal.unionByName(texts.join(near, "digest").select("doc_id", "digest")).distinct()
+    several = prints.join(repeated.drop("first"), "digest", "left_semi").groupBy("doc_id", "digest").count()
+    return gone, several.filter("count > 1").select("doc_id", "digest")
+
+
+def deduplicate(docs: DataFrame, bits: int = WORD_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without those that repeat one of a smaller id."""
+    gone, several = (
+        common.small_side(x.select(F.col("doc_id").alias("__copy"), F.col("digest").alias("__of")), MAX_BROADCAST_ROWS, tag)
+        for x, tag in zip(copies(docs, bits, similarity), ("gone", "several"), strict=True)
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__copy")) & (_digest() == F.col("__of"))
+    kept = docs.join(gone[0], same, "left_anti")
+    if not several[1]:
+        return kept
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = kept.join(several[0], same, "left_semi").groupBy("doc_id", _digest().alias("__of"))
+    once = once.agg(F.first("text").alias("text"), F.min(F.struct(*rest)).alias("__rest") if rest else F.lit(0).alias("__rest"))
+    once = once.select("doc_id", "text", *[F.col(f"__rest.{c}").alias(c) for c in rest])
+    return kept.join(several[0], same, "left_anti").unionByName(once)
