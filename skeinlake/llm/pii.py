@@ -11,16 +11,21 @@ itself. With p(t) the chance that a random window holds the term,
     disclosure(e; t) = PMI(e; t) / IC(e)
 
 A disclosure of 1 means that seeing the term is as good as seeing the entity.
+Protected, besides each value, is what values share: the domain of an address, the
+network of an IP, the issuer of a card, the area of a phone number. A term counts by
+what it tells of either.
 Terms at or above ``remove_at`` are removed, those at or above ``generalise_at``
 are replaced by what kind of word they are. Term counts cover every word of
 every document, and so do contexts and joint occurrences: each copy of a text and
-each document with the same words around an entity counts. A pair needs ``support``
-documents, as one joint occurrence says nothing about dependence.
+each document with the same words around an entity counts, once for each entity. A document is no witness
+about itself: of the joint occurrences one is left out, so a term met once tells nothing,
+and two or three tell a little less than many.
 
 Edge cases: null texts count as empty; empty texts have no spans; rows are
 independent of their doc_id, so null or repeated ids get a row each; equal texts
 get equal spans; an empty table gives an empty result; other columns are ignored.
-Offsets are in code points, ends are exclusive.
+Offsets are in code points, ends are exclusive. A text of any length is one value in
+one task; equal disclosures are treated alike.
 """
 
 from __future__ import annotations
@@ -46,7 +51,6 @@ TERM = r"[\p{L}\p{N}]{3,}"
 WINDOW_CHARS = 80
 #: Terms in two windows of that size, about; turns term counts into window chances.
 WINDOW_TERMS = 20
-SUPPORT = 3
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 MAX_BROADCAST_ROWS = 500_000
@@ -146,18 +150,27 @@ def _terms_near(text: Column, start: Column, spans: Column) -> Column:
     )
 
 
+def _entities(s: Column) -> Column:
+    """What a span protects: its value and what it shares with others of its kind."""
+    digits = F.regexp_replace(s["value"], "[^0-9]", "")
+    shared = F.when(s["rank"] == 0, F.substring_index(F.lower(s["value"]), "@", -1)).when(s["rank"] == 1, F.substring_index(s["value"], ".", 2))
+    shared = shared.when(s["rank"] == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    rank = s["rank"].cast("string")
+    return F.array(F.concat_ws(":", rank, s["value"]), F.concat_ws(":", rank, F.lit("shared"), shared))
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, __spans, and, where there are spans, __key and __near.
 
-    ``__key`` is the digest of the text; ``__near`` holds for each span its
-    value and the terms around it.
+    ``__key`` is the digest of the text; ``__near`` holds for each span the
+    entities it protects and the terms around it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", text.alias("__text"), base_spans(F.col("text")).alias("__spans"))
     near = F.transform(
         "__spans",
         lambda s: F.struct(
-            F.concat_ws(":", s["rank"].cast("string"), s["value"]).alias("entity"),
+            _entities(s).alias("entities"),
             F.array_distinct(
                 F.concat(
                     _terms_near(
@@ -188,36 +201,32 @@ def term_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def disclosure(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, joint, contexts, n, disclosure) for pairs with enough support.
+def disclosure(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(entity, term, joint, contexts, n, disclosure) for pairs that meet more than once.
 
-    Everything is counted over all documents: contexts of equal texts count as often as the text.
+    A context is a document that holds the entity, a joint occurrence one with the term beside it;
+    equal texts count as often as they occur.
     """
     texts = found.filter(F.col("__key").isNotNull()).groupBy("__key").agg(
         F.count(F.lit(1)).alias("copies"), F.first("__near").alias("__near")
     )
-    contexts = texts.select("__key", "copies", F.explode("__near").alias("c")).select(
-        "__key",
-        "copies",
-        F.col("c.entity").alias("entity"),
-        F.array_distinct(F.transform("c.terms", lambda t: t["term"])).alias("terms"),
-    )
-    per_entity = contexts.groupBy("entity").agg(F.sum("copies").alias("contexts"))
-    in_text = contexts.select("__key", "copies", "entity", F.explode("terms").alias("term"))
-    in_text = in_text.groupBy("__key", "copies", "entity", "term").agg(F.count(F.lit(1)).alias("times"))
-    joint = (
-        in_text.groupBy("entity", "term")
-        .agg(F.sum(F.col("copies") * F.col("times")).alias("joint"), F.sum("copies").alias("documents"))
-        .filter(F.col("documents") >= support)
-        .drop("documents")
-    )
+    entities = F.array_distinct(F.flatten(F.transform("__near", lambda c: c["entities"])))
+    per_entity = texts.select("copies", F.explode(entities).alias("entity"))
+    per_entity = per_entity.groupBy("entity").agg(F.sum("copies").alias("contexts"))
+
+    def pairs(c: Column) -> Column:
+        beside = lambda e: F.transform(c["terms"], lambda t: F.struct(e.alias("entity"), t["term"].alias("term")))
+        return F.flatten(F.transform(c["entities"], beside))
+
+    met = texts.select("copies", F.explode(F.array_distinct(F.flatten(F.transform("__near", pairs)))).alias("p"))
+    joint = met.groupBy("p.entity", "p.term").agg(F.sum("copies").alias("joint")).filter("joint > 1")
     joint, _ = common.small_side(joint, MAX_BROADCAST_ROWS, "pii-joint")
     counts = common.materialise(term_counts(docs), "pii-terms")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__total"))
     windows = F.greatest(F.lit(2.0), F.col("__total") / F.lit(float(WINDOW_TERMS)))
     p_term = F.least(F.lit(1.0), F.col("n") / windows)
     p_entity = F.least(F.lit(0.5), F.col("contexts") / windows)
-    pmi = F.log2(F.col("joint") / F.col("contexts") / p_term)
+    pmi = F.log2((F.col("joint") - 1) / F.col("contexts") / p_term)
     return (
         joint.join(per_entity, "entity")
         .join(counts, "term")
@@ -231,19 +240,19 @@ def revealing_terms(
     found: DataFrame,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
-    support: int = SUPPORT,
 ) -> DataFrame:
     """(__key, __terms): for each text with such terms, where they are and what to do.
 
     ``__terms`` is array<struct<start, end, action>>, action 'remove' or 'generalise'.
     """
-    strong = disclosure(docs, found, support).filter(F.col("disclosure") >= generalise_at)
+    strong = disclosure(docs, found).filter(F.col("disclosure") >= generalise_at)
     near = (
         found.filter(F.col("__key").isNotNull())
         .select("__key", "__near")
         .dropDuplicates(["__key"])
         .select("__key", F.explode("__near").alias("c"))
-        .select("__key", F.col("c.entity").alias("entity"), F.explode("c.terms").alias("t"))
+        .select("__key", F.col("c.entities").alias("entities"), F.explode("c.terms").alias("t"))
+        .select("__key", F.explode("entities").alias("entity"), "t")
         .select("__key", "entity", "t.term", "t.start", "t.end")
     )
     action = F.when(F.max("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
