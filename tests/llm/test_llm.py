@@ -219,6 +219,43 @@ def test_same_windows_in_different_documents_are_evidence(spark):
     assert ("0:i@j.kl", "lkjih") not in got
 
 
+def test_disclosure_like_brute_force(spark):
+    """Short texts, so that all words of a text stand beside its entities."""
+    rng = np.random.default_rng(12)
+    values = ["ann@one.org", "bob@one.org", "10.20.3.4", "10.20.9.9", "4111111111111111", "+1 (017) 555-7713"]
+    shared = ["one.org", "one.org", "10.20", "10.20", "411111", "1017"]
+    ranks = [0, 0, 1, 1, 2, 3]
+    texts = []
+    for _ in range(120):
+        words = [f"word{chr(97 + x)}" for x in rng.integers(0, 25, 4)]
+        own = rng.choice(6, int(rng.integers(0, 2)), replace=False)
+        texts.append(" ".join([words[0], words[1], *[values[i] for i in own], words[2], words[3]]))
+    texts += texts[:30]
+    n, contexts, joint = Counter(), Counter(), Counter()
+    for t in texts:
+        terms = re.findall(r"word[a-z]", t)
+        # digits, and words of an address, are terms of the corpus too
+        n.update(re.findall(r"[a-z0-9]{3,}", t.lower()))
+        for i, v in enumerate(values):
+            if v in t:
+                for e in (f"{ranks[i]}:{v}", f"{ranks[i]}:shared:{shared[i]}"):
+                    contexts[e] += 1
+                    joint.update((e, x) for x in set(terms))
+    windows = sum(n.values()) / pii.WINDOW_TERMS
+    want = {}
+    for (e, x), j in joint.items():
+        if j > 1:
+            pmi = math.log2((j - 1) / contexts[e] / min(1.0, n[x] / windows))
+            want[e, x] = pmi / -math.log2(min(0.5, contexts[e] / windows))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosure(frame, pii.detect(frame)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 20
+    flagged = {r.doc_id: {texts[r.doc_id][t.start : t.end] for t in r.terms} for r in pii.spans(frame).collect()}
+    for i, t in enumerate(texts):
+        own = [e for k, v in enumerate(values) if v in t for e in (f"{ranks[k]}:{v}", f"{ranks[k]}:shared:{shared[k]}")]
+        assert flagged[i] == {x for x in re.findall(r"word[a-z]", t) if any(want.get((e, x), -9) >= pii.GENERALISE_AT for e in own)}
+
+
 def test_pii_odd_input(spark, odd):
     got = pii.report(odd)
     assert got.count() == odd.count()
@@ -247,18 +284,57 @@ def test_lm_like_brute_force(spark, docs, local):
         assert r.score < 0
 
 
-def test_lm_probabilities_sum_to_one(spark, docs):
+def lm_parts(docs):
     training = docs.filter(~lm.is_held_out(F.col("doc_id")))
     counts = common.materialise(lm.word_counts(training), "t")
     words = lm.vocabulary(counts)
-    share = np.zeros(lm.CLASSES)
-    for r in counts.collect():
-        word = bytes(r.token)
-        share[words.class_of(word) if word else 0] += (r.c + 1) / words.mass[words.class_of(word) if word else 0]
-    assert np.allclose(share + 1 / words.mass, 1, atol=1e-9)
-    net = lm.train(lm.class_triples(training, words))
-    every = np.arange(lm.CLASSES**2)
-    assert np.allclose(np.exp(net.log_probabilities(every % lm.CLASSES, every // lm.CLASSES)).sum(axis=1), 1)
+    counted = common.materialise(lm.class_counts(training, words), "t")
+    return counts, words, lm.train(counted, words), lm.in_class(counted, words)
+
+
+@pytest.fixture(scope="module")
+def few_listed(spark):
+    """Some words of the small corpus listed, the others rare, as in a large corpus."""
+    lm.FREQUENT, before = 800, lm.FREQUENT
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    yield docs, *lm_parts(docs), {r.doc_id: r.score for r in lm.score(docs).collect()}
+    lm.FREQUENT = before
+
+
+def test_lm_probabilities_sum_to_one(few_listed):
+    _, counts, words, net, shares, _ = few_listed
+    rare = [r.c for r in counts.filter("pair IS NULL AND length(token) > 0").collect() if bytes(r.token) not in words.listed]
+    assert len(words.listed) > lm.OWN and sum(rare) == words.rare and rare.count(1) == words.once
+    assert np.allclose((10.0 ** shares[lm.OWN :]).sum(axis=0), 1, atol=1e-4) and not shares[: lm.OWN].any()
+    assert 0 < words.unseen() < 1 and sum((1 - words.unseen()) * c / words.rare for c in rare) + words.unseen() == pytest.approx(1)
+    assert np.allclose((10.0 ** lm.class_table(net)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_lm_score_from_its_parameters(few_listed, local):
+    """Token by token: class after its context, share in the class."""
+    _, counts, words, net, shares, got = few_listed
+    c = {bytes(r.token): r.c for r in counts.filter("pair IS NULL").collect()}
+    table = lm.class_table(net)
+    for d, t in sorted(local.items())[:40]:
+        c1 = c2 = z = 0
+        signs, total = np.zeros(lm.TOPICS, np.float32), 0.0
+        for w in [*t.encode().lower().split(), b""]:
+            at = words.listed.get(w, -1)
+            k = 0 if not w else lm.RARE if at < 0 else min(at + 1, lm.MID)
+            total += float(table[(c2 * lm.CLASSES + c1) * lm.TOPICS + z, k])
+            if k == lm.MID:
+                total += float(shares[at, z])
+            if k == lm.RARE:
+                total += math.log10((1 - words.unseen()) * c[w] / words.rare if w in c else words.unseen())
+            signs += words.signs[lm.bucket_of(w) if w else lm.BUCKETS].astype(np.float32)
+            c1, c2, z = k, c1, int(signs.argmax())
+        assert got[d] == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    found = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out")
+    r = found.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (r.s - r.b) / r.n > 0.5
 
 
 def test_lm_learns_order(spark):
