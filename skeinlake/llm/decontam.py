@@ -1,15 +1,14 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A short test item is contained in a document if at least a share ``threshold``
-of the item's distinct word shingles occur in it. Only the items are sketched:
-the sketch of an item is the start of its shingles in a hashed order (rarest in
-the benchmark first, then by smallest hash), so documents of any length can be
-searched without their size drowning the signal. Items are partitioned by size,
-and the partition fixes the length of the sketch: an item with at most ``u``
-shingles that is contained misses at most ``u - ceil(threshold * u)`` of them,
-so one more than that many shingles cannot all be missing. The candidate search
-therefore loses nothing. Candidates are verified by counting exact shared
-shingles (strings, not hashes).
+of the item's distinct word shingles occur in it. Items are partitioned by size into powers of two,
+and the partition fixes the length of an item's sketch, its smallest hashes (bottom-k
+MinHash). The share of the sketch found in a document estimates the item's containment.
+An item of n shingles that is contained misses at most ``n - ceil(threshold * n)`` of
+them, so a document that misses more of the sketch than that is no candidate, and no
+document that holds the item is lost: the estimate only errs to one side. Documents are not
+sketched, so those of any length can be searched without their size drowning the signal.
+Candidates are verified by counting exact shared shingles (strings, not hashes).
 
 Words are runs of letters, marks and digits, lower-cased. Items with fewer than
 five words are one shingle, the whole sequence.
@@ -17,8 +16,8 @@ five words are one shingle, the whole sequence.
 Edge cases: null and empty texts have no shingles and never match; rows with a
 null doc_id take no part in the search and are kept by ``decontaminate``; rows
 that share a doc_id are searched together as one document; repeated items are
-reported once per item_id; empty tables give an empty result; other columns are
-left alone.
+reported once per item_id; equal hashes of a sketch count once; a text of any length is searched in
+one task; empty tables give an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -97,21 +96,20 @@ def needed(n_shingles: Column, threshold: float) -> Column:
 
 
 def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, length, hash, size_class): what documents are searched for.
+    """(item_id, length, hash, size_class, least): what documents are searched for.
 
-    Size classes are powers of two; all items of a class get sketches of the
-    length that its largest items need.
+    Size classes are powers of two; all items of a class get sketches of one length, twice what
+    its largest items may miss. ``least`` hashes of the sketch are in every document with the item.
     """
     upper = F.pow(F.lit(2.0), F.ceil(F.log2("n_shingles"))).cast("long")
-    length = F.least(F.col("n_shingles"), upper - needed(upper, threshold) + 1)
-    spread = Window.partitionBy("hash")
-    order = Window.partitionBy("item_id").orderBy("__items", "hash")
-    return (
-        shingles.withColumn("__items", F.count(F.lit(1)).over(spread))
-        .withColumn("__at", F.row_number().over(order))
-        .filter(F.col("__at") <= length)
-        .select("item_id", "length", "hash", upper.alias("size_class"))
-    )
+    length = F.least(F.col("n_shingles"), 2 * (upper - needed(upper, threshold)) + 1)
+    order = Window.partitionBy("item_id").orderBy("hash")
+    kept = shingles.withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= length)
+    missing = F.col("n_shingles") - needed(F.col("n_shingles"), threshold)
+    kept = kept.select("item_id", "length", "hash", "n_shingles").distinct()
+    sizes = kept.groupBy("item_id").agg(F.count(F.lit(1)).alias("__hashes"))
+    least = F.greatest(F.lit(1), F.col("__hashes") - missing)
+    return kept.join(sizes, "item_id").select("item_id", "length", "hash", upper.alias("size_class"), least.alias("least"))
 
 
 def search(
@@ -131,7 +129,9 @@ def search(
         return frame.select("doc_id", F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("__s"))
 
     hits = exploded(split, shingle_hash)
-    found = hits.join(sketch, F.col("__s") == F.col("hash")).select("doc_id").distinct()
+    met = hits.join(sketch, F.col("__s") == F.col("hash")).select("doc_id", "item_id", "hash", "least").distinct()
+    found = met.groupBy("doc_id", "item_id", "least").agg(F.count(F.lit(1)).alias("__found"))
+    found = found.filter(F.col("__found") >= F.col("least")).select("doc_id").distinct()
     candidates, _ = common.small_side(found, MAX_BROADCAST_ROWS, "candidates")
     again = exploded(
         split.join(candidates, "doc_id", "left_semi"), lambda n: F.array_distinct(shingle_text(n))
