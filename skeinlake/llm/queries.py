@@ -121,7 +121,7 @@ placed AS (
 OP5_SQL = f"""
 WITH RECURSIVE {op5_body("documents")}
 SELECT d.doc_id, coalesce(strlen(d.text), 0)::BIGINT + 1 AS size, 'key' AS law, p.shard, p.grown_shard,
-  row_number() OVER (PARTITION BY p.shard ORDER BY d.doc_id NULLS FIRST) - 1 AS slot
+  row_number() OVER (PARTITION BY p.shard ORDER BY {_unit("'slot:' || coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, ''))")}, d.doc_id NULLS FIRST) - 1 AS slot
 FROM documents d JOIN placed p ON coalesce(d.doc_id, 0) = p.k0
 """
 

@@ -7,9 +7,10 @@ the key draws the shard counts at which the key would move; the last one below
 the new shard.
 
 Edge cases: a null key counts as key 0; a null text has size 1 and the CRC-32
-of no bytes; rows with equal keys share a shard and get slots of their own;
-an empty table gives an empty result; other columns stay as they are, except
-that the columns added here replace those of the same name.
+of no bytes; rows with equal keys share a shard and get slots of their own, by a
+hash of their text; rows equal in key and text are interchangeable; texts of any
+length are single values; an empty table gives an empty result; other columns stay
+as they are, except that the columns added here replace those of the same name.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ LOW32 = 0xFFFFFFFF
 LOW16 = 0xFFFF
 #: Steps of the first fold; a key needs about ln(n), so more are hardly ever left.
 FIRST_STEPS = 64
-#: Ranges of the key in which slots are counted apart.
-SLOT_RANGES = 128
+#: Ranges of a shard in which slots are counted apart: the fewest, and the bytes of text that one should hold.
+MIN_RANGES = 128
+RANGE_BYTES = 32 << 20
 
 
 def _next_state(hi: Column, lo: Column) -> tuple[Column, Column]:
@@ -86,10 +88,13 @@ def jump_hash(key: Column, shards: int) -> Column:
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Add size, text_crc32, law, shard, slot and grown_shard to every row.
 
-    ``slot`` counts 0, 1, 2 ... inside each shard in the order of the key.
+    ``slot`` counts 0, 1, 2 ... inside each shard in the order of a hash of key and text, so
+    that ranges of it hold about as much each, whatever the keys; their number follows the bytes.
     """
-    bounds = common.range_bounds(docs.select(key), key, SLOT_RANGES)
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))).first()[0] or 0
+    ranges = max(MIN_RANGES, -(-total // (shards * RANGE_BYTES)))
     body = F.coalesce(F.col(text), F.lit(""))
+    place = common.hex52("slot", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(body))
     placed = (
         docs.withColumns(
             {
@@ -98,9 +103,9 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
                 "law": F.lit("key"),
                 "shard": jump_hash(F.col(key), shards),
                 "grown_shard": jump_hash(F.col(key), shards + 1),
-                "__range": common.range_of(F.col(key), bounds),
+                "__place": place,
             }
         )
-    )
-    order = [F.col(key).asc_nulls_first(), F.col("text_crc32"), F.col("size")]
-    return common.gapless_rank(placed, "slot", ["shard"], "__range", order)
+    ).withColumn("__range", F.floor(F.col("__place") * (ranges / float(1 << 52))).cast("int"))
+    order = [F.col("__place"), F.col(key).asc_nulls_first(), F.col("text_crc32"), F.col("size")]
+    return common.gapless_rank(placed, "slot", ["shard"], "__range", order).drop("__place")
