@@ -2,7 +2,8 @@
 
 The terms of a text are pairs of neighbouring character classes (lower case,
 upper case, digit, space, line break, each punctuation mark, anything else),
-counted over the whole text, and three measures of repetition: words that repeat
+counted over the whole text, its words, hashed to a fixed number of terms, and three measures
+of repetition: words that repeat
 the word before, words seen before, and lines seen before. Term weights are
 log-scaled counts times inverse document frequency; their singular vectors
 (latent semantic analysis) give each text a short vector. The labelled vectors
@@ -16,11 +17,15 @@ smallest hash of their id, and so is bounded in size; scoring covers every row.
 Edge cases: null and empty texts have no terms and get the share of good labels
 as score; labels that are null or whose document is missing are not used; without
 any label the score is 0.5; a null doc_id is not held out; repeated rows are
-scored alike; an empty table gives an empty result.
+scored alike; neighbours as near as the last one all vote; a text of any length is
+one value in one task; other columns are left alone (names that start with two
+underscores are reserved); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -29,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from . import common
 
@@ -59,11 +65,15 @@ def _classes() -> tuple[np.ndarray, int]:
 
 CLASS_OF, N_CLASSES = _classes()
 N_PAIRS = N_CLASSES * N_CLASSES
-N_TERMS = N_PAIRS + 3
+#: Terms that words are hashed to.
+N_WORDS = 1024
+N_TERMS = N_PAIRS + N_WORDS + 3
+#: What words weigh beside the character pairs, which have length 1.
+WORD_WEIGHT = 0.5
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Counts of the character pairs, then the three shares of repetition."""
+    """Counts of the character pairs and of the hashed words, then the three shares of repetition."""
     out = np.zeros(N_TERMS, np.float32)
     raw = (text or "").encode()
     if not raw:
@@ -71,14 +81,17 @@ def terms(text: str | None) -> np.ndarray:
     kinds = CLASS_OF[np.frombuffer(raw, np.uint8)]
     pairs = kinds[:-1].astype(np.uint16) * N_CLASSES + kinds[1:]
     out[:N_PAIRS] = np.bincount(pairs, minlength=N_PAIRS)
-    out[kinds[0] * N_CLASSES + kinds[0]] += len(raw) == 1
+    out[int(kinds[0]) * (N_CLASSES + 1)] += len(raw) == 1
     words = raw.split()
+    seen = Counter(words)
+    at = np.fromiter((zlib.crc32(w.lower()) % N_WORDS for w in seen), np.int64, len(seen))
+    np.add.at(out, N_PAIRS + at, np.fromiter(seen.values(), np.float32, len(seen)))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     if len(words) > 1:
-        out[N_PAIRS] = sum(map(eq, words, words[1:])) / (len(words) - 1)
-        out[N_PAIRS + 1] = max(0.0, 1 - len(set(words)) / len(words) - 0.5)
+        out[-3] = sum(map(eq, words, words[1:])) / (len(words) - 1)
+        out[-2] = max(0.0, 1 - len(seen) / len(words) - 0.5)
     if len(lines) > 1:
-        out[N_PAIRS + 2] = 1 - len(set(lines)) / len(lines)
+        out[-1] = 1 - len(set(lines)) / len(lines)
     return out
 
 
@@ -96,8 +109,9 @@ class Model:
     prior: float
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        pairs = _unit(np.log1p(counts[:, :N_PAIRS]) * self.idf)
-        return np.hstack([pairs, np.sqrt(counts[:, N_PAIRS:]) * REPETITION_WEIGHT]).astype(np.float32)
+        counted = np.log1p(counts[:, :-3]) * self.idf
+        pairs, words = _unit(counted[:, :N_PAIRS]), _unit(counted[:, N_PAIRS:]) * WORD_WEIGHT
+        return np.hstack([pairs, words, np.sqrt(counts[:, -3:]) * REPETITION_WEIGHT]).astype(np.float32)
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
         return _unit(self.weigh(counts) @ self.axes)
@@ -108,14 +122,26 @@ class Model:
         for at in range(0, len(counts) if len(self.vectors) else 0, BLOCK):
             near = self.embed(counts[at : at + BLOCK]) @ self.vectors.T
             k = min(NEIGHBOURS, near.shape[1])
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.clip(np.take_along_axis(near, top, 1), 0, 1).astype(np.float64) ** SHARPNESS
-            total = weight.sum(axis=1)
-            share = (weight * self.votes[top]).sum(axis=1) / np.where(total > 0, total, 1)
+            last = np.partition(near, near.shape[1] - k, axis=1)[:, [near.shape[1] - k]]
+            row, column = np.nonzero(near >= last)
+            weight = np.clip(near[row, column], 0, 1).astype(np.float64) ** SHARPNESS
+            total = np.bincount(row, weight, len(near))
+            share = np.bincount(row, weight * self.votes[column], len(near)) / np.where(total > 0, total, 1)
             out[at : at + BLOCK] = np.where(total > 1e-9, share, self.prior)
         return np.clip(out, 0.0, 1.0)
 
 
+def leading_axes(weighed: np.ndarray, count: int) -> np.ndarray:
+    """The right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
+    start = np.random.default_rng(5).normal(size=(weighed.shape[1], min(count + 16, *weighed.shape)))
+    q = np.linalg.qr(start)[0]
+    for _ in range(8):
+        q = np.linalg.qr(weighed.T @ (weighed @ q))[0]
+    inside = weighed @ q
+    _, turned = np.linalg.eigh(inside.T @ inside)
+    return q @ turned[:, ::-1][:, :count]
+
+
 def bucket(doc_id: Column, modulus: int = 3) -> Column:
     """crc32 of the id as text, modulo; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
@@ -144,19 +170,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensio
         one = common.lowest_by_hash(usable.filter(F.col("quality") == label), ["doc_id"], sizes[label], per_class)
         picked = one if picked is None else picked.unionByName(one)
     if picked is None:
-        return Model(np.zeros(N_PAIRS), np.zeros((N_TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
+        return Model(np.zeros(N_TERMS - 3), np.zeros((N_TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = _counted(texts).collect()
+    # an id may have many texts, and many of them equal: as many distinct ones as were asked for
+    rows = _counted(texts).groupBy("quality", "terms").agg(F.lit(1)).select("quality", "terms")
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("terms"), "terms")
+    rows = rows.withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= per_class).collect()
     prior = sizes.get(1, 0) / sum(sizes.values())
     if not rows:
-        return Model(np.zeros(N_PAIRS), np.zeros((N_TERMS, 1)), np.zeros((0, 1)), np.zeros(0), prior)
+        return Model(np.zeros(N_TERMS - 3), np.zeros((N_TERMS, 1)), np.zeros((0, 1)), np.zeros(0), prior)
     rows.sort(key=lambda r: (r.quality, r.terms))
     counts = np.frombuffer(b"".join(r.terms for r in rows), np.float32).reshape(-1, N_TERMS)
-    seen = (counts[:, :N_PAIRS] > 0).sum(axis=0)
+    seen = (counts[:, :-3] > 0).sum(axis=0)
     model = Model(np.log((1 + len(rows)) / (1 + seen)) + 0.1, np.eye(N_TERMS, 1), np.zeros((0, 1)), np.array([r.quality for r in rows], float), prior)
     weighed = model.weigh(counts).astype(np.float64)
-    _, axes = np.linalg.eigh(weighed.T @ weighed)
-    model.axes = axes[:, ::-1][:, : min(dimensions, len(rows))].astype(np.float32)
+    model.axes = leading_axes(weighed, min(dimensions, len(rows))).astype(np.float32)
     model.vectors = model.embed(counts)
     return model
 
