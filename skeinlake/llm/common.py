@@ -23,11 +23,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own if unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; one of our own if unset in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-skeinlake-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -80,7 +82,8 @@ def most_frequent(counts: DataFrame, col: str, limit: int) -> DataFrame:
     """The rows whose ``col``, a positive count, is so high that ``limit`` rows at most are as high.
 
     A histogram over sixteenths of powers of two finds the cut, so only rows above
-    it leave their tasks. Equal counts stay together.
+    it leave their tasks. Equal counts stay together, unless more than ``limit`` rows have the
+    highest ones; then those with the smallest hash are taken.
     """
     step = F.floor(F.log2(col) * 16).cast("int")
     found = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -90,6 +93,10 @@ def most_frequent(counts: DataFrame, col: str, limit: int) -> DataFrame:
         if held > limit:
             break
         cut = row.step
+    if cut is None and found:
+        highest = max(r.step for r in found)
+        rest = [c for c in counts.columns if c != col]
+        return counts.filter(step == highest).orderBy(F.col(col).desc(), F.xxhash64(*rest), *rest).limit(limit)
     return counts.limit(0) if cut is None else counts.filter(step >= cut)
 
 

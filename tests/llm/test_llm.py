@@ -484,6 +484,20 @@ def test_scores_are_votes_of_the_nearest(spark, docs, local):
         assert score == pytest.approx((weight * model.votes[top]).sum() / weight.sum(), abs=1e-3)
 
 
+def test_quality_terms_and_axes():
+    one = quality.terms("{")
+    assert one[int(quality.CLASS_OF[ord("{")]) * (quality.N_CLASSES + 1)] == 1 and one[: quality.N_PAIRS].sum() == 1
+    text = "ab ab cd\ncd é"
+    raw = [int(quality.CLASS_OF[b]) for b in text.encode()]
+    want = Counter(a * quality.N_CLASSES + b for a, b in zip(raw, raw[1:]))
+    got = quality.terms(text)
+    assert {i: got[i] for i in np.flatnonzero(got[: quality.N_PAIRS])} == want
+    assert got[quality.N_PAIRS : -3].sum() == 5 and got[-3] == pytest.approx(0.5)
+    x = np.random.default_rng(1).normal(size=(60, 40)) * np.geomspace(1, 1e-3, 40)
+    axes, (_, _, v) = quality.leading_axes(x, 6), np.linalg.svd(x)
+    assert np.allclose(np.abs((axes * v[:6].T).sum(axis=0)), 1, atol=1e-3)
+
+
 def test_quality_odd_input(spark, odd):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (5, None), (None, 1), (77, 0), (7, 0)], "doc_id bigint, quality int")
     got = quality.classify(odd, labels)
@@ -706,6 +720,21 @@ def test_pipeline_stages(spark, local):
     assert rows(again.toPandas()) == rows(frame.toPandas())
 
 
+def test_stages_on_odd_rows_and_clashing_columns(spark, odd):
+    """All stages in turn, on a table whose columns have the names that stages add, and on an empty one."""
+    import corpus_pipeline
+
+    frame, columns = odd.withColumns({"rate": F.lit("mine"), "position": F.lit("mine")}), None
+    for frame in (frame, empty(spark, frame)):
+        columns = frame.columns
+        for name, stage in corpus_pipeline.STAGES:
+            frame = common.materialise(stage(spark, frame, SF), "t")
+            if name != "sharding":
+                assert frame.columns == columns
+                assert frame.filter("copy <> 'mine' OR rate <> 'mine' OR position <> 'mine' OR slot <> 7 OR fp <> 'f'").count() == 0
+        assert set(columns) <= set(frame.columns)
+
+
 def test_copies_in_a_chained_component(spark):
     """The component's smallest document is unlike the others; of equal and of similar texts one stays all the same."""
     rng = np.random.default_rng(4)
