@@ -7,6 +7,7 @@ kept; all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skeinlake.llm import common, decontam, mixing, quality, sharding, simhash
 
@@ -30,7 +31,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out by the weight of their source, in shuffled order."""
-    return mixing.mix(docs).select(*docs.columns)
+    own = {c: f"__own_{c}" for c in ("copy", "rate", "position") if c in docs.columns}
+    mixed = mixing.mix(docs.withColumnsRenamed(own))
+    return mixed.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
