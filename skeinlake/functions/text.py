@@ -81,11 +81,10 @@ def redact(text: Column, entropy_bits: float = ENTROPY_BITS) -> Column:
     """Secrets replaced by ``[redacted:kind]``: six patterns, then tokens of high entropy."""
     for kind, pattern in REDACTIONS:
         text = F.regexp_replace(text, pattern, f"$1[redacted:{kind}]$3")
-    return replace_matches(
-        text,
-        ENTROPY_TOKEN,
-        lambda t: F.when(~looks_like_prose(t) & (shannon_entropy(t) >= entropy_bits), F.lit("[redacted:private-key-words]")).otherwise(t),
-    )
+    hidden = F.lit("[redacted:private-key-words]")
+    judged = lambda t: F.when(~looks_like_prose(t) & (shannon_entropy(t) >= entropy_bits), hidden).otherwise(t)
+    # as the variable of a function the text is replaced once, however often it is named
+    return F.element_at(F.transform(F.array(text), lambda t: replace_matches(t, ENTROPY_TOKEN, judged)), 1)
 
 
 # --- refusals and structured answers ----------------------------------------------
@@ -263,7 +262,7 @@ def trim_to_null(text: Column) -> Column:
 def parse_time_ms(text: Column) -> Column:
     """Epoch milliseconds from digits or an ISO time; null if it is neither."""
     iso = F.unix_millis(F.try_to_timestamp(text))
-    return F.when(text.rlike(r"^\d+$"), F.expr("1") * F.try_to_number(text, F.lit("9999999999999999")).cast("long")).otherwise(iso)
+    return F.when(text.rlike(r"^\d+$"), F.try_to_number(text, F.lit("9" * 19)).cast("long")).otherwise(iso)
 
 
 # --- paths ------------------------------------------------------------------------

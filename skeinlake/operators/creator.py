@@ -99,6 +99,6 @@ def effective(sess: DataFrame, corrections: DataFrame, evidence: DataFrame) -> D
 
 def learned_vocabulary(msgs: DataFrame, least: int = 4) -> DataFrame:
     """(word, n): words of 5 to 18 letters that recur in assistant prose."""
-    words = F.regexp_extract_all(F.lower(F.substring("text", 1, 3000)), F.lit(r"\b[a-z]{5,18}\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.substring("text", 1, 3000)), F.lit(r"(?<![A-Za-z0-9_])[a-z]{5,18}(?![A-Za-z0-9_])"), F.lit(0))
     told = msgs.filter(F.col("role") == "assistant").select(F.explode(words).alias("word"))
     return told.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)

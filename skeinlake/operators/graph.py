@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or one of our own if unset."""
+    """The folder of spark.checkpoint.dir, or one of our own if unset in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-skeinlake-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -74,6 +76,8 @@ def chains(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         low = label.join(around, "a").select("a", F.least("label", "m").alias("label"))
         jump = low.select(F.col("a").alias("label"), F.col("label").alias("up"))
         label = low.join(jump, "label", "left").select("a", F.least("label", F.coalesce("up", "label")).alias("label"))
+    else:
+        raise RuntimeError(f"chains don't settle in {most_rounds} rounds")
     return label.select(F.col("a").alias("session_id"), F.col("label").alias("chain"))
 
 
@@ -93,23 +97,19 @@ def chain_summary(members: DataFrame, sess: DataFrame) -> DataFrame:
     )
 
 
-MERGE_SQL = """
-WITH RECURSIVE newest AS (
-  SELECT from_tag, to_tag, action FROM (
-    SELECT *, row_number() OVER (PARTITION BY from_tag ORDER BY created_at DESC, id DESC) AS rn FROM {decisions}) WHERE rn = 1),
-walk AS (
-  SELECT from_tag AS tag, to_tag AS target, 1 AS depth FROM newest WHERE action = 'merge'
-  UNION ALL
-  SELECT w.tag, n.to_tag, w.depth + 1 FROM walk w JOIN newest n ON n.from_tag = w.target AND n.action = 'merge' WHERE w.depth < 8)
-SELECT tag, target, depth FROM (
-  SELECT *, row_number() OVER (PARTITION BY tag ORDER BY depth DESC) AS rn FROM walk) WHERE rn = 1
-"""
-
-
 def final_merges(spark: SparkSession, decisions: DataFrame) -> DataFrame:
-    """(tag, target, depth): where each merged tag ends up, eight merges deep at most."""
-    decisions.createOrReplaceTempView("skein_tag_decisions")
-    return spark.sql(MERGE_SQL.format(decisions="skein_tag_decisions"))
+    """(tag, target, depth): where each merged tag ends up, eight merges deep at most.
+
+    Three times each pointer takes over its target's own pointer, so eight hops take three joins.
+    """
+    place = F.row_number().over(Window.partitionBy("from_tag").orderBy(F.col("created_at").desc(), F.col("id").desc()))
+    newest = decisions.withColumn("__rn", place).filter("__rn = 1 AND action = 'merge'")
+    walk = checkpoint(newest.select(F.col("from_tag").alias("tag"), F.col("to_tag").alias("target"), F.lit(1).alias("depth")))
+    for _ in range(3):
+        on = walk.select(F.col("tag").alias("__t"), F.col("target").alias("__to"), F.col("depth").alias("__d"))
+        further = walk.join(on, walk["target"] == F.col("__t"), "left")
+        walk = checkpoint(further.select("tag", F.coalesce("__to", "target").alias("target"), (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth")))
+    return walk
 
 
 def display_tags(spark: SparkSession, tags: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def display_tags(spark: SparkSession, tags: DataFrame, decisions: DataFrame) ->
     place = F.row_number().over(Window.partitionBy("from_tag").orderBy(F.col("created_at").desc(), F.col("id").desc()))
     newest = decisions.withColumn("__rn", place).filter("__rn = 1")
     merged = final_merges(spark, decisions).select(F.col("tag").alias("__t"), "target")
-    shown = tags.join(F.broadcast(merged), tags["tag"] == F.col("__t"), "left").select("session_id", F.coalesce("target", "tag").alias("tag"))
+    shown = tags.join(merged, tags["tag"] == F.col("__t"), "left").select("session_id", F.coalesce("target", "tag").alias("tag"))
     demoted = newest.filter("action = 'demote'").select(F.col("from_tag").alias("tag"))
     nested = newest.filter("action = 'nest'").select(F.col("from_tag").alias("tag"), F.col("to_tag").alias("parent"))
     return shown.join(demoted, "tag", "left_anti").join(nested, "tag", "left").select("session_id", "tag", "parent").distinct()

@@ -69,12 +69,12 @@ def project_root(path: Column) -> Column:
 
 
 def resolve(stats: DataFrame, target: str, also: list[str] = (), exclude: list[str] = ()) -> DataFrame:
-    """(cwd, reason): folders that belong to the project at ``target``.
+    """(cwd, reason): folders that belong to the project that ``target`` lies in.
 
     exact, inside, also; or, for any folder on the way to a cwd, moved (same name
     where projects live), renamed (parent and name joined by a dash) or worktree.
     """
-    t = target.rstrip("/") or "/"
+    t = stats.sparkSession.range(1).select(project_root(F.lit(target))).first()[0] or "/"
     parent, base = ["", *t.split("/")][-2:]
     generic = base in GENERIC
     cwd = fx.trim_slash(F.col("cwd"))

@@ -30,6 +30,12 @@ def head_tail(msgs: DataFrame, cap: int) -> DataFrame:
     return rows.groupBy("session_id", part.alias("part")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("turns"))
 
 
+def sharded(requests: DataFrame, key: list[str], rows: int = 100_000) -> DataFrame:
+    """Adds ``shard``, so that about ``rows`` requests share one: their number follows the table."""
+    shards = -(-requests.count() // rows) or 1
+    return requests.withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int"))
+
+
 def pack(requests: DataFrame, shard: list[str], order: list[str], most_items: int, most_tokens: int) -> DataFrame:
     """(shard..., order..., batch): requests dealt in order to batches within two caps.
 

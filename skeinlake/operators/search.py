@@ -1,7 +1,9 @@
 """Ranked and literal search over messages.
 
-An index of postings (term, document, frequency, positions) is built once as a
-DataFrame; a query reads only the postings of its terms.
+``bm25`` scans the documents, cutting each text once. ``write_index`` stores postings (term,
+document, frequency, positions) by a hash of the term; ``bm25_of_index`` reads only the
+folders of the terms asked for. Query and text are cut by one rule: case and diacritics are
+folded, and code and path atoms stay whole. Phrases are ranked as units.
 """
 
 from __future__ import annotations
@@ -10,14 +12,22 @@ import base64
 import hashlib
 import json
 import re
+import unicodedata
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: what a term is made of, besides letters and digits.
 TERM = r"[\p{L}\p{N}_+./-]+"
+#: Letters of the Latin blocks and what is left of them without diacritics; marks that stand alone go.
+ACCENTED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+FOLDED = {a: b for a, b in ACCENTED if a != b and a == a.lower()}
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+#: Folders of an index.
+FOLDERS = 64
 K1 = 1.2
 B = 0.75
 #: The weight of a term that more than half of the documents hold.
@@ -37,12 +47,57 @@ def atoms(text: str) -> list[str]:
     return found
 
 
+def fold(text: str) -> str:
+    return text.lower().translate(str.maketrans(FOLDED) | dict.fromkeys(map(ord, MARKS)))
+
+
 def terms_of(atom: str) -> list[str]:
-    return [t.lower() for t in re.findall(r"[^\W]+(?:[_+./-]|[^\W])*|[_+./-]+", atom)]
+    """The terms of a query's atom, cut as texts are."""
+    return ["".join(run) for run in _runs(fold(atom))]
+
+
+def _runs(text: str) -> list[list[str]]:
+    runs: list[list[str]] = []
+    inside = False
+    for c in text:
+        belongs = c in "_+./-" or unicodedata.category(c)[0] in "LN"
+        if belongs and inside:
+            runs[-1].append(c)
+        elif belongs:
+            runs.append([c])
+        inside = belongs
+    return runs
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    plain = F.translate(F.lower(text), "".join(FOLDED) + MARKS, "".join(FOLDED.values()))
+    return F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))
+
+
+def _counted(text: Column, wanted: Sequence[Sequence[str]]) -> Column:
+    """struct(dl, tf0, tf1 ...): terms of the text, and how often it holds each sequence of terms.
+
+    The terms are the variable of a function, so that they are cut once.
+    """
+
+    def count(t: Column, phrase: Sequence[str]) -> Column:
+        if len(phrase) == 1:
+            return F.size(F.filter(t, lambda x: x == phrase[0]))
+        last = F.size(t) - (len(phrase) - 1)
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+        def here(i: Column) -> Column:
+            found = F.element_at(t, i) == phrase[0]
+            for k in range(1, len(phrase)):
+                found = found & (F.element_at(t, i + k) == phrase[k])
+            return found
+
+        return F.size(F.filter(starts, here))
+
+    def all_counts(t: Column) -> Column:
+        return F.struct(F.size(t).alias("dl"), *[count(t, w).alias(f"tf{i}") for i, w in enumerate(wanted)])
+
+    return F.element_at(F.transform(F.array(terms(text)), all_counts), 1)
 
 
 def documents(msgs: DataFrame) -> DataFrame:
@@ -65,47 +120,74 @@ def index_stats(post: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """(session_id, ordinal, score) of documents that hold all wanted terms; lower is better.
+    """(session_id, ordinal, score) of documents that hold all atoms of the query; lower is better.
 
-    Only occurrences of the wanted terms leave the scan.
+    An atom of several terms is a phrase and counts where they stand side by side.
     """
-    wanted = list(dict.fromkeys(wanted))
-    listed = docs.select("session_id", "ordinal", terms(F.col("text")).alias("__t"))
-    sized = listed.withColumn("dl", F.size("__t"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-
-    def frequency(term: str) -> Column:
-        return F.size(F.filter("__t", lambda x: x == term))
-
-    tfs = [frequency(t).alias(f"tf{i}") for i, t in enumerate(wanted)]
-    held = sized.select("session_id", "ordinal", "dl", *tfs)
-    dfs = held.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
+    phrases = [p for p in dict.fromkeys(tuple(terms_of(a)) for a in wanted) if p]
+    if not phrases:
+        raise InvalidQuery("Search query has no searchable text")
+    held = docs.select("session_id", "ordinal", _counted(F.col("text"), phrases).alias("__c")).select("session_id", "ordinal", "__c.*")
+    dfs = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]
+    totals = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *dfs)
+    return _scored(held, totals, len(phrases))
+
+
+def _scored(held: DataFrame, totals: DataFrame, n: int) -> DataFrame:
+    """Scores from (session_id, ordinal, dl, tf0 ...) and one row (n_docs, avgdl, df0 ...)."""
+    score, every = F.lit(0.0), F.lit(True)
+    for i in range(n):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        every = every & (tf > 0)
         idf = F.greatest(F.lit(FLOOR_IDF), F.log((F.col("n_docs") - df + 0.5) / (df + 0.5)))
         score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    every = F.lit(True)
-    for i in range(len(wanted)):
-        every = every & (F.col(f"tf{i}") > 0)
-    return (
-        held.filter(every)
-        .join(F.broadcast(totals))
-        .join(F.broadcast(dfs))
-        .select("session_id", "ordinal", score.alias("score"))
-    )
+    return held.filter(every).join(F.broadcast(totals)).select("session_id", "ordinal", score.alias("score"))
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """Postings by a hash of their term, and one row of totals, as Parquet below ``path``."""
+    post = postings(docs).withColumn("folder", F.crc32(F.col("term").cast("binary")) % FOLDERS)
+    parts = max(FOLDERS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # frequent terms don't share one task: rows of a folder are dealt on by document
+    spread = post.repartition(parts, "folder", F.pmod(F.xxhash64("session_id", "ordinal"), F.lit(8)))
+    spread.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
+    totals = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(terms(F.col("text")))).alias("avgdl"))
+    totals.write.parquet(f"{path}/totals")
+
+
+def _moved(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda x: x - by)
+
+
+def bm25_of_index(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
+    """As ``bm25``, from an index: only folders with a wanted term are read, and the filter on terms reaches the scan."""
+    phrases = [p for p in dict.fromkeys(tuple(terms_of(a)) for a in wanted) if p]
+    if not phrases:
+        raise InvalidQuery("Search query has no searchable text")
+    words = sorted({t for p in phrases for t in p})
+    folders = sorted({zlib.crc32(t.encode()) % FOLDERS for t in words})
+    post = spark.read.parquet(f"{path}/postings").filter(F.col("folder").isin(folders) & F.col("term").isin(words))
+    places = {t: F.first(F.when(F.col("term") == t, F.col("positions")), True) for t in words}
+    found = post.groupBy("session_id", "ordinal", "dl").agg(*[places[t].alias(f"p{i}") for i, t in enumerate(words)])
+
+    def count(phrase: tuple[str, ...]) -> Column:
+        at = [F.col(f"p{words.index(t)}") for t in phrase]
+        none = F.array().cast("array<int>")
+        starts = F.coalesce(at[0], none)
+        for k, own in enumerate(at[1:], 1):
+            starts = F.array_intersect(starts, _moved(F.coalesce(own, none), k))
+        return F.size(starts)
+
+    held = found.select("session_id", "ordinal", "dl", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    dfs = held.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])
+    totals = spark.read.parquet(f"{path}/totals").join(F.broadcast(dfs))
+    return _scored(held, totals, len(phrases))
 
 
 def phrase_matches(docs: DataFrame, phrase: str) -> DataFrame:
     """Documents that hold the phrase's terms side by side, with how often."""
-    wanted = terms_of(phrase)
-    arr = F.array(*[F.lit(t) for t in wanted])
-    listed = docs.select("session_id", "ordinal", terms(F.col("text")).alias("__t"))
-    starts = F.when(
-        F.size("__t") >= len(wanted), F.sequence(F.lit(1), F.size("__t") - len(wanted) + 1)
-    ).otherwise(F.array().cast("array<int>"))
-    hits = F.size(F.filter(starts, lambda i: F.slice("__t", i, len(wanted)) == arr))
-    return listed.select("session_id", "ordinal", hits.alias("hits")).filter("hits > 0")
+    hits = _counted(F.col("text"), [terms_of(phrase)])["tf0"]
+    return docs.select("session_id", "ordinal", hits.alias("hits")).filter("hits > 0")
 
 
 def ranked_sessions(scored: DataFrame, sess: DataFrame) -> DataFrame:

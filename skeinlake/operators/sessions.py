@@ -74,13 +74,20 @@ def elect_title(candidates: DataFrame, key: list[str]) -> DataFrame:
 def percentile(frame: DataFrame, value: str, name: str = "percentile") -> DataFrame:
     """Share of the other rows with a smaller ``value``: rank of the first tie over n - 1.
 
-    Counted per distinct value, so only those meet in one running sum.
+    Counted per distinct value, and summed up in ranges of about as many rows each; what
+    comes before a range is one row of a small table. Nulls come first.
     """
-    per_value = frame.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    below = F.coalesce(F.sum("__n").over(before), F.lit(0))
-    ranked = per_value.withColumn("__below", below).withColumn("__all", F.sum("__n").over(every))
+    ranges = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [i / ranges for i in range(1, ranges)] or [0.5]
+    found = frame.agg(F.percentile_approx(value, cuts, 20 * ranges).alias("q")).first().q
+    bounds = sorted(set(found or []))
+    index = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))), F.lit(0)) if bounds else F.lit(0)
+    per_value = frame.groupBy(value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__range", index)
+    sizes = per_value.groupBy("__range").agg(F.sum("__n").alias("__size"))
+    first = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__range", F.coalesce(F.sum("__size").over(first), F.lit(0)).alias("__first"), F.sum("__size").over(Window.partitionBy()).alias("__all"))
+    before = Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per_value.join(F.broadcast(offsets), "__range").withColumn("__below", F.col("__first") + F.coalesce(F.sum("__n").over(before), F.lit(0)))
     ratio = F.when(F.col("__all") > 1, F.col("__below") / (F.col("__all") - 1)).otherwise(F.lit(0.0))
     return frame.join(ranked.select(F.col(value).alias("__v"), ratio.alias(name)), F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 

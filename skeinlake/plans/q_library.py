@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinlake.operators import packing, passages
-from skeinlake.plans.q_sessions import MSGS, msgs, sess
+from skeinlake.plans.q_sessions import MSGS, SESS, msgs, sess
 from skeinlake.plans.registry import query, table
 
 
@@ -138,11 +138,15 @@ def head_tail_cap(spark, sf_dir):
     return packing.head_tail(msgs(spark, sf_dir), 300)
 
 
-@query("batch_packing")
+@query("batch_packing", f"""WITH RECURSIVE {SESS}, r AS (SELECT harness, session_id, tok_total AS tokens, row_number() OVER (PARTITION BY harness ORDER BY session_id) AS rn FROM sess),
+f AS (SELECT harness, session_id, rn, 0 AS batch, 1 AS items, tokens::BIGINT AS used FROM r WHERE rn = 1
+  UNION ALL SELECT r.harness, r.session_id, r.rn, f.batch + CASE WHEN f.items + 1 > 20 OR f.used + r.tokens > 4000 THEN 1 ELSE 0 END, CASE WHEN f.items + 1 > 20 OR f.used + r.tokens > 4000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items + 1 > 20 OR f.used + r.tokens > 4000 THEN r.tokens ELSE f.used + r.tokens END
+  FROM f JOIN r ON r.harness = f.harness AND r.rn = f.rn + 1)
+SELECT harness, session_id, batch FROM f""")
 def batch_packing(spark, sf_dir):
-    """Sessions dealt to batches of at most 20 sessions and 4,000 tokens, each harness apart."""
+    """Sessions dealt to batches of at most 20 sessions and 4,000 tokens, each harness apart, in shards of a size for one task."""
     s = sess(spark, sf_dir).select("harness", "session_id", F.col("tok_total").alias("tokens"))
-    return packing.pack(s, ["harness"], ["session_id"], 20, 4000)
+    return packing.pack(packing.sharded(s, ["session_id"]), ["harness", "shard"], ["session_id"], 20, 4000).drop("shard")
 
 
 @query("export_ladder", r"""WITH s AS (SELECT source AS scope, sum(ceil(length(text) / 4.0))::BIGINT AS "full", sum(ceil(length(CASE WHEN regexp_extract(trim(text), '^((?:[^.!?]*[.!?]){1,2})', 1) <> '' THEN trim(regexp_extract(trim(text), '^((?:[^.!?]*[.!?]){1,2})', 1)) ELSE trim(text) END) / 4.0))::BIGINT AS short FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),

@@ -167,7 +167,7 @@ def chain_summary(spark, sf_dir):
     return graph.chain_summary(members, s)
 
 
-DECISIONS = """dec AS (SELECT p_partkey AS id, 't' || (p_partkey % 60) AS from_tag, 't' || ((p_partkey * 7) % 60) AS to_tag, CASE WHEN p_size % 4 = 0 THEN 'demote' WHEN p_size % 4 = 1 THEN 'nest' ELSE 'merge' END AS action, p_size AS created_at FROM part WHERE p_partkey <= 150),
+DECISIONS = """dec AS (SELECT p_partkey AS id, 't' || (p_partkey % 600) AS from_tag, 't' || ((p_partkey * 7) % 600) AS to_tag, CASE WHEN p_size % 4 = 0 THEN 'demote' WHEN p_size % 4 = 1 THEN 'nest' ELSE 'merge' END AS action, p_size AS created_at FROM part),
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_tag ORDER BY created_at DESC, id DESC) AS rn FROM dec) WHERE rn = 1),
 walk AS (SELECT from_tag AS tag, to_tag AS target, 1 AS depth FROM newest WHERE action = 'merge' UNION ALL SELECT w.tag, n.to_tag, w.depth + 1 FROM walk w JOIN newest n ON n.from_tag = w.target AND n.action = 'merge' WHERE w.depth < 8),
 fin AS (SELECT tag, target, depth FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY depth DESC) AS rn FROM walk) WHERE rn = 1)"""
@@ -177,8 +177,8 @@ def _decisions(spark, sf_dir):
     k = F.col("p_partkey")
     s = F.col("p_size") % 4
     tag = lambda c: F.concat(F.lit("t"), c.cast("string"))
-    return table(spark, sf_dir, "part").filter(k <= 150).select(
-        k.alias("id"), tag(k % 60).alias("from_tag"), tag(k * 7 % 60).alias("to_tag"), F.when(s == 0, "demote").when(s == 1, "nest").otherwise("merge").alias("action"), F.col("p_size").alias("created_at")
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), tag(k % 600).alias("from_tag"), tag(k * 7 % 600).alias("to_tag"), F.when(s == 0, "demote").when(s == 1, "nest").otherwise("merge").alias("action"), F.col("p_size").alias("created_at")
     )
 
 
@@ -187,11 +187,11 @@ def merge_chain_final(spark, sf_dir):
     return graph.final_merges(spark, _decisions(spark, sf_dir))
 
 
-@query("display_tags", f"""WITH RECURSIVE {DECISIONS}, tags AS (SELECT o_orderkey AS session_id, 't' || (o_orderkey % 60) AS tag FROM orders),
+@query("display_tags", f"""WITH RECURSIVE {DECISIONS}, tags AS (SELECT o_orderkey AS session_id, 't' || (o_orderkey % 600) AS tag FROM orders),
 sh AS (SELECT session_id, coalesce(target, tags.tag) AS tag FROM tags LEFT JOIN fin ON fin.tag = tags.tag)
 SELECT DISTINCT session_id, sh.tag, n.to_tag AS parent FROM sh LEFT JOIN newest n ON n.from_tag = sh.tag AND n.action = 'nest' WHERE sh.tag NOT IN (SELECT from_tag FROM newest WHERE action = 'demote')""")
 def display_tags(spark, sf_dir):
-    tags = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.concat(F.lit("t"), (F.col("o_orderkey") % 60).cast("string")).alias("tag"))
+    tags = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.concat(F.lit("t"), (F.col("o_orderkey") % 600).cast("string")).alias("tag"))
     return graph.display_tags(spark, tags, _decisions(spark, sf_dir))
 
 
@@ -245,15 +245,19 @@ def cwd_statistics(spark, sf_dir):
 
 @query("project_lineage")
 def project_lineage(spark, sf_dir):
-    """Folders that belong to one project, for folders made from the pages' addresses and worktrees of them."""
-    k = F.col("page_id") % 6
-    paths = table(spark, sf_dir, "pages").select(
-        F.concat(
-            F.lit("/home/u/code/"),
-            F.when(k == 0, "app-one/src").when(k == 1, "app-one-wt-x").when(k == 2, "code-app-one").when(k == 3, "other/app-one").when(k == 4, "zeta").otherwise("app-one"),
-        ).alias("cwd")
+    """Folders that belong to one project, for folders made from the hosts and paths of the pages' addresses; the target lies in a worktree."""
+    name = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), r"\.", "-")
+    inside = F.regexp_extract("url", "^[a-z]+://[^/?#]+/?([^?#]*)", 1)
+    folder = (
+        F.when(F.length(inside) % 4 == 0, F.concat(name, F.lit("/src")))
+        .when(F.length(inside) % 4 == 1, F.concat(name, F.lit("-wt-x")))
+        .when(F.length(inside) % 4 == 2, F.concat(F.lit("code-"), name))
+        .otherwise(F.concat(name, F.lit("/"), inside))
     )
-    return lineage.resolve(paths.distinct(), "/home/u/code/app-one")
+    paths = table(spark, sf_dir, "pages").select(F.concat(F.lit("/home/u/code/"), folder).alias("cwd"), name.alias("name"))
+    most = paths.groupBy("name").count().orderBy(F.desc("count"), "name").first()
+    target = f"/home/u/code/{most.name if most else 'none'}/.worktrees/a/src"
+    return lineage.resolve(paths.select("cwd").distinct(), target)
 
 
 @query("project_roots", """SELECT page_id, '/home/u/code/site' || (page_id % 5) AS root FROM pages""")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from skeinlake.operators import search, sessions
+from skeinlake.operators import graph, search, sessions
 from skeinlake.plans.q_sessions import MSGS, SESS, msgs
 from skeinlake.plans.registry import query, table
 
 DOCS = f"""{MSGS},
 docs AS (SELECT session_id, ordinal, text FROM msgs WHERE side IS NOT NULL AND trim(text) <> ''),
-toks AS (SELECT session_id, ordinal, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_+./-]+') AS t FROM docs),
+toks AS (SELECT session_id, ordinal, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_+./-]+') AS t FROM docs),
 tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks)"""
 BM25 = f"""{DOCS},
 tf AS (SELECT session_id, ordinal, len(t) AS dl, len(list_filter(t, lambda x: x = 'and')) AS tf0, len(list_filter(t, lambda x: x = 'to')) AS tf1 FROM toks),
@@ -28,8 +30,7 @@ def _docs(spark, sf_dir):
 
 def _ranked(spark, sf_dir):
     m = msgs(spark, sf_dir)
-    wanted = [t for a in search.atoms("and to") for t in search.terms_of(a)]
-    return search.ranked_sessions(search.bm25(search.documents(m), wanted), sessions.sessions(m))
+    return search.ranked_sessions(search.bm25(search.documents(m), search.atoms("and to")), sessions.sessions(m))
 
 
 @query("search_ranked_sessions", f"WITH {BM25} SELECT session_id, round(rank, 6) AS rank, n_hits, last_activity FROM ranked ORDER BY rank, last_activity DESC, session_id DESC LIMIT 40")
@@ -65,6 +66,43 @@ def search_phrase(spark, sf_dir):
     return search.phrase_matches(_docs(spark, sf_dir), "the of").withColumn("hits", F.col("hits").cast("long"))
 
 
+PHRASE = f"""{DOCS},
+tf AS (SELECT session_id, ordinal, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS tf0, len(list_filter(t, lambda x: x = 'and')) AS tf1 FROM toks),
+dfs AS (SELECT count(*) FILTER (WHERE tf0 > 0) AS df0, count(*) FILTER (WHERE tf1 > 0) AS df1 FROM tf)
+SELECT session_id, ordinal, round(
+  - greatest(1e-6, ln((n - df0 + 0.5) / (df0 + 0.5))) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
+  - greatest(1e-6, ln((n - df1 + 0.5) / (df1 + 0.5))) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score
+FROM tf, dfs, tot WHERE tf0 > 0 AND tf1 > 0"""
+
+
+@query("search_ranked_phrase", f"WITH {PHRASE}")
+def search_ranked_phrase(spark, sf_dir):
+    """A phrase and a word; the phrase is ranked as a unit."""
+    scored = search.bm25(_docs(spark, sf_dir), search.atoms('"Of the" and'))
+    return scored.select("session_id", "ordinal", F.round("score", 6).alias("score"))
+
+
+@query("search_stored_index", f"WITH {PHRASE}")
+def search_stored_index(spark, sf_dir):
+    """The same from a stored index, of which only the folders of the terms are read."""
+    path = f"{graph.scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(_docs(spark, sf_dir), path)
+    scored = search.bm25_of_index(spark, path, search.atoms('"of the" AND'))
+    return scored.select("session_id", "ordinal", F.round("score", 6).alias("score"))
+
+
+PATHS = """p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages), w AS (SELECT min(path) AS path FROM p WHERE len(path) > 1)"""
+
+
+@query("search_path_atoms", f"WITH {PATHS} SELECT page_id AS session_id, 1::BIGINT AS hits FROM p, w WHERE lower(p.path) = lower(w.path)")
+def search_path_atoms(spark, sf_dir):
+    """Pages by the path of their address, which is one atom of the query and of the text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"))
+    wanted = pages.filter("length(path) > 1").agg(F.min("path")).first()[0]
+    docs = pages.select(F.col("page_id").alias("session_id"), F.lit(0).alias("ordinal"), F.concat(F.lit("See: "), "path", F.lit(" (now)")).alias("text"))
+    return search.phrase_matches(docs, search.atoms(wanted)[0]).select("session_id", F.col("hits").cast("long").alias("hits"))
+
+
 @query("inverted_index_stats", f"""WITH {DOCS}, x AS (SELECT session_id, ordinal, unnest(t) AS term FROM toks) SELECT term, count(DISTINCT (session_id, ordinal)) AS df, count(*) AS cf FROM x GROUP BY term""")
 def inverted_index_stats(spark, sf_dir):
     return search.index_stats(search.postings(_docs(spark, sf_dir)))
@@ -100,7 +138,7 @@ def literal_substring_search(spark, sf_dir):
 
 
 @query("search_title_scope", f"""WITH {MSGS}, t AS (SELECT session_id, arg_min(text, ordinal) AS title FROM msgs WHERE record_kind = 'real_user' AND trim(text) <> '' GROUP BY 1)
-SELECT session_id FROM t WHERE list_contains(regexp_extract_all(lower(rtrim(substr(trim(regexp_replace(title, '\\s+', ' ', 'g')), 1, 240))), '[\\p{{L}}\\p{{N}}_+./-]+'), 'the')""")
+SELECT session_id FROM t WHERE list_contains(regexp_extract_all(strip_accents(lower(rtrim(substr(trim(regexp_replace(title, '\\s+', ' ', 'g')), 1, 240)))), '[\\p{{L}}\\p{{N}}_+./-]+'), 'the')""")
 def search_title_scope(spark, sf_dir):
     """Sessions whose title, not their dialogue, holds the term."""
     titles = sessions.session_titles(msgs(spark, sf_dir))

@@ -62,11 +62,14 @@ def redact_rules(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(fx.redact(planted)).alias("digest"))
 
 
-@query("redact_high_entropy", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[redacted:private-key-words]' ELSE 'unbelievable_internationalization' END AS shown FROM documents""")
+@query("redact_high_entropy", """WITH t AS (SELECT doc_id, 'x' || to_base64(unhex(sha256(text))) AS random, md5(text) AS hex, 'unbelievable_internationalization' AS word FROM documents),
+c AS (SELECT doc_id, random, hex, word, len(random) AS n, list_distinct(string_split(random, '')) AS cs FROM t),
+e AS (SELECT *, list_sum(list_transform(cs, lambda x: -((n - len(replace(random, x, ''))) / n) * log2((n - len(replace(random, x, ''))) / n))) AS bits, len(regexp_replace(random, '[^aeiouAEIOU]', '', 'g')) / n AS vowels FROM c)
+SELECT doc_id, 'a ' || CASE WHEN vowels < 0.28 AND bits >= 4.8 THEN '[redacted:private-key-words]' ELSE random END || ' b ' || hex || ' c ' || word AS shown FROM e""")
 def redact_high_entropy(spark, sf_dir):
-    """Tokens without any pattern: random ones go, long words stay."""
-    token = F.when(F.col("doc_id") % 2 == 0, "qZ7xK2mW9pL4vB8nT3rY6dHs1fGj5cX0").otherwise("unbelievable_internationalization")
-    return _docs(spark, sf_dir).select("doc_id", fx.redact(token).alias("shown"))
+    """Tokens without any pattern, made of each text: those of high entropy go, hexadecimal digests and long words stay."""
+    made = F.concat(F.lit("a x"), F.base64(F.unhex(F.sha2("text", 256))), F.lit(" b "), F.md5("text"), F.lit(" c unbelievable_internationalization"))
+    return _docs(spark, sf_dir).select("doc_id", fx.redact(made).alias("shown"))
 
 
 @query("refusal_flags", """SELECT conv_id, turn, (regexp_matches(x, '(?i)I(?:''m| am) (?:sorry|unable|not able)') OR trim(x) = '')::INT AS refusal FROM (
@@ -76,11 +79,11 @@ def refusal_flags(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", fx.is_refusal(x).cast("int").alias("refusal"))
 
 
-@query("tier1_validation", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'unparseable JSON' WHEN 1 THEN 'topic_line under floor' WHEN 2 THEN 'zero tag candidates' ELSE NULL END AS problem,
-  CASE doc_id % 4 WHEN 3 THEN 'topic of ' || source WHEN 1 THEN 'short' WHEN 2 THEN 'topic of ' || source ELSE '' END AS topic_line, CASE WHEN doc_id % 4 IN (1, 3) THEN 'alpha,beta' ELSE '' END AS tags FROM documents""")
+@query("tier1_validation", """SELECT doc_id, CASE length(text) % 4 WHEN 0 THEN 'unparseable JSON' WHEN 1 THEN 'topic_line under floor' WHEN 2 THEN 'zero tag candidates' ELSE NULL END AS problem,
+  CASE length(text) % 4 WHEN 3 THEN 'topic of ' || md5(text) WHEN 1 THEN 'short' WHEN 2 THEN 'topic of ' || md5(text) ELSE '' END AS topic_line, CASE WHEN length(text) % 4 IN (1, 3) THEN 'alpha,beta' ELSE '' END AS tags FROM documents""")
 def tier1_validation(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    named = F.concat(F.lit('Here: {"topic_line": "topic of '), "source", F.lit('", "tags": '))
+    k = F.length("text") % 4
+    named = F.concat(F.lit('Here: {"topic_line": "topic of '), F.md5("text"), F.lit('", "tags": '))
     raw = (
         F.when(k == 0, F.lit("no structure {at all"))
         .when(k == 1, F.lit('{"topic_line": "short", "tags": ["Alpha", " beta "]}'))
@@ -182,10 +185,9 @@ def effective_creator(spark, sf_dir):
     return creator.effective(base, fixes, told)
 
 
-@query("learned_vocabulary", f"""WITH {MSGS} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(substr(text, 1, 3000)), '\\b[a-z]{{5,18}}\\b')) AS word FROM msgs WHERE role = 'assistant' AND regexp_matches(text, '^[\\x00-\\x7F]*$')) GROUP BY 1 HAVING count(*) >= 4""")
+@query("learned_vocabulary", f"""WITH {MSGS} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(substr(text, 1, 3000)), '\\b[a-z]{{5,18}}\\b')) AS word FROM msgs WHERE role = 'assistant') GROUP BY 1 HAVING count(*) >= 4""")
 def learned_vocabulary(spark, sf_dir):
-    """Over the assistant's ASCII prose, where every engine agrees what a word boundary is."""
-    return creator.learned_vocabulary(msgs(spark, sf_dir).filter(F.col("text").rlike(r"^[\x00-\x7F]*$")))
+    return creator.learned_vocabulary(msgs(spark, sf_dir))
 
 
 UNITS = f"""{MSGS},

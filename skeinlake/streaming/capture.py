@@ -1,48 +1,117 @@
 """Capture: follow a folder of transcripts and take in what is new.
 
-A stream of files goes through ``foreachBatch``. A batch keeps the lines whose
-(path, digest) isn't there yet, so a batch that is run again, or a file that is
-copied, adds nothing; torn last lines wait for the next version of the file.
+Transcripts grow at their end. A sweep lists the files, compares their sizes with the
+offsets taken so far and reads only the bytes behind those, in windows of 1 MiB, up to the
+last line break; a torn line waits for the next sweep. A file that has become shorter was
+written anew and starts a new generation at offset 0. The lines of a sweep and the offsets
+after it are written under the sweep's number, lines first, so a sweep that broke off is
+done again and adds nothing twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-FILE = "path string, modificationTime timestamp, length long, content binary"
+OFFSETS = "path string, generation long, taken long, sweep long"
+LINES = "path string, generation long, byte_offset long, line string"
+WINDOW = 1 << 20
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of every file; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length")
+
+
+def pending(files: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(path, generation, start, length) of the files with bytes that weren't taken."""
+    known = offsets.select(F.col("path").alias("__p"), "generation", "taken")
+    both = files.join(known, files["path"] == F.col("__p"), "left")
+    shrunk = F.coalesce(F.col("taken") > F.col("length"), F.lit(False))
+    start = F.when(shrunk, 0).otherwise(F.coalesce("taken", F.lit(0))).cast("long")
+    generation = (F.coalesce("generation", F.lit(0)) + shrunk.cast("int")).cast("long")
+    return both.select("path", generation.alias("generation"), start.alias("start"), "length").filter("length > start")
+
+
+def new_lines(todo: DataFrame) -> DataFrame:
+    """(path, generation, byte_offset, line): the complete lines behind each file's start."""
+    window = WINDOW
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-def complete_part(content):
-    """The content up to its last line break, as text; null without any."""
-    text = F.decode(content, "UTF-8")
-    return F.regexp_extract(text, r"(?s)^(.*\n)", 1)
+        for batch in batches:
+            for file in batch.to_pylist():
+                store, at = fs.FileSystem.from_uri(file["path"].replace("file:/", "file:///", 1) if not file["path"].startswith("file:///") else file["path"])
+                with store.open_input_file(at) as source:
+                    begin, rest = file["start"], b""
+                    source.seek(begin)
+                    left = file["length"] - begin
+                    while left > 0 and (got := source.read(min(window, left))):
+                        left -= len(got)
+                        lines = (rest + got).split(b"\n")
+                        rest = lines.pop()
+                        offsets = [begin]
+                        for line in lines:
+                            offsets.append(offsets[-1] + len(line) + 1)
+                        begin = offsets.pop()
+                        n = len(lines)
+                        text = pa.array([line.decode("utf-8", "replace") for line in lines], pa.string())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([file["path"]] * n, pa.string()), pa.array([file["generation"]] * n, pa.int64()), pa.array(offsets, pa.int64()), text],
+                            names=["path", "generation", "byte_offset", "line"],
+                        )
 
+    parts = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return todo.repartition(parts, "path").mapInArrow(read, LINES)
 
-def new_lines(files: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """(path, line_no, digest, line) of complete lines that ``seen`` (path, line_no, digest) lacks."""
-    body = F.regexp_replace(complete_part(F.col("content")), "\n$", "")
-    lines = files.filter(F.length(complete_part(F.col("content"))) > 0).select("path", F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("digest", F.sha2("line", 256)).select("path", F.col("line_no").cast("long").alias("line_no"), "digest", "line")
-    return lines if seen is None else lines.join(seen.select("path", "line_no", "digest"), ["path", "line_no", "digest"], "left_anti")
 
+def offsets_of(spark: SparkSession, state: str) -> tuple[DataFrame, int]:
+    """What the last whole sweep left, and its number; nothing and 0 before the first."""
+    try:
+        every = spark.read.schema(OFFSETS).parquet(state)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], OFFSETS), 0
+    last = every.agg(F.max("sweep")).first()[0] or 0
+    return every.filter(F.col("sweep") == last), last
 
-def follow(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Take in everything that is there now; a later run takes in what came since."""
-    stream = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").load(folder)
+
+def sweep(spark: SparkSession, folder: str, out: str, state: str) -> int:
+    """Take in what is new: lines to ``out``/sweep=n, offsets to ``state``/sweep=n. Returns n."""
+    known, last = offsets_of(spark, state)
+    number = last + 1
+    path = f"{out}/sweep={number}"
+    new_lines(pending(listing(spark, folder), known)).write.mode("overwrite").parquet(path)
+    taken = spark.read.schema(LINES).parquet(path)
+    end = F.struct("generation", F.col("byte_offset") + F.octet_length("line") + 1)
+    ends = taken.groupBy("path").agg(F.max(end).alias("e")).select("path", "e.generation", F.col("e.col2").cast("long").alias("taken"))
+    kept = known.select("path", "generation", "taken").join(ends.select("path"), "path", "left_anti")
+    kept.unionByName(ends).write.mode("overwrite").parquet(f"{state}/sweep={number}")
+    return number
+
+
+def captured(spark: SparkSession, out: str) -> DataFrame:
+    """(path, generation, byte_offset, line, sweep) of all sweeps, of each file's newest generation."""
+    lines = spark.read.schema(f"{LINES}, sweep long").parquet(out)
+    newest = lines.groupBy("path").agg(F.max("generation").alias("generation"))
+    return lines.join(newest, ["path", "generation"], "left_semi")
+
+
+def follow(spark: SparkSession, folder: str, out: str, state: str, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
+    """Sweep again and again: a clock stream triggers, the offsets say what is new."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def take(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        try:
-            seen = session.read.parquet(out)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            seen = None
-        new_lines(batch, seen).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-
-    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        sweep(batch.sparkSession, folder, out, state)
+
+    return clock.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def unchanged(found: DataFrame, known: DataFrame) -> DataFrame:

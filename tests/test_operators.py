@@ -29,6 +29,29 @@ def test_literal_atoms(text, found):
     assert search.atoms(text) == found
 
 
+@pytest.mark.parametrize("text", ["/etc/hosts", "--flag C++ x_y", "Élan déjà-vu", "a.b/c (d) -e", "naïve ÅNGSTRÖM ß", "_+./-", "日本 ½ x²"])
+def test_query_and_text_are_cut_alike(spark, text):
+    frame = spark.createDataFrame([(text,)], "text string")
+    assert frame.select(search.terms(F.col("text")).alias("t")).first().t == search.terms_of(text)
+
+
+def test_phrases_are_ranked_as_units(spark, tmp_path):
+    texts = ["to be or not to be", "be to", "to be", "see /etc/hosts now", "see etc hosts", "Déjà vu", "", "be not"]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "session_id long, ordinal int, text string")
+    search.write_index(docs, f"file://{tmp_path}/index")
+
+    def found(query):
+        scan = {r.session_id: r.score for r in search.bm25(docs, search.atoms(query)).collect()}
+        stored = {r.session_id: r.score for r in search.bm25_of_index(spark, f"file://{tmp_path}/index", search.atoms(query)).collect()}
+        assert scan.keys() == stored.keys() and all(scan[k] == pytest.approx(stored[k]) for k in scan)
+        return sorted(scan)
+
+    assert found('"to be"') == [0, 2] and found("to be") == [0, 1, 2] and found('"to be" not') == [0]
+    assert found("/etc/hosts") == [3] and found("deja") == [5] and found("nobody") == []
+    with pytest.raises(search.InvalidQuery):
+        search.bm25(docs, ["()"])
+
+
 def test_blank_query_and_foreign_cursor():
     with pytest.raises(search.InvalidQuery):
         search.atoms("  ")
@@ -222,16 +245,50 @@ def test_publish_flips_only_whole_generations(spark, tmp_path):
     assert publish.current(spark, root).count() == 5
 
 
-def test_capture_is_idempotent(spark, tmp_path):
-    src, out, ck = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/ck"
+def test_capture_takes_what_is_appended(spark, tmp_path):
+    src, out, state = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/state"
+    src.mkdir()
+
+    def told():
+        capture.sweep(spark, f"file://{src}", out, state)
+        rows = capture.captured(spark, out).orderBy("path", "byte_offset").collect()
+        return [(r.path.rsplit("/", 1)[1], r.byte_offset, r.line) for r in rows]
+
+    first = [("a.jsonl", 0, "one"), ("a.jsonl", 4, "zwei é")]
+    (src / "a.jsonl").write_text("one\nzwei é\ntor")
+    assert told() == first and told() == first
+    with (src / "a.jsonl").open("a") as f:
+        f.write("n, three\n" + "x" * 3_000_000 + "\n")
+    (src / "b.jsonl").write_text("\n1\n")
+    more = [*first, ("a.jsonl", 12, "torn, three"), ("a.jsonl", 24, "x" * 3_000_000), ("b.jsonl", 0, ""), ("b.jsonl", 1, "1")]
+    assert told() == more
+    offsets, number = capture.offsets_of(spark, state)
+    assert number == 3 and {r.path.rsplit("/", 1)[1]: r.taken for r in offsets.collect()} == {"a.jsonl": 3_000_025, "b.jsonl": 3}
+    # a sweep that broke off before its offsets is done again under its number
+    capture.new_lines(capture.pending(capture.listing(spark, f"file://{src}"), offsets.limit(0))).write.parquet(f"{out}/sweep=4")
+    assert told() == more
+    (src / "b.jsonl").write_text("9\n")
+    assert told() == [*more[:4], ("b.jsonl", 0, "9")]
+
+
+def test_capture_follows(spark, tmp_path):
+    import time
+
+    src, out, state = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/state"
     src.mkdir()
-    (src / "a.jsonl").write_text("1\n2\n3")
-    for _ in range(2):
-        capture.follow(spark, f"file://{src}", out, ck).awaitTermination(60)
-    assert spark.read.parquet(out).count() == 2
-    (src / "b.jsonl").write_text("1\n")
-    capture.follow(spark, f"file://{src}", out, ck).awaitTermination(60)
-    assert spark.read.parquet(out).count() == 3
+    (src / "a.jsonl").write_text("1\n")
+    query = capture.follow(spark, f"file://{src}", out, state, f"file://{tmp_path}/ck", "1 second")
+    try:
+        until = time.time() + 60
+        while capture.offsets_of(spark, state)[1] < 1 and time.time() < until:
+            time.sleep(0.5)
+        with (src / "a.jsonl").open("a") as f:
+            f.write("2\n")
+        while capture.captured(spark, out).count() < 2 and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert [r.line for r in capture.captured(spark, out).orderBy("byte_offset").collect()] == ["1", "2"]
 
 
 def test_sessions_stream_like_batch(spark, tmp_path):
