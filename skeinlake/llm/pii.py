@@ -53,7 +53,7 @@ WINDOW_CHARS = 80
 WINDOW_TERMS = 20
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
-MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_ROWS = 200_000
 
 
 def _luhn(digits: Column) -> Column:

@@ -582,6 +582,28 @@ def test_topk_like_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_pivots_eliminate_where_vectors_cluster(spark, monkeypatch):
+    """Vectors around a few centres: most products are never evaluated; without structure nearly all are."""
+    monkeypatch.setattr(topk, "ROWS_PER_BLOCK", 100)
+    monkeypatch.setattr(topk, "STEP", 16)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 8)) * 5
+    centres *= 12 / np.linalg.norm(centres, axis=1, keepdims=True)
+
+    def share(vectors):
+        data = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+        frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+        found = topk.products(frame, F.col("vec_id") % 50 == 0).toPandas()
+        want = brute_topk(data, lambda v: v % 50 == 0)
+        got = {q: sorted(zip(-g.score, g.vec_id))[:5] for q, g in found.dropna(subset=["score"]).groupby("query_id")}
+        assert {q: [(int(w), -int(s)) for s, w in v] for q, v in got.items()} == want
+        return found.evaluated.sum() / (len(data) * len(want))
+
+    near = share([centres[i % 20] + rng.normal(size=8) * 0.05 for i in range(1500)])
+    loose = share(rng.normal(size=(600, 24)))
+    assert near < 0.3 < 0.8 < loose <= 1
+
+
 def test_topk_empty_and_huge(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert topk.search(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0
