@@ -11,7 +11,7 @@ from skeinlake.operators import publish, sessions
 from skeinlake.operators.graph import scratch_dir
 from skeinlake.plans.q_sessions import MSGS, msgs
 from skeinlake.plans.registry import query, table
-from skeinlake.sources import exports, jsonl
+from skeinlake.sources import databases, exports, jsonl, rollouts
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,3 +139,104 @@ def batch_jsonl(spark, sf_dir):
 @query("markdown_export", f"""WITH {MSGS} SELECT session_id, md5('# Session ' || session_id || chr(10) || chr(10) || string_agg('**' || role || '**' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal)) AS digest FROM msgs GROUP BY 1""")
 def markdown_export(spark, sf_dir):
     return publish.markdown(msgs(spark, sf_dir)).select("session_id", F.md5("value").alias("digest"))
+
+
+def _rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as rollouts: a header, and for each turn its context, the message, a call after every third, and a completion."""
+    c = table(spark, sf_dir, "conversations")
+    k, t = F.col("conv_id"), F.col("turn")
+    uuid_of = lambda x: F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(x.cast("string"), 12, "0"))
+    path = F.concat(F.lit("rollout-x-"), uuid_of(k), F.lit(".jsonl"))
+    header = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.when(k % 10 == 3, uuid_of(k + 1)).otherwise(uuid_of(k)).alias("id"), F.lit("/w").alias("cwd")).alias("payload")))
+    role = F.when(F.col("role") == "system", "developer").otherwise(F.col("role"))
+    shown = F.when((t % 5 == 2) & (F.col("role") == "user"), F.concat(F.lit("<environment_context>"), "text", F.lit("</environment_context>"))).otherwise(F.col("text"))
+    blocks = F.array(F.struct(F.lit("input_text").alias("type"), shown.alias("text")))
+    own = F.when(t % 2 == 0, F.concat(F.lit("r"), t.cast("string")))
+    answer = lambda payload: F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload")))
+    message = answer(F.struct(F.lit("message").alias("type"), own.alias("id"), role.alias("role"), blocks.alias("content")))
+    call = answer(F.struct(F.lit("function_call").alias("type"), F.lit("ls").alias("name"), F.lit("-a").alias("arguments")))
+    context = F.to_json(F.struct(F.lit("turn_context").alias("type"), F.struct(F.lit("m").alias("model")).alias("payload")))
+    item = F.struct(F.when(F.col("role") == "user", "UserMessage").otherwise("agent_message").alias("type"), own.alias("response_item_id"), blocks.alias("content"))
+    event = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("item_completed").alias("type"), item.alias("item")).alias("payload")))
+    lines = F.array(F.when(t == 0, header), context, message, F.when(t % 3 == 0, call), F.when((t % 4 != 1) & (F.col("role") != "system"), event))
+    return c.select(path.alias("path"), t.alias("turn"), F.posexplode(lines).alias("place", "line")).filter("line IS NOT NULL").select("path", (F.col("turn") * 10 + F.col("place")).alias("line_no"), "line")
+
+
+ROLLOUT = """r AS (SELECT 'rollout-x-00000000-0000-4000-8000-' || lpad(conv_id::VARCHAR, 12, '0') || '.jsonl' AS path, conv_id, turn, role, text FROM conversations)"""
+
+
+@query("rollout_records", f"""WITH {ROLLOUT} SELECT path, turn, record_kind, count(*) AS n, sum(len(prose))::BIGINT AS chars FROM (
+SELECT path, turn, 'control_context' AS record_kind, '' AS prose FROM r UNION ALL SELECT path, turn, 'tool', '' FROM r WHERE turn % 3 = 0 UNION ALL
+SELECT path, turn, CASE WHEN role = 'system' THEN 'developer_system' WHEN role = 'user' AND turn % 5 = 2 THEN 'control_context' WHEN trim(text) = '' THEN 'unclassified' WHEN role = 'user' THEN 'real_user' WHEN role = 'assistant' THEN 'assistant_dialogue_prose' ELSE 'unclassified' END,
+  CASE WHEN role = 'user' AND turn % 5 = 2 THEN '<environment_context>' || text || '</environment_context>' ELSE text END FROM r) GROUP BY ALL""")
+def rollout_records(spark, sf_dir):
+    """Kinds of records by turn; turns count the contexts before, so they are those of the table only where none is missing."""
+    rec = rollouts.rollout_records(rollouts.rollout_lines(_rollouts(spark, sf_dir)))
+    # the table's turn is in the line number, ten lines to a turn
+    turn = F.floor(F.col("line_no") / 10).alias("turn")
+    return rec.groupBy("path", turn, "record_kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("prose"), F.lit(0))).cast("long").alias("chars"))
+
+
+@query("rollout_completions", f"""WITH {ROLLOUT} SELECT path, turn * 10 + 2 AS line_no FROM r WHERE turn % 4 <> 1 AND role IN ('user', 'assistant')""")
+def rollout_completions(spark, sf_dir):
+    """Messages that a completion is about, by id where they have one, by turn and text else."""
+    rows = rollouts.rollout_lines(_rollouts(spark, sf_dir))
+    return rollouts.associated(rollouts.rollout_records(rows), rollouts.completions(rows))
+
+
+@query("rollout_admission", f"""WITH {ROLLOUT}, h AS (SELECT path, conv_id, max(CASE WHEN turn = 0 THEN 1 ELSE 0 END) AS headed FROM r GROUP BY 1, 2)
+SELECT path, '00000000-0000-4000-8000-' || lpad((CASE WHEN headed = 1 AND conv_id % 10 = 3 THEN conv_id + 1 ELSE conv_id END)::VARCHAR, 12, '0') AS native_id, CASE WHEN headed = 1 AND conv_id % 10 = 3 THEN 'identity_mismatch' END AS reason FROM h""")
+def rollout_admission(spark, sf_dir):
+    return rollouts.rollout_admission(rollouts.rollout_lines(_rollouts(spark, sf_dir)))
+
+
+@query("rollout_index_titles", """SELECT 'c' || conv_id AS id, arg_max(text, turn) AS title FROM conversations WHERE trim(text) <> '' GROUP BY 1""")
+def rollout_index_titles(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.col("text").alias("thread_name")))
+    return rollouts.index_titles(c.select(F.lit("session_index.jsonl").alias("path"), F.col("turn").alias("line_no"), line.alias("line")))
+
+
+@query("kimi_contexts", r"""SELECT CASE WHEN conv_id % 4 = 1 THEN 'p' || (conv_id % 7) || '/subagent/' || conv_id ELSE conv_id::VARCHAR END AS native_id, CASE WHEN conv_id % 4 = 1 THEN 'p' || (conv_id % 7) END AS parent, turn AS line_no,
+CASE WHEN turn % 7 = 6 THEN 'control_context' WHEN turn % 7 = 5 THEN 'telemetry' WHEN role = 'system' THEN 'developer_system' WHEN role NOT IN ('user', 'assistant') THEN CASE WHEN role = 'tool' THEN 'tool' ELSE 'unclassified' END WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) = 0 THEN 'unclassified' WHEN role = 'user' THEN 'real_user' ELSE 'assistant_dialogue_prose' END AS record_kind, turn % 7 = 6 AS checkpoint FROM conversations""")
+def kimi_contexts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    k, t = F.col("conv_id"), F.col("turn")
+    path = F.when(k % 4 == 1, F.concat(F.lit("/k/p"), (k % 7).cast("string"), F.lit("/subagents/"), k.cast("string"), F.lit("/context.jsonl"))).otherwise(F.concat(F.lit("/k/"), k.cast("string"), F.lit("/context.jsonl")))
+    role = F.when(t % 7 == 6, "_checkpoint").when(t % 7 == 5, "_usage").when(F.col("role") == "system", "_system_prompt").otherwise(F.col("role"))
+    plain = F.to_json(F.struct(role.alias("role"), t.alias("id"), F.col("text").alias("content")))
+    listed = F.to_json(F.struct(role.alias("role"), t.alias("id"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")))
+    rec = rollouts.context_records(c.select(path.alias("path"), t.alias("line_no"), F.when(t % 2 == 0, plain).otherwise(listed).alias("line")))
+    who = rollouts.context_identity(F.col("path"))
+    return rec.select(who["native_id"].alias("native_id"), who["parent"].alias("parent"), "line_no", "record_kind", "checkpoint")
+
+
+DATABASE = """CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) = 0 THEN CASE role WHEN 'system' THEN 'developer_system' WHEN 'tool' THEN 'tool' ELSE 'unclassified' END WHEN role = 'user' THEN 'real_user' WHEN role = 'assistant' THEN 'assistant_dialogue_prose' WHEN role = 'system' THEN 'developer_system' WHEN role = 'tool' THEN 'tool' ELSE 'unclassified' END"""
+
+
+@query("hermes_messages", f"""SELECT 's' || conv_id AS native_id, CASE WHEN conv_id % 5 = 0 THEN 's' || (conv_id + 1) END AS parent, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS ordinal, CASE WHEN turn % 3 = 0 THEN 'p' || turn ELSE turn::VARCHAR END AS record_id, {DATABASE} AS record_kind, 1700000000000 + turn * 1000 AS ts FROM conversations""")
+def hermes_messages(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    own = F.concat(F.lit("s"), F.col("conv_id").cast("string"))
+    heads = c.select("conv_id").distinct().select(own.alias("id"), F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("s"), (F.col("conv_id") + 1).cast("string"))).alias("parent_session_id"), F.lit("t").alias("title"))
+    none = F.lit(None).cast("string")
+    rows = c.select(
+        F.col("turn").alias("id"), own.alias("session_id"), F.upper("role").alias("role"), F.col("text").alias("content"), none.alias("tool_calls"), none.alias("tool_call_id"),
+        F.when(F.col("turn") % 3 == 0, F.concat(F.lit("p"), F.col("turn").cast("string"))).alias("platform_message_id"), (F.lit(1_700_000_000) + F.col("turn")).alias("timestamp"),
+    )
+    return databases.hermes(heads, rows).select("native_id", "parent", "ordinal", "record_id", "record_kind", "ts")
+
+
+@query("kilo_messages", f"""SELECT 's' || conv_id AS native_id, '/w/' || conv_id AS cwd, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS ordinal, {DATABASE} AS record_kind, md5(CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0 THEN regexp_replace(text || chr(10) || 'and', '^\\s+|\\s+$', '', 'g') ELSE 'and' END) AS digest FROM conversations WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0""")
+def kilo_messages(spark, sf_dir):
+    """Messages in parts: the text, a part that the harness added, and a second text."""
+    c = table(spark, sf_dir, "conversations").filter(F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) > 0)
+    own = F.concat(F.lit("s"), F.col("conv_id").cast("string"))
+    mid = F.concat(own, F.lit("m"), F.lpad(F.col("turn").cast("string"), 6, "0"))
+    heads = c.select("conv_id").distinct().select(own.alias("id"), F.concat(F.lit("/w/"), F.col("conv_id").cast("string")).alias("directory"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("parent_id"))
+    rows = c.select(mid.alias("id"), own.alias("session_id"), (F.lit(1_700_000_000_000) + F.col("turn")).alias("time_created"), F.to_json(F.struct("role")).alias("data"))
+    piece = lambda i, text, synthetic: F.struct(F.lit(i).alias("i"), F.to_json(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(synthetic).alias("synthetic"))).alias("data"))
+    pieces = F.array(piece(2, F.lit("and"), False), piece(1, F.lit("added"), True), piece(0, F.col("text"), False))
+    parts = c.select(mid.alias("message_id"), F.explode(pieces).alias("x")).select(F.concat("message_id", F.lit("p"), F.col("x.i").cast("string")).alias("id"), "message_id", F.col("x.i").cast("long").alias("time_created"), F.col("x.data").alias("data"))
+    told = databases.kilo(heads, rows, parts)
+    return told.select("native_id", "cwd", "ordinal", "record_kind", F.md5("prose").alias("digest"))
