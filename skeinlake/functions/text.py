@@ -330,3 +330,47 @@ def utf8_slice(text: Column, start: Column, end: Column) -> Column:
     raw = F.encode(text, "UTF-8")
     piece = F.substring(raw, start + 1, end - start)
     return F.when((start >= 0) & (start <= end) & (end <= F.octet_length(text)) & F.is_valid_utf8(piece), F.decode(piece, "UTF-8"))
+
+
+# --- answers and paragraphs -----------------------------------------------------------
+
+
+def json_answer(text: Column) -> Column:
+    """The first of these that is JSON, as text: a fenced block, the whole answer, from the first { to the last }, from [ to ]."""
+    fenced = F.nullif(F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)```", 1), F.lit(""))
+    braces = F.nullif(F.regexp_extract(text, r"(\{[\s\S]*\})", 1), F.lit(""))
+    brackets = F.nullif(F.regexp_extract(text, r"(\[[\s\S]*\])", 1), F.lit(""))
+    tried = F.transform(F.array(fenced, text, braces, brackets), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.try_element_at(F.filter(tried, lambda c: (c != "") & F.try_parse_json(c).isNotNull()), F.lit(1))
+
+
+def tier2_answer(raw: Column) -> Column:
+    """struct(body, anchors, malformed) of an answer with topics; anchors that don't hold are dropped."""
+    block = F.regexp_extract(raw, r"(\{[\s\S]*\})", 1)
+    candidate = F.when(block != "", block).otherwise(F.trim(raw))
+    shape = "body string, topics array<struct<topic: string, from: string, to: string, body: string>>"
+    parsed = F.when(F.try_parse_json(candidate).isNotNull(), F.from_json(candidate, shape))
+    whole = F.substring(F.trim(raw), 1, 2000)
+    topics = F.coalesce(parsed["topics"], F.array().cast("array<struct<topic: string, from: string, to: string, body: string>>"))
+    number = lambda x: F.when(x.rlike(r"^\d{1,9}$"), x.cast("int"))
+    anchors = F.transform(
+        topics,
+        lambda t: F.struct(
+            F.substring(F.trim(t["topic"]), 1, 120).alias("topic"), number(t["from"]).alias("from"), number(t["to"]).alias("to"), F.substring(F.trim(t["body"]), 1, 500).alias("body")
+        ),
+    )
+    held = F.filter(anchors, lambda a: F.coalesce((a["topic"] != "") & (a["from"] <= a["to"]), F.lit(False)))
+    malformed = parsed["body"].isNull() | (F.size(topics) == 0) | (F.size(held) < F.size(topics))
+    return F.struct(F.coalesce(F.substring(F.trim(parsed["body"]), 1, 2000), whole).alias("body"), held.alias("anchors"), malformed.alias("malformed"))
+
+
+def paragraphize(text: Column, breaks: Column) -> Column:
+    """The text with blank lines at the breaks (code points from 0); breaks that don't advance or lie outside are skipped."""
+
+    def add(s: Column, at: Column) -> Column:
+        piece = F.concat(F.regexp_replace(F.substring(text, s["at"] + 1, at - s["at"]), r"\s+$", ""), F.lit("\n\n"))
+        moved = F.struct(at.cast("int").alias("at"), F.concat(s["out"], piece).alias("out"))
+        return F.when((at > s["at"]) & (at < F.length(text)), moved).otherwise(s)
+
+    end = F.aggregate(breaks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
+    return F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text)))

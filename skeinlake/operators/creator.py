@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinlake.functions import authorship as au
@@ -38,9 +38,16 @@ def templated(first: DataFrame, sessions: int = TEMPLATE_SESSIONS, length: int =
     return counted.filter(F.col("n") >= sessions)
 
 
-def verdicts(msgs: DataFrame, launch: DataFrame) -> DataFrame:
-    """(session_id, started_by, confidence) for every session of ``launch`` (session_id, origin, detail)."""
-    user = classified(msgs)
+def verdicts(msgs: DataFrame, launch: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(session_id, started_by, confidence) for every session of ``launch`` (session_id, origin, detail).
+
+    With ``known`` (word) misspellings count in the voice of messages; without, none do.
+    """
+    if known is None:
+        msgs = msgs.withColumn("typos", F.lit(0))
+    else:
+        msgs = msgs.join(typos(msgs.filter(F.col("role") == "user"), known), ["session_id", "ordinal"], "left").withColumn("typos", F.coalesce("typos", F.lit(0)))
+    user = classified(msgs, F.col("typos"))
     first = openers(user)
     scripts = templated(first).select(F.col("opener").alias("__o"))
     f = first.select(
@@ -48,7 +55,7 @@ def verdicts(msgs: DataFrame, launch: DataFrame) -> DataFrame:
         F.col("human").alias("f_human"), F.col("brief").alias("f_brief"), "opener",
     )
     later = user.join(f.select("session_id", "f_ordinal"), "session_id", "left")
-    voiced = (F.col("author") == "human") & (F.col("ordinal") > F.col("f_ordinal")) & (F.col("human") >= F.col("brief") + 2)
+    voiced = (F.col("author") == "human") & (F.col("ordinal") > F.col("f_ordinal")) & ((F.col("human") >= F.col("brief") + 2) | ((F.col("typos") >= 1) & (F.col("human") > F.col("brief"))))
     counts = later.groupBy("session_id").agg(
         F.count_if(F.col("author") == "human").alias("human_turns"),
         F.count_if(voiced).alias("follow_ups"),
@@ -102,3 +109,53 @@ def learned_vocabulary(msgs: DataFrame, least: int = 4) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.substring("text", 1, 3000)), F.lit(r"(?<![A-Za-z0-9_])[a-z]{5,18}(?![A-Za-z0-9_])"), F.lit(0))
     told = msgs.filter(F.col("role") == "assistant").select(F.explode(words).alias("word"))
     return told.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
+#: Endings that an inflected word may have, and what its base has in their place.
+ENDINGS = [
+    ("s", ""), ("es", ""), ("ies", "y"), ("ied", "y"), ("ier", "y"), ("iest", "y"), ("ed", ""), ("d", ""),
+    ("ing", ""), ("ing", "e"), ("er", ""), ("r", ""), ("est", ""), ("st", ""), ("ly", ""),
+]
+DOUBLING = "(ed|ing|er|est)$"
+
+
+def _bases(word: Column) -> Column:
+    """What an inflected word may derive from; three letters at least are left of it."""
+    plain = [F.when(F.endswith(word, F.lit(e)) & (F.length(word) - len(e) >= 3), F.concat(F.substring(word, F.lit(1), F.length(word) - len(e)), F.lit(put))) for e, put in ENDINGS]
+    # "running": the doubled letter goes with the ending
+    stem = F.regexp_replace(word, DOUBLING, "")
+    doubled = F.when(word.rlike(DOUBLING) & (F.length(stem) >= 3) & stem.rlike(r"(.)\1$"), F.substring(stem, F.lit(1), F.length(stem) - 1))
+    return F.filter(F.array(*plain, doubled), lambda b: b.isNotNull())
+
+
+def _keys(word: Column) -> Column:
+    """The word and all that a deletion makes of it: words one edit apart share one of these."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), cut))
+
+
+def typos(msgs: DataFrame, known: DataFrame) -> DataFrame:
+    """(session_id, ordinal, typos): misspelt words of each message that has some.
+
+    A misspelling is a lower-case word that ``known`` (word) hasn't, nor a base of it, and that is one
+    deletion, insertion, replacement or swap of neighbours away from a known word. Distinct
+    words meet the known ones by what deletions make of both, so no word is compared with all.
+    """
+    words = known.select("word").distinct()
+    raw = F.split(F.substring("text", 1, 4000), r"\s+")
+    clean = F.transform(raw, lambda w: F.regexp_replace(F.regexp_replace(w, "^[(\"'`]+", ""), "[)\"'`.,;:!?]+$", ""))
+    told = msgs.select("session_id", "ordinal", F.explode(clean).alias("word")).filter(F.col("word").rlike("^[a-z]{5,18}$"))
+    counted = told.groupBy("session_id", "ordinal", "word").agg(F.count(F.lit(1)).alias("n"))
+    unknown = counted.select("word").distinct().join(words, "word", "left_anti")
+    derived = unknown.select("word", F.explode(_bases(F.col("word"))).alias("base")).join(words.withColumnRenamed("word", "base"), "base", "left_semi")
+    strange = unknown.join(derived.select("word").distinct(), "word", "left_anti")
+    left = strange.select("word", F.explode(_keys(F.col("word"))).alias("key"))
+    right = words.select(F.col("word").alias("other"), F.explode(_keys(F.col("word"))).alias("key"))
+    near = left.join(right, "key").select("word", "other").distinct()
+    # a swap of neighbours is two replacements of the same letters
+    w, o = F.col("word"), F.col("other")
+    at = F.array_min(F.filter(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, F.lit(1)) != F.substring(o, i, F.lit(1))))
+    swapped = F.concat(F.substring(w, F.lit(1), at - 1), F.substring(w, at + 1, F.lit(1)), F.substring(w, at, F.lit(1)), F.substring(w, at + 2, F.length(w)))
+    close = (F.levenshtein(w, o) <= 1) | ((F.length(w) == F.length(o)) & F.coalesce(swapped == o, F.lit(False)))
+    wrong = near.filter(close).select("word").distinct()
+    return counted.join(wrong, "word").groupBy("session_id", "ordinal").agg(F.sum("n").alias("typos"))

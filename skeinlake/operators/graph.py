@@ -125,3 +125,18 @@ def display_tags(spark: SparkSession, tags: DataFrame, decisions: DataFrame) ->
     demoted = newest.filter("action = 'demote'").select(F.col("from_tag").alias("tag"))
     nested = newest.filter("action = 'nest'").select(F.col("from_tag").alias("tag"), F.col("to_tag").alias("parent"))
     return shown.join(demoted, "tag", "left_anti").join(nested, "tag", "left").select("session_id", "tag", "parent").distinct()
+
+
+def collapse(sess: DataFrame) -> DataFrame:
+    """(kind, chain, head, members, tok_total, msg_count, first_activity, last_activity): one row per chain, at its newest member, and one per other session.
+
+    ``sess`` has session_id, chain (or null), last_activity, tok_total, msg_count; the list is newest
+    first, sessions of equal activity by id.
+    """
+    unit = F.coalesce(F.concat(F.lit("c"), F.col("chain").cast("string")), F.concat(F.lit("s"), F.col("session_id").cast("string")))
+    newest = F.struct(F.coalesce("last_activity", F.lit(-1)), "session_id")
+    rows = sess.groupBy(unit.alias("unit")).agg(
+        F.first("chain").alias("chain"), F.max_by("session_id", newest).alias("head"), F.count(F.lit(1)).alias("members"), F.sum("tok_total").alias("tok_total"),
+        F.sum("msg_count").alias("msg_count"), F.min("last_activity").alias("first_activity"), F.max("last_activity").alias("last_activity"),
+    )
+    return rows.withColumn("kind", F.when(F.col("chain").isNull(), "session").otherwise("chain")).drop("unit")

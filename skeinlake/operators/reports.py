@@ -97,3 +97,20 @@ def expected_cost(done: DataFrame, todo: DataFrame, kind: str, cost: str, at: li
     average = last.groupBy(kind).agg(F.avg(cost).alias("average"))
     left = todo.groupBy(kind).agg(F.count(F.lit(1)).alias("remaining"))
     return average.join(left, kind).withColumn("estimate", F.col("average") * F.col("remaining"))
+
+
+def detail_tags(shown: DataFrame, facet: str, prefix: str = "facet:") -> DataFrame:
+    """(label, parent, n): tags that share an episode with the facet, rolled up to their parents, and below them the nested ones.
+
+    ``shown`` has session_id, episode, tag, parent. Membership is by episode, counts are by session.
+    """
+    inside = shown.filter(F.col("tag") == prefix + facet).select("session_id", "episode").distinct()
+    plain = shown.filter(~F.startswith("tag", F.lit(prefix)))
+    members = plain.join(inside, ["session_id", "episode"], "left_semi").select("tag", "parent").distinct()
+    visible = shown.select("session_id", "tag", "parent").distinct()
+    labels = visible.select("session_id", F.explode(F.array_compact(F.array_distinct(F.array("tag", "parent")))).alias("label")).distinct()
+    roots = members.select(F.coalesce("parent", "tag").alias("label")).distinct()
+    top = labels.join(roots, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", F.lit(None).cast("string").alias("parent"), "n")
+    nested = members.filter("parent IS NOT NULL")
+    below = visible.select("session_id", "tag").distinct().join(nested, "tag").groupBy("parent", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return top.unionByName(below.select(F.col("tag").alias("label"), "parent", "n"))

@@ -142,3 +142,22 @@ def shape(started_by: Column, human_turns: Column, tool_calls: Column, tokens: C
         .when((per_turn < 3) | (n_episodes >= 3), "wanderer")
         .otherwise("conversation")
     )
+
+
+def surviving_labels(episodes: DataFrame, before: DataFrame) -> DataFrame:
+    """``episodes`` (session_id, episode, start, end) with the labels that the same spans had in ``before`` (and label)."""
+    return episodes.join(before.select("session_id", "start", "end", "label"), ["session_id", "start", "end"], "left")
+
+
+def surviving_tags(tags: DataFrame, before: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Tags (session_id, episode, tag, source) after a new segmentation.
+
+    Tags of a model follow their span: they get its new number, or go with it. Others, and
+    those of the whole session (episode below 0), stay as they are.
+    """
+    follows = (F.col("source") == "model") & (F.col("episode") >= 0)
+    span = before.select("session_id", "episode", "start", "end")
+    now = episodes.select("session_id", "start", "end", F.col("episode").alias("number"))
+    moved = tags.filter(follows).join(span, ["session_id", "episode"]).join(now, ["session_id", "start", "end"])
+    moved = moved.select("session_id", F.col("number").alias("episode"), "tag", "source").distinct()
+    return tags.filter(~follows).select("session_id", "episode", "tag", "source").unionByName(moved)
