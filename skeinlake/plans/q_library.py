@@ -125,7 +125,10 @@ def variant_planning(spark, sf_dir):
     return passages.prefix_variants(chains).select("base", "relation")
 
 
-@query("context_export")
+@query("context_export", f"""WITH RECURSIVE {MSGS}, r AS (SELECT session_id, ordinal, strlen(text) AS bytes, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) AS rn FROM msgs),
+f AS (SELECT session_id, ordinal, rn, bytes <= 1000 AS included, CASE WHEN bytes <= 1000 THEN bytes ELSE 0 END AS used FROM r WHERE rn = 1
+  UNION ALL SELECT r.session_id, r.ordinal, r.rn, f.used + r.bytes <= 1000, f.used + CASE WHEN f.used + r.bytes <= 1000 THEN r.bytes ELSE 0 END FROM f JOIN r ON r.session_id = f.session_id AND r.rn = f.rn + 1)
+SELECT session_id, ordinal, included FROM f""")
 def context_export(spark, sf_dir):
     """Which turns of each session go in a context of 1,000 bytes."""
     rows = msgs(spark, sf_dir).select("session_id", "ordinal", F.octet_length("text").alias("bytes"))

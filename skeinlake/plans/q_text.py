@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.functions import authorship as au
 from skeinlake.functions import text as fx
-from skeinlake.operators import creator, topics
+from skeinlake.operators import creator, graph, topics
 from skeinlake.plans.q_sessions import MSGS, msgs
 from skeinlake.plans.registry import query, table
 
@@ -199,6 +199,11 @@ df AS (SELECT word, count(DISTINCT (session_id, unit)) AS df FROM uw GROUP BY 1)
 nn AS (SELECT count(*) AS n FROM units)"""
 
 
+def _units(spark, sf_dir):
+    """Units, written once: what follows reads them several times."""
+    return graph.checkpoint(topics.units(msgs(spark, sf_dir)))
+
+
 @query("document_frequency", f"WITH {UNITS} SELECT word, df FROM df")
 def document_frequency(spark, sf_dir):
     return topics.document_frequency(topics.units(msgs(spark, sf_dir)))
@@ -210,7 +215,7 @@ SELECT session_id, unit, word, round(weight, 6) AS weight FROM w QUALIFY row_num
 def tfidf_top_terms(spark, sf_dir):
     from pyspark.sql import Window
 
-    units = topics.units(msgs(spark, sf_dir))
+    units = _units(spark, sf_dir)
     words = units.select("session_id", "unit", F.explode(fx.topic_words(F.col("context"))).alias("word"))
     weights = topics.tfidf(words, topics.document_frequency(units), F.lit(units.count()), ["session_id", "unit"])
     place = F.row_number().over(Window.partitionBy("session_id", "unit").orderBy(F.round("weight", 9).desc(), "word"))
@@ -228,7 +233,7 @@ c AS (SELECT session_id, gap, CASE WHEN sum(a * a) > 0 AND sum(b * b) > 0 THEN s
 
 @query("adjacent_cosine", f"WITH {SIMILAR} SELECT g.session_id, g.gap AS unit, round(coalesce(s, 0), 6) AS similarity FROM gaps g LEFT JOIN c USING (session_id, gap)")
 def adjacent_cosine(spark, sf_dir):
-    sim = topics.neighbour_similarity(topics.units(msgs(spark, sf_dir)))
+    sim = topics.neighbour_similarity(_units(spark, sf_dir))
     return sim.select("session_id", "unit", F.round("similarity", 6).alias("similarity"))
 
 
@@ -236,20 +241,27 @@ def adjacent_cosine(spark, sf_dir):
   + CASE WHEN regexp_matches(trim(human), '(?i)^(new topic|unrelated|switching|btw\\b)') THEN 1 ELSE 0 END)::INT AS score
 FROM units u LEFT JOIN gaps g ON g.session_id = u.session_id AND g.gap = u.unit LEFT JOIN c ON c.session_id = u.session_id AND c.gap = u.unit WHERE u.unit >= 1""")
 def boundary_scores(spark, sf_dir):
-    return topics.boundary_scores(topics.units(msgs(spark, sf_dir)))
+    return topics.boundary_scores(_units(spark, sf_dir))
+
+
+def long_sessions(m):
+    """Eight conversations in a row as one session, since single ones are too short to be cut."""
+    k = F.col("session_id")
+    joined = m.withColumn("ordinal", k % 8 * 1000 + F.col("ordinal"))
+    return joined.withColumn("session_id", F.floor(k / 8).cast("long"))
 
 
 @query("greedy_segments")
 def greedy_segments(spark, sf_dir):
-    """Episodes, with three turns' pauses of an hour as idle time so that cuts occur."""
-    unit = topics.units(msgs(spark, sf_dir))
+    """Episodes of long sessions, with three turns' pauses of an hour as idle time so that cuts occur."""
+    unit = graph.checkpoint(topics.units(long_sessions(msgs(spark, sf_dir))))
     scores = topics.boundary_scores(unit, gap_ms=F.when(F.col("unit") % 3 == 0, 3_600_000).otherwise(0))
-    return topics.episodes(unit, scores)
+    return topics.episodes(unit.select("session_id"), graph.checkpoint(scores))
 
 
 @query("episode_keywords")
 def episode_keywords(spark, sf_dir):
-    unit = topics.units(msgs(spark, sf_dir))
+    unit = graph.checkpoint(topics.units(long_sessions(msgs(spark, sf_dir))))
     return topics.keywords(unit, topics.episodes(unit, topics.boundary_scores(unit)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinlake.functions import text as fx
-from skeinlake.operators import creator, graph, library, reports, topics
+from skeinlake.operators import creator, graph, library, reports, topics, views
 from skeinlake.plans.q_sessions import MSGS, SESS, msgs, sess
 from skeinlake.plans.registry import query, table
 
@@ -168,3 +168,60 @@ def typo_counts(spark, sf_dir):
     """Misspellings of users, by the words that assistants use."""
     m = msgs(spark, sf_dir)
     return creator.typos(m.filter(F.col("role") == "user"), creator.learned_vocabulary(m))
+
+
+FACTS = f"""{SESS}, s AS (SELECT sess.*, CASE WHEN session_id % 3 <> 0 THEN session_id - session_id % 4 END AS chain, CASE WHEN session_id % 4 = 1 THEN 'p' || (session_id % 6) END AS project, '/w/' || (session_id % 5) AS cwd FROM sess),
+tags AS (SELECT DISTINCT session_id, 't' || (ordinal * session_id % 9) AS name FROM msgs WHERE ordinal % 2 = 0)"""
+
+
+def _facts(spark, sf_dir):
+    k = F.col("session_id")
+    s = sess(spark, sf_dir).withColumns({
+        "chain": F.when(k % 3 != 0, k - k % 4), "project": F.when(k % 4 == 1, F.concat(F.lit("p"), (k % 6).cast("string"))),
+        "cwd": F.concat(F.lit("/w/"), (k % 5).cast("string")), "title": F.col("native_id"), "models": F.array("harness", F.lit("other")),
+    })
+    m = msgs(spark, sf_dir).filter("ordinal % 2 = 0")
+    return s, m.select("session_id", F.concat(F.lit("t"), (F.col("ordinal") * k % 9).cast("string")).alias("name")).distinct()
+
+
+@query("session_surface", f"""WITH {FACTS}, c AS (SELECT chain, count(*) AS n FROM s WHERE chain IS NOT NULL GROUP BY 1), g AS (SELECT session_id, string_agg(name, ',' ORDER BY name) AS tags FROM tags GROUP BY 1)
+SELECT s.session_id, s.harness, s.native_id AS title, coalesce(project, cwd) AS path, coalesce(g.tags, '') AS tags, coalesce(c.n, 1) AS chain_members, tok_user, tok_assistant FROM s LEFT JOIN c USING (chain) LEFT JOIN g USING (session_id)""")
+def session_surface(spark, sf_dir):
+    s, tags = _facts(spark, sf_dir)
+    shown = views.surface(s, tags)
+    return shown.withColumn("tags", F.array_join("tags", ",")).drop("models")
+
+
+@query("tag_page", f"""WITH {FACTS}, t AS (SELECT session_id, arg_min(text, ordinal) AS topic FROM msgs WHERE session_id % 2 = 0 GROUP BY 1)
+SELECT s.session_id, s.harness, md5(t.topic) AS topic, s.last_activity, s.harness AS model, s.session_id % 5 = 0 AS favorite FROM s LEFT JOIN t USING (session_id) WHERE s.session_id IN (SELECT session_id FROM tags WHERE name = 't4')""")
+def tag_page(spark, sf_dir):
+    s, tags = _facts(spark, sf_dir)
+    topic = msgs(spark, sf_dir).filter("session_id % 2 = 0").groupBy("session_id").agg(F.min_by("text", "ordinal").alias("topic"))
+    page = views.tag_page(s, tags, topic, s.filter("session_id % 5 = 0"), "t4")
+    return page.withColumn("topic", F.md5("topic"))
+
+
+@query("tag_catalogue", f"""WITH {FACTS}, known AS (SELECT DISTINCT name FROM tags UNION SELECT 'unused'), n AS (SELECT name, count(*) AS n FROM tags GROUP BY 1)
+SELECT name, CASE WHEN name = 't1' THEN 'about t1' END AS body, coalesce(n, 0) AS n FROM known LEFT JOIN n USING (name)""")
+def tag_catalogue(spark, sf_dir):
+    _, tags = _facts(spark, sf_dir)
+    names = tags.select("name").distinct()
+    known = names.select(F.explode(F.array("name", F.lit("unused"))).alias("name"))
+    bodies = names.filter("name = 't1'").select("name", F.concat(F.lit("about "), "name").alias("body"))
+    return views.tag_catalogue(tags, known, bodies)
+
+
+@query("read_modes", f"""WITH {MSGS}, m AS (SELECT session_id, ordinal, role, CASE WHEN ordinal % 4 <> 3 THEN text END AS text, ordinal % 4 = 3 AS has_tool, CASE WHEN ordinal % 4 = 3 THEN text END AS tool_text, CASE role WHEN 'user' THEN '◆' WHEN 'assistant' THEN '◇' ELSE '·' END AS g FROM msgs),
+x AS (SELECT *, substr(string_split(tool_text, chr(10))[1], 1, 100) AS one, '  ' || replace(text, chr(10), chr(10) || '  ') AS inset, '  ' || replace(tool_text, chr(10), chr(10) || '  ') AS tool FROM m)
+SELECT 'prose' AS mode, session_id, ordinal, md5(g || ' ' || inset) AS digest FROM x WHERE role NOT IN ('system', 'tool') AND length(text) > 0
+UNION ALL SELECT 'stubs', session_id, ordinal, md5(CASE WHEN has_tool THEN g || ' [tool] ' || CASE WHEN length(tool_text) > 0 THEN one ELSE '(tool activity)' END ELSE g || ' ' || inset END) FROM x WHERE role <> 'system' AND (has_tool OR length(text) > 0)
+UNION ALL SELECT 'full', session_id, ordinal, md5(g || ' ' || role || ' #' || ordinal || CASE WHEN length(text) > 0 THEN chr(10) || inset ELSE '' END || CASE WHEN length(tool_text) > 0 THEN chr(10) || '  [tool] ' || tool ELSE '' END) FROM x""")
+def read_modes(spark, sf_dir):
+    """Every transcript in all three modes; every fourth message stands for a tool's."""
+    tool = F.col("ordinal") % 4 == 3
+    m = msgs(spark, sf_dir).withColumns({"tool_text": F.when(tool, F.col("text")), "has_tool": tool, "text": F.when(~tool, F.col("text"))})
+    found = None
+    for mode in ("prose", "stubs", "full"):
+        one = views.read(m, mode).select(F.lit(mode).alias("mode"), "session_id", "ordinal", F.md5("shown").alias("digest"))
+        found = one if found is None else found.unionByName(one)
+    return found
