@@ -39,6 +39,8 @@ from . import common
 
 MAGIC = b"SKEINID1"
 BLOCK_IDS = 4096
+#: Documents that one file should hold.
+DOCS_PER_FILE = 20_000
 END_ID = 2
 #: Blocks unpacked in one go when a file is read from start to end.
 BLOCKS_AT_ONCE = 64
@@ -255,12 +257,12 @@ class Reader:
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode and write all documents under ``folder``; one row per file: part, path, n_docs, n_ids.
 
-    Cut points of doc_id deal the documents into as many ranges as Spark has
-    shuffle partitions; each range becomes one file.
+    Cut points of doc_id deal the documents into ranges, one for every ``DOCS_PER_FILE`` of them
+    and as many as Spark has shuffle partitions at least; each range becomes one file.
     """
     tokenizer = tokenizer or default_tokenizer()
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = common.partitions(docs.count(), DOCS_PER_FILE, spark)
     bounds = common.range_bounds(docs.select("doc_id"), "doc_id", parts)
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
