@@ -665,6 +665,45 @@ def test_forest_on_held_out_findings():
     assert (guess == y[400:]).mean() > 0.85
 
 
+def test_scan_like_brute_force(spark, docs, local):
+    """Candidates by the pattern over whole texts, trees walked node by node, whatever scores half or more."""
+    found = secret_scan.findings(docs).collect()
+    want = Counter()
+    for d, t in local.items():
+        for m in secret_scan.CANDIDATE.finditer(t):
+            before = t[max(0, m.start() - 60) : m.start()]
+            if secret_scan.assigned_name(before) or any(c.isdigit() for c in m[0]):
+                want[d, m.start(), m.end(), secret_scan.weak_label(m[0], before)] += 1
+    assert Counter((r.doc_id, r.start, r.end, r.weak) for r in found) == want and len(want) > 20
+    forest = secret_scan.train(secret_scan.weak_labels(secret_scan.findings(docs)))
+
+    def walk(tree, x):
+        feature, cut, left, right, share = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if x[feature[at]] <= cut[at] else right[at]
+        return share[at]
+
+    scores = {(r.doc_id, r.start): np.mean([walk(t, r.features) for t in forest.trees]) for r in found}
+    got = {(r.doc_id, r.start): r.score for r in secret_scan.scan(docs).collect()}
+    assert got == pytest.approx({k: v for k, v in scores.items() if v >= secret_scan.THRESHOLD})
+
+
+def held_out_figures(spark, sf):
+    """Precision and recall of the forest on labelled findings of documents it hasn't seen; the rules' names aren't among its features."""
+    found = common.materialise(secret_scan.findings(spark.read.parquet(f"{sf}/documents.parquet")), "t")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    forest = secret_scan.train(secret_scan.weak_labels(found.filter(~out)))
+    judged = secret_scan.judge(found.filter(out & F.col("weak").isNotNull()), forest)
+    r = judged.agg(F.count_if(F.expr("weak = 1 AND score >= 0.5")).alias("hit"), F.count_if(F.expr("score >= 0.5")).alias("said"), F.count_if(F.expr("weak = 1")).alias("there")).first()
+    return r.hit / max(1, r.said), r.hit / max(1, r.there), r.there
+
+
+def test_forest_on_documents_it_has_not_seen(spark):
+    precision, recall, there = held_out_figures(spark, "/root/testdata/sf0.01")
+    assert precision > 0.8 and recall > 0.8 and there > 5
+
+
 def test_secret_scan_odd_input(spark, odd):
     assert secret_scan.scan(odd).count() >= 0
     assert secret_scan.scan(empty(spark, odd)).count() == 0
