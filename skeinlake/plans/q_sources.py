@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from skeinlake.operators.graph import scratch_dir
 from skeinlake.plans.q_sessions import MSGS, msgs
 from skeinlake.plans.registry import query, table
 from skeinlake.sources import databases, exports, jsonl, rollouts
+from skeinlake.streaming import capture
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,3 +242,39 @@ def kilo_messages(spark, sf_dir):
     parts = c.select(mid.alias("message_id"), F.explode(pieces).alias("x")).select(F.concat("message_id", F.lit("p"), F.col("x.i").cast("string")).alias("id"), "message_id", F.col("x.i").cast("long").alias("time_created"), F.col("x.data").alias("data"))
     told = databases.kilo(heads, rows, parts)
     return told.select("native_id", "cwd", "ordinal", "record_kind", F.md5("prose").alias("digest"))
+
+
+def _write_files(rows: DataFrame, folder: str, early: bool) -> None:
+    """Files of lines (file, late, line) in order; early ones break off within the first late line."""
+
+    def write(group: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        listed = sorted(zip(*(group.column(c).to_pylist() for c in ("late", "conv_id", "turn", "line")), strict=True))
+        kept = [x[3] + "\n" for x in listed if not (early and x[0])]
+        torn = next((x[3][:5] for x in listed if x[0]), "") if early else ""
+        name = group.column("file")[0].as_py()
+        with store.open_output_stream(f"{base}/{name}") as out:
+            out.write(("".join(kept) + torn).encode())
+        return pa.table({"file": pa.array([name], pa.string())})
+
+    rows.groupBy("file").applyInArrow(write, "file string").write.format("noop").mode("overwrite").save()
+
+
+@query("capture_sweeps", """WITH l AS (SELECT conv_id // 50 AS f, turn >= 3 AS late, conv_id, turn, md5(text) || ' ' || conv_id || ' ' || turn AS line FROM conversations)
+SELECT 'f' || f || '.jsonl' AS file, (sum(strlen(line) + 1) OVER (PARTITION BY f ORDER BY late, conv_id, turn) - strlen(line) - 1)::BIGINT AS byte_offset, line, CASE WHEN late THEN 2 ELSE 1 END::BIGINT AS sweep FROM l""")
+def capture_sweeps(spark, sf_dir):
+    """Files that grow between two sweeps; the first ends within a line. A third sweep finds nothing new."""
+    c = table(spark, sf_dir, "conversations")
+    line = F.concat_ws(" ", F.md5("text"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    file = F.concat(F.lit("f"), F.floor(F.col("conv_id") / 50).cast("string"), F.lit(".jsonl"))
+    rows = c.select(file.alias("file"), (F.col("turn") >= 3).alias("late"), "conv_id", "turn", line.alias("line"))
+    root = f"{scratch_dir(spark)}/capture-{uuid.uuid4().hex}"
+    root = root if "://" in root else f"file://{root}"
+    for early in (True, False, False):
+        _write_files(rows, f"{root}/in", early)
+        capture.sweep(spark, f"{root}/in", f"{root}/out", f"{root}/state")
+    found = capture.captured(spark, f"{root}/out")
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "byte_offset", "line", "sweep")
