@@ -45,7 +45,7 @@ NEIGHBOURS = 15
 SHARPNESS = 8
 #: What the repetition measures weigh beside the character pairs, which have length 1.
 REPETITION_WEIGHT = 1.5
-BLOCK = 512
+BLOCK = 256
 
 
 def _classes() -> tuple[np.ndarray, int]:

@@ -56,13 +56,13 @@ FANOUT = 8
 ROWS_PER_TASK = 100_000
 #: Rows of a table of ids up to which it is broadcast rather than texts shuffled.
 MAX_BROADCAST_ROWS = 500_000
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 1_000_000
 HASHES_AT_ONCE = 1 << 16
 #: Bits that may differ between near-copies in the fingerprint of their words, and in the second one.
 WORD_BITS = 7
 SECOND_BITS = 10
 #: Words whose hashes a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 ALL_BITS = (1 << 64) - 1
 
 
