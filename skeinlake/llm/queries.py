@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, mixing, pii, quality, secret_scan, sharding, simhash, tokens, topk
+from . import decontam, exact, lm, mixing, pii, quality, secret_scan, sharding, simhash, tokens, topk
 from .common import ship, table
 
 
@@ -148,6 +148,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.digests(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -166,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_files,
         op9_exact_topk,
         op10_secret_scan,
+        op12_exact_dedup,
         pipeline,
     ]
 
@@ -181,4 +193,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op2_source_mixing": OP2_SQL}
+    return {
+        "op1_benchmark_decontamination": OP1_SQL,
+        "op2_source_mixing": OP2_SQL,
+        "op12_exact_dedup": OP12_SQL,
+    }
