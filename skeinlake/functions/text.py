@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what counts as blank at the ends of a text.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # --- sizes, digests, ratios -------------------------------------------------------
 
 
@@ -368,7 +371,7 @@ def paragraphize(text: Column, breaks: Column) -> Column:
     """The text with blank lines at the breaks (code points from 0); breaks that don't advance or lie outside are skipped."""
 
     def add(s: Column, at: Column) -> Column:
-        piece = F.concat(F.regexp_replace(F.substring(text, s["at"] + 1, at - s["at"]), r"\s+$", ""), F.lit("\n\n"))
+        piece = F.concat(F.rtrim(F.substring(text, s["at"] + 1, at - s["at"]), F.lit(WHITE)), F.lit("\n\n"))
         moved = F.struct(at.cast("int").alias("at"), F.concat(s["out"], piece).alias("out"))
         return F.when((at > s["at"]) & (at < F.length(text)), moved).otherwise(s)
 

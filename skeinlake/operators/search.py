@@ -1,9 +1,8 @@
 """Ranked and literal search over messages.
 
-``bm25`` scans the documents, cutting each text once. ``write_index`` stores postings (term,
-document, frequency, positions) by a hash of the term; ``bm25_of_index`` reads only the
-folders of the terms asked for. Query and text are cut by one rule: case and diacritics are
-folded, and code and path atoms stay whole. Phrases are ranked as units.
+``bm25`` scans the documents, cutting each text once; ``operators/textindex.py`` keeps postings
+that follow their documents. Query and text are cut by one rule: case and diacritics are
+folded, code and path atoms stay whole, and words are stemmed. Phrases are ranked as units.
 """
 
 from __future__ import annotations
@@ -13,21 +12,21 @@ import hashlib
 import json
 import re
 import unicodedata
-import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinlake.functions import porter
+from skeinlake.functions.text import WHITE
+
 #: Fixed value: what a term is made of, besides letters and digits.
 TERM = r"[\p{L}\p{N}_+./-]+"
 #: Letters of the Latin blocks and what is left of them without diacritics; marks that stand alone go.
 ACCENTED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
 FOLDED = {a: b for a, b in ACCENTED if a != b and a == a.lower()}
 MARKS = "".join(map(chr, range(0x300, 0x370)))
-#: Folders of an index.
-FOLDERS = 64
 K1 = 1.2
 B = 0.75
 #: The weight of a term that more than half of the documents hold.
@@ -56,6 +55,14 @@ def terms_of(atom: str) -> list[str]:
     return ["".join(run) for run in _runs(fold(atom))]
 
 
+def stems_of(wanted: Sequence[str]) -> list[tuple[str, ...]]:
+    """The distinct phrases of a query as stems; an atom without terms is left out."""
+    found = [p for p in dict.fromkeys(tuple(map(porter.stem, terms_of(a))) for a in wanted) if p]
+    if not found:
+        raise InvalidQuery("Search query has no searchable text")
+    return found
+
+
 def _runs(text: str) -> list[list[str]]:
     runs: list[list[str]] = []
     inside = False
@@ -74,8 +81,13 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))
 
 
+def stems(text: Column) -> Column:
+    """The terms of a text as stems, in their places."""
+    return porter.stemmed(terms(text))
+
+
 def _counted(text: Column, wanted: Sequence[Sequence[str]]) -> Column:
-    """struct(dl, tf0, tf1 ...): terms of the text, and how often it holds each sequence of terms.
+    """struct(dl, tf0, tf1 ...): terms of the text, and how often it holds each sequence of stems.
 
     The terms are the variable of a function, so that they are cut once.
     """
@@ -97,17 +109,21 @@ def _counted(text: Column, wanted: Sequence[Sequence[str]]) -> Column:
     def all_counts(t: Column) -> Column:
         return F.struct(F.size(t).alias("dl"), *[count(t, w).alias(f"tf{i}") for i, w in enumerate(wanted)])
 
-    return F.element_at(F.transform(F.array(terms(text)), all_counts), 1)
+    return F.element_at(F.transform(F.array(stems(text)), all_counts), 1)
 
 
 def documents(msgs: DataFrame) -> DataFrame:
     """Messages that can be found: dialogue with text that isn't blank."""
-    return msgs.filter(F.col("side").isNotNull() & (F.trim("text") != ""))
+    return msgs.filter(F.col("side").isNotNull() & (F.btrim("text", F.lit(WHITE)) != ""))
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(session_id, ordinal, term, tf, positions, dl) of every document."""
-    listed = docs.select("session_id", "ordinal", terms(F.col("text")).alias("__t"))
+    """(session_id, ordinal, term, tf, positions, dl) of every document, terms as they are written."""
+    return listed_postings(docs.select("session_id", "ordinal", terms(F.col("text")).alias("__t")))
+
+
+def listed_postings(listed: DataFrame) -> DataFrame:
+    """Postings of documents whose terms are listed in ``__t``."""
     each = listed.select("session_id", "ordinal", F.size("__t").alias("dl"), F.posexplode("__t").alias("pos", "term"))
     return each.groupBy("session_id", "ordinal", "term", "dl").agg(
         F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")
@@ -124,16 +140,14 @@ def bm25(docs: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
     An atom of several terms is a phrase and counts where they stand side by side.
     """
-    phrases = [p for p in dict.fromkeys(tuple(terms_of(a)) for a in wanted) if p]
-    if not phrases:
-        raise InvalidQuery("Search query has no searchable text")
+    phrases = stems_of(wanted)
     held = docs.select("session_id", "ordinal", _counted(F.col("text"), phrases).alias("__c")).select("session_id", "ordinal", "__c.*")
     dfs = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]
     totals = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *dfs)
-    return _scored(held, totals, len(phrases))
+    return scored(held, totals, len(phrases))
 
 
-def _scored(held: DataFrame, totals: DataFrame, n: int) -> DataFrame:
+def scored(held: DataFrame, totals: DataFrame, n: int) -> DataFrame:
     """Scores from (session_id, ordinal, dl, tf0 ...) and one row (n_docs, avgdl, df0 ...)."""
     score, every = F.lit(0.0), F.lit(True)
     for i in range(n):
@@ -144,49 +158,9 @@ def _scored(held: DataFrame, totals: DataFrame, n: int) -> DataFrame:
     return held.filter(every).join(F.broadcast(totals)).select("session_id", "ordinal", score.alias("score"))
 
 
-def write_index(docs: DataFrame, path: str) -> None:
-    """Postings by a hash of their term, and one row of totals, as Parquet below ``path``."""
-    post = postings(docs).withColumn("folder", F.crc32(F.col("term").cast("binary")) % FOLDERS)
-    parts = max(FOLDERS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # frequent terms don't share one task: rows of a folder are dealt on by document
-    spread = post.repartition(parts, "folder", F.pmod(F.xxhash64("session_id", "ordinal"), F.lit(8)))
-    spread.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
-    totals = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(terms(F.col("text")))).alias("avgdl"))
-    totals.write.parquet(f"{path}/totals")
-
-
-def _moved(positions: Column, by: int) -> Column:
-    return F.transform(positions, lambda x: x - by)
-
-
-def bm25_of_index(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
-    """As ``bm25``, from an index: only folders with a wanted term are read, and the filter on terms reaches the scan."""
-    phrases = [p for p in dict.fromkeys(tuple(terms_of(a)) for a in wanted) if p]
-    if not phrases:
-        raise InvalidQuery("Search query has no searchable text")
-    words = sorted({t for p in phrases for t in p})
-    folders = sorted({zlib.crc32(t.encode()) % FOLDERS for t in words})
-    post = spark.read.parquet(f"{path}/postings").filter(F.col("folder").isin(folders) & F.col("term").isin(words))
-    places = {t: F.first(F.when(F.col("term") == t, F.col("positions")), True) for t in words}
-    found = post.groupBy("session_id", "ordinal", "dl").agg(*[places[t].alias(f"p{i}") for i, t in enumerate(words)])
-
-    def count(phrase: tuple[str, ...]) -> Column:
-        at = [F.col(f"p{words.index(t)}") for t in phrase]
-        none = F.array().cast("array<int>")
-        starts = F.coalesce(at[0], none)
-        for k, own in enumerate(at[1:], 1):
-            starts = F.array_intersect(starts, _moved(F.coalesce(own, none), k))
-        return F.size(starts)
-
-    held = found.select("session_id", "ordinal", "dl", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    dfs = held.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])
-    totals = spark.read.parquet(f"{path}/totals").join(F.broadcast(dfs))
-    return _scored(held, totals, len(phrases))
-
-
 def phrase_matches(docs: DataFrame, phrase: str) -> DataFrame:
     """Documents that hold the phrase's terms side by side, with how often."""
-    hits = _counted(F.col("text"), [terms_of(phrase)])["tf0"]
+    hits = _counted(F.col("text"), stems_of([phrase]))["tf0"]
     return docs.select("session_id", "ordinal", hits.alias("hits")).filter("hits > 0")
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skeinlake.operators import graph, search, sessions
+from skeinlake.operators import graph, search, sessions, textindex
 from skeinlake.plans.q_sessions import MSGS, SESS, msgs
 from skeinlake.plans.registry import query, table
 
@@ -61,13 +61,13 @@ def search_keyset_page2(spark, sf_dir):
 
 
 @query("search_phrase", f"""WITH {DOCS} SELECT session_id, ordinal, hits FROM (
-  SELECT session_id, ordinal, len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' AND t[i + 1] = 'of')) AS hits FROM toks) WHERE hits > 0""")
+  SELECT session_id, ordinal, len(list_filter(range(1, len(t)), lambda i: t[i] IN ('the', 'thes') AND t[i + 1] = 'of')) AS hits FROM toks) WHERE hits > 0""")
 def search_phrase(spark, sf_dir):
     return search.phrase_matches(_docs(spark, sf_dir), "the of").withColumn("hits", F.col("hits").cast("long"))
 
 
 PHRASE = f"""{DOCS},
-tf AS (SELECT session_id, ordinal, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS tf0, len(list_filter(t, lambda x: x = 'and')) AS tf1 FROM toks),
+tf AS (SELECT session_id, ordinal, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] IN ('the', 'thes'))) AS tf0, len(list_filter(t, lambda x: x = 'and')) AS tf1 FROM toks),
 dfs AS (SELECT count(*) FILTER (WHERE tf0 > 0) AS df0, count(*) FILTER (WHERE tf1 > 0) AS df1 FROM tf)
 SELECT session_id, ordinal, round(
   - greatest(1e-6, ln((n - df0 + 0.5) / (df0 + 0.5))) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
@@ -82,15 +82,98 @@ def search_ranked_phrase(spark, sf_dir):
     return scored.select("session_id", "ordinal", F.round("score", 6).alias("score"))
 
 
+def _index_path(spark):
+    return f"{graph.scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+
+
 @query("search_stored_index", f"WITH {PHRASE}")
 def search_stored_index(spark, sf_dir):
     """The same from a stored index, of which only the folders of the terms are read."""
-    path = f"{graph.scratch_dir(spark)}/index-{uuid.uuid4().hex}"
-    search.write_index(_docs(spark, sf_dir), path)
-    scored = search.bm25_of_index(spark, path, search.atoms('"of the" AND'))
+    path = _index_path(spark)
+    textindex.refresh(_docs(spark, sf_dir), path)
+    scored = textindex.bm25(spark, path, search.atoms('"of the" AND'))
     return scored.select("session_id", "ordinal", F.round("score", 6).alias("score"))
 
 
+def _older(docs):
+    """The documents as they were: some missing, some other texts, some that no longer exist."""
+    told = F.when(F.col("ordinal") % 6 == 5, F.concat(F.lit("of the and "), "text")).otherwise(F.col("text"))
+    was = docs.filter("session_id % 9 <> 0").select("session_id", "ordinal", told.alias("text"))
+    return was.unionByName(docs.filter("session_id % 4 = 0").select("session_id", (F.col("ordinal") + 10_000).alias("ordinal"), "text"))
+
+
+@query("search_incremental_index", f"WITH {PHRASE}")
+def search_incremental_index(spark, sf_dir):
+    """An index of older documents, brought up to date by a second segment and searched."""
+    path, docs = _index_path(spark), _docs(spark, sf_dir)
+    textindex.refresh(_older(docs), path)
+    textindex.refresh(docs, path)
+    scored = textindex.bm25(spark, path, search.atoms('"of the" AND'))
+    return scored.select("session_id", "ordinal", F.round("score", 6).alias("score"))
+
+
+@query("index_generations", f"""WITH {DOCS}, older AS (SELECT session_id, ordinal, CASE WHEN ordinal % 6 = 5 THEN 'of the and ' || text ELSE text END AS text FROM docs WHERE session_id % 9 <> 0 UNION ALL SELECT session_id, ordinal + 10000, text FROM docs WHERE session_id % 4 = 0),
+o AS (SELECT count(*) AS n_docs, sum(len(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_+./-]+')))::BIGINT AS sum_dl FROM older),
+n AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS sum_dl FROM toks)
+SELECT 1 AS generation, 1 AS segments, n_docs, sum_dl FROM o UNION ALL SELECT 2, 2, n_docs, sum_dl FROM n UNION ALL SELECT 3, 1, n_docs, sum_dl FROM n""")
+def index_generations(spark, sf_dir):
+    """Totals of an index after its first documents, after a refresh and after a merge."""
+    path, docs = _index_path(spark), _docs(spark, sf_dir)
+    textindex.refresh(_older(docs), path)
+    textindex.refresh(docs, path)
+    textindex.refresh(docs, path)  # nothing new: no generation
+    textindex.merge(spark, path)
+    rows = [(g.generation, len(g.segments), g.n_docs, g.sum_dl) for g in textindex.generations(spark, path)]
+    return spark.createDataFrame(rows, "generation long, segments long, n_docs long, sum_dl long")
+
+
+@query("index_validation", f"""WITH {DOCS}, older AS (SELECT session_id, ordinal, CASE WHEN ordinal % 6 = 5 THEN 'of the and ' || text ELSE text END AS text FROM docs WHERE session_id % 9 <> 0 UNION ALL SELECT session_id, ordinal + 10000, text FROM docs WHERE session_id % 4 = 0)
+SELECT (SELECT count(*) FROM docs) AS expected, (SELECT count(*) FROM older) AS actual, (SELECT count(*) FROM (SELECT * FROM docs EXCEPT ALL SELECT * FROM older)) AS missing, (SELECT count(*) FROM (SELECT * FROM older EXCEPT ALL SELECT * FROM docs)) AS extra, 0::BIGINT AS duplicates, 0::BIGINT AS stray""")
+def index_validation(spark, sf_dir):
+    """How an index that wasn't refreshed differs from its documents."""
+    path, docs = _index_path(spark), _docs(spark, sf_dir)
+    textindex.refresh(_older(docs), path)
+    return textindex.validate(docs, path)
+
+
+#: Porter's rules once more, as patterns; y is written Y where it is a consonant.
+STEMS = r"""terms AS (SELECT term, count(*) AS n FROM (SELECT unnest(t) AS term FROM toks) GROUP BY 1),
+s0 AS (SELECT term, n, regexp_replace(term, '(^|[aeiou])y', '\1Y', 'g') AS w, strlen(term) BETWEEN 3 AND 64 AS ok FROM terms),
+s1 AS (SELECT term, n, ok, CASE WHEN w LIKE '%sses' OR (w LIKE '%ies' AND length(w) > 3) THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END AS w FROM s0),
+s2 AS (SELECT *, CASE WHEN w LIKE '%eed' THEN NULL WHEN w LIKE '%ed' AND regexp_matches(w[:-3], '[aeiouy]') THEN w[:-3] WHEN w LIKE '%ing' AND regexp_matches(w[:-4], '[aeiouy]') THEN w[:-4] END AS cut FROM s1),
+s3 AS (SELECT term, n, ok, CASE WHEN w LIKE '%eed' THEN CASE WHEN regexp_matches(w[:-4], '^[^aeiouy]*[aeiouy]+[^aeiouy]') THEN w[:-2] ELSE w END
+  WHEN cut IS NULL THEN w WHEN regexp_matches(cut, '(at|bl|iz)$') THEN cut || 'e'
+  WHEN length(cut) > 1 AND cut[-1] = cut[-2] AND regexp_matches(cut, '[^aeiouylsz]$') THEN cut[:-2]
+  WHEN regexp_matches(cut, '^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]*$') AND regexp_matches(cut, '[^aeiouy][aeiouy][^aeiouywxY]$') THEN cut || 'e' ELSE cut END AS w FROM s2),
+s4 AS (SELECT term, n, ok, CASE WHEN regexp_matches(w, '[yY]$') AND regexp_matches(w[:-2], '[aeiouy]') THEN w[:-2] || 'i' ELSE w END AS w FROM s3),
+e2(e, r) AS (VALUES ('ational', 'ate'), ('tional', 'tion'), ('enci', 'ence'), ('anci', 'ance'), ('izer', 'ize'), ('bli', 'ble'), ('alli', 'al'), ('entli', 'ent'), ('eli', 'e'), ('ousli', 'ous'), ('ization', 'ize'), ('ation', 'ate'), ('ator', 'ate'), ('alism', 'al'), ('iveness', 'ive'), ('fulness', 'ful'), ('ousness', 'ous'), ('aliti', 'al'), ('iviti', 'ive'), ('biliti', 'ble'), ('logi', 'log')),
+s5 AS (SELECT term, any_value(n) AS n, any_value(ok) AS ok, any_value(w) AS w, arg_max(e, length(e)) AS e, arg_max(r, length(e)) AS r FROM s4 LEFT JOIN e2 ON ends_with(w, e) GROUP BY term),
+s6 AS (SELECT term, n, ok, CASE WHEN e IS NOT NULL AND regexp_matches(w[:-length(e) - 1], '^[^aeiouy]*[aeiouy]+[^aeiouy]') THEN w[:-length(e) - 1] || r ELSE w END AS w FROM s5),
+e3(e, r) AS (VALUES ('icate', 'ic'), ('ative', ''), ('alize', 'al'), ('iciti', 'ic'), ('ical', 'ic'), ('ful', ''), ('ness', '')),
+s7 AS (SELECT term, any_value(n) AS n, any_value(ok) AS ok, any_value(w) AS w, arg_max(e, length(e)) AS e, arg_max(r, length(e)) AS r FROM s6 LEFT JOIN e3 ON ends_with(w, e) GROUP BY term),
+s8 AS (SELECT term, n, ok, CASE WHEN e IS NOT NULL AND regexp_matches(w[:-length(e) - 1], '^[^aeiouy]*[aeiouy]+[^aeiouy]') THEN w[:-length(e) - 1] || r ELSE w END AS w FROM s7),
+e4(e) AS (VALUES ('al'), ('ance'), ('ence'), ('er'), ('ic'), ('able'), ('ible'), ('ant'), ('ement'), ('ment'), ('ent'), ('ion'), ('ou'), ('ism'), ('ate'), ('iti'), ('ous'), ('ive'), ('ize')),
+s9 AS (SELECT term, any_value(n) AS n, any_value(ok) AS ok, any_value(w) AS w, arg_max(e, length(e)) AS e FROM s8 LEFT JOIN e4 ON ends_with(w, e) GROUP BY term),
+s10 AS (SELECT term, n, ok, CASE WHEN e IS NOT NULL AND regexp_matches(w[:-length(e) - 1], '^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]') AND (e <> 'ion' OR regexp_matches(w[:-4], '[st]$')) THEN w[:-length(e) - 1] ELSE w END AS w FROM s9),
+s11 AS (SELECT term, n, ok, CASE WHEN w LIKE '%e' AND (regexp_matches(w[:-2], '^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]') OR (regexp_matches(w[:-2], '^[^aeiouy]*[aeiouy]+[^aeiouy]') AND NOT regexp_matches(w[:-2], '[^aeiouy][aeiouy][^aeiouywxY]$'))) THEN w[:-2] ELSE w END AS w FROM s10),
+s12 AS (SELECT term, n, ok, CASE WHEN w LIKE '%ll' AND regexp_matches(w[:-2], '^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]') THEN w[:-2] ELSE w END AS w FROM s11),
+stems AS (SELECT term, n, CASE WHEN ok THEN replace(w, 'Y', 'y') ELSE term END AS stem FROM s12)"""
+
+
+@query("stemmed_terms", f"WITH {DOCS}, {STEMS} SELECT term, stem, n FROM stems")
+def stemmed_terms(spark, sf_dir):
+    """Every term of the dialogue with its stem: each distinct term is stemmed once."""
+    t = _docs(spark, sf_dir).select(F.explode(search.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return t.select("term", F.element_at(search.porter.stemmed(F.array("term")), 1).alias("stem"), "n")
+
+
+@query("search_stemmed", f"""WITH {DOCS}, {STEMS}, x AS (SELECT session_id, ordinal, unnest(t) AS term FROM toks)
+SELECT session_id, ordinal, count(*) AS hits FROM x JOIN stems USING (term) WHERE stem = 'er' GROUP BY ALL""")
+def search_stemmed(spark, sf_dir):
+    """A word is found in all its forms."""
+    return search.phrase_matches(_docs(spark, sf_dir), "Eres").withColumn("hits", F.col("hits").cast("long"))
+
+
 PATHS = """p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages), w AS (SELECT min(path) AS path FROM p WHERE len(path) > 1)"""
 
 

@@ -145,9 +145,9 @@ def tier2_answers(spark, sf_dir):
     return a.select("doc_id", "a.body", F.size("a.anchors").alias("anchors"), "a.malformed")
 
 
-@query("paragraph_breaks", r"""WITH b AS (SELECT doc_id, text, length(text) AS n FROM documents)
-SELECT doc_id, md5(CASE WHEN n <= 100 THEN text WHEN n <= 300 THEN regexp_replace(substr(text, 1, 100), '\s+$', '') || chr(10) || chr(10) || substr(text, 101)
-  ELSE regexp_replace(substr(text, 1, 100), '\s+$', '') || chr(10) || chr(10) || regexp_replace(substr(text, 101, 200), '\s+$', '') || chr(10) || chr(10) || substr(text, 301) END) AS digest FROM b""")
+@query("paragraph_breaks", """WITH b AS (SELECT doc_id, text, length(text) AS n, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8195) || chr(12288) AS white, chr(10) || chr(10) AS gap FROM documents)
+SELECT doc_id, md5(CASE WHEN n <= 60 THEN text WHEN n <= 100 THEN rtrim(substr(text, 1, 60), white) || gap || substr(text, 61) WHEN n <= 300 THEN rtrim(substr(text, 1, 100), white) || gap || substr(text, 101)
+  ELSE rtrim(substr(text, 1, 100), white) || gap || rtrim(substr(text, 101, 200), white) || gap || substr(text, 301) END) AS digest FROM b""")
 def paragraph_breaks(spark, sf_dir):
     """Breaks at 100 and 300, one that goes back and one far behind the end."""
     shown = fx.paragraphize(F.col("text"), F.array(F.lit(0), F.lit(100), F.lit(60), F.lit(300), F.lit(100_000_000)))

@@ -11,6 +11,8 @@ sys.path.insert(0, str(ROOT))
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    from skeinlake.shipping import ship
+
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
@@ -22,5 +24,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()

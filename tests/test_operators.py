@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlake.operators import creator, filters, graph, lineage, packing, passages, publish, replay, search, sessions, topics
+from skeinlake.functions import porter
+from skeinlake.operators import creator, filters, graph, lineage, packing, passages, publish, replay, search, sessions, textindex, topics
 from skeinlake.sources import exports, jsonl
 from skeinlake.sources.sqlite import SqliteSource
 from skeinlake.streaming import capture, sessionize
@@ -38,11 +39,11 @@ def test_query_and_text_are_cut_alike(spark, text):
 def test_phrases_are_ranked_as_units(spark, tmp_path):
     texts = ["to be or not to be", "be to", "to be", "see /etc/hosts now", "see etc hosts", "Déjà vu", "", "be not"]
     docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "session_id long, ordinal int, text string")
-    search.write_index(docs, f"file://{tmp_path}/index")
+    textindex.refresh(docs, f"file://{tmp_path}/index", 3)
 
     def found(query):
         scan = {r.session_id: r.score for r in search.bm25(docs, search.atoms(query)).collect()}
-        stored = {r.session_id: r.score for r in search.bm25_of_index(spark, f"file://{tmp_path}/index", search.atoms(query)).collect()}
+        stored = {r.session_id: r.score for r in textindex.bm25(spark, f"file://{tmp_path}/index", search.atoms(query)).collect()}
         assert scan.keys() == stored.keys() and all(scan[k] == pytest.approx(stored[k]) for k in scan)
         return sorted(scan)
 
@@ -52,6 +53,71 @@ def test_phrases_are_ranked_as_units(spark, tmp_path):
         search.bm25(docs, ["()"])
 
 
+def test_words_are_found_in_all_their_forms(spark):
+    texts = ["she was running", "a run", "runs and runs", "the runner", "rune", "Generalizations of oscillators", "general oscillation"]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "session_id long, ordinal int, text string")
+    found = lambda q: sorted(r.session_id for r in search.bm25(docs, search.atoms(q)).collect())
+    assert found("run") == found("Running") == [0, 1, 2] and found("oscillate") == [5, 6] and found('"generally oscillator"') == [6]
+
+
+def test_stems_of_published_pairs():
+    pairs = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
+    conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky
+    relational relat conditional condit rational ration digitizer digit vietnamization vietnam operator oper decisiveness decis hopefulness hope
+    sensibiliti sensibl triplicate triplic formative form electrical electr goodness good revival reviv allowance allow inference infer airliner airlin
+    adjustable adjust defensible defens replacement replac adjustment adjust dependent depend adoption adopt effective effect bowdlerize bowdler
+    probate probat rate rate cease ceas controll control roll roll by by yes ye say sai""".split()
+    assert [porter.stem(a) for a in pairs[::2]] == pairs[1::2]
+
+
+def test_stems_of_lists(spark):
+    frame = spark.createDataFrame([(["running", "runs", None],), (None,), ([],), (["x" * 70 + "ing"],)], "w array<string>")
+    assert [r.s for r in frame.select(porter.stemmed(F.col("w")).alias("s")).collect()] == [["run", "run", None], None, [], ["x" * 70 + "ing"]]
+
+
+def test_index_follows_its_documents(spark, tmp_path):
+    """After each change an index with its segments holds what an index made anew would."""
+    path = f"file://{tmp_path}/index"
+    frame = lambda rows: spark.createDataFrame(rows, "session_id long, ordinal int, text string")
+    states = [
+        [(i, k, f"word{i % 3} runs over hills {k}") for i in range(6) for k in range(2)],
+        [(i, k, f"word{i % 3} runs over hills {k}" if i != 2 else "running dogs") for i in range(1, 6) for k in range(2)],
+        [(i, k, f"word{i % 3} runs over hills {k}") for i in range(6) for k in range(2)],  # back again, after a change and a loss
+        [],
+        [(9, 0, "dogs run")],
+    ]
+
+    def content(at):
+        post = textindex.postings(spark, path, at).select("session_id", "ordinal", "term", "tf", "positions", "dl")
+        return sorted(map(repr, (tuple(r) for r in post.collect())))
+
+    for n, rows in enumerate(states, 1):
+        made = textindex.refresh(frame(rows), path, 4)
+        assert made.generation == n and (made.n_docs, made.sum_dl) == (len(rows), sum(len(t.split()) for _, _, t in rows))
+        new = f"file://{tmp_path}/new{n}"
+        fresh = textindex.refresh(frame(rows), new, 4)
+        post = textindex.postings(spark, new, fresh).select("session_id", "ordinal", "term", "tf", "positions", "dl")
+        assert content(made) == sorted(map(repr, (tuple(r) for r in post.collect())))
+        for q in ("run", '"run over"', "dogs"):
+            one, other = ({(r.session_id, r.ordinal): round(r.score, 9) for r in textindex.bm25(spark, p, search.atoms(q)).collect()} for p in (path, new))
+            assert one == other
+        check = textindex.validate(frame(rows), path).first()
+        assert (check.expected, check.actual, check.missing, check.extra, check.duplicates, check.stray) == (len(rows), len(rows), 0, 0, 0, 0)
+    assert textindex.refresh(frame(states[-1]), path) == made
+    before = content(None)
+    merged = textindex.merge(spark, path)
+    assert len(merged.segments) == 1 and content(None) == before == content(made)
+    assert textindex.validate(frame(states[0]), path).first().missing == 12
+
+
+def test_index_reads_the_folders_of_its_stems(spark, tmp_path):
+    docs = spark.createDataFrame([(i, 0, f"w{i} run") for i in range(200)], "session_id long, ordinal int, text string")
+    path = f"file://{tmp_path}/index"
+    textindex.refresh(docs, path, 16)
+    plan = textindex.postings(spark, path, words=["run"])._jdf.queryExecution().toString()
+    assert "folder#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(term,run)" in plan
+
+
 def test_blank_query_and_foreign_cursor():
     with pytest.raises(search.InvalidQuery):
         search.atoms("  ")
