@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed there."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+from skeinlake.shipping import ship
 
+__all__ = ["gapless_rank", "hex52", "lowest_by_hash", "materialise", "most_frequent", "partitions", "range_bounds", "range_of", "scratch_dir", "ship", "small_side", "table"]
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; one of our own if unset in local mode (tests)."""
