@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.operators import publish, sessions
+from skeinlake.operators import continuity, publish, sessions
 from skeinlake.operators.graph import scratch_dir
 from skeinlake.plans.q_sessions import MSGS, msgs
 from skeinlake.plans.registry import query, table
@@ -278,3 +278,63 @@ def capture_sweeps(spark, sf_dir):
         capture.sweep(spark, f"{root}/in", f"{root}/out", f"{root}/state")
     found = capture.captured(spark, f"{root}/out")
     return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "byte_offset", "line", "sweep")
+
+
+@query("capture_rewrites", """WITH l AS (SELECT conv_id // 50 AS f, conv_id, turn, CASE conv_id // 50 % 4 WHEN 0 THEN md5(text) WHEN 1 THEN upper(md5(text)) WHEN 2 THEN md5(text) || '+' ELSE substr(md5(text), 2) END || ' ' || conv_id || ' ' || turn AS line FROM conversations)
+SELECT 'f' || f || '.jsonl' AS file, CASE WHEN f % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS generation, (sum(strlen(line) + 1) OVER (PARTITION BY f ORDER BY conv_id, turn) - strlen(line) - 1)::BIGINT AS byte_offset, line FROM l""")
+def capture_rewrites(spark, sf_dir):
+    """Files written anew between two sweeps: as they were, at the same length, longer and shorter."""
+    c = table(spark, sf_dir, "conversations")
+    k = F.floor(F.col("conv_id") / 50) % 4
+    rest = F.concat(F.lit(" "), F.col("conv_id").cast("string"), F.lit(" "), F.col("turn").cast("string"))
+    digest = F.md5("text")
+    anew = F.when(k == 0, digest).when(k == 1, F.upper(digest)).when(k == 2, F.concat(digest, F.lit("+"))).otherwise(F.substring(digest, 2, 31))
+    file = F.concat(F.lit("f"), F.floor(F.col("conv_id") / 50).cast("string"), F.lit(".jsonl"))
+    root = f"{scratch_dir(spark)}/rewritten-{uuid.uuid4().hex}"
+    root = root if "://" in root else f"file://{root}"
+    for head in (digest, anew):
+        rows = c.select(file.alias("file"), F.lit(False).alias("late"), "conv_id", "turn", F.concat(head, rest).alias("line"))
+        _write_files(rows, f"{root}/in", False)
+        capture.sweep_until_still(spark, f"{root}/in", f"{root}/out", f"{root}/state")
+    found = capture.captured(spark, f"{root}/out")
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "generation", "byte_offset", "line")
+
+
+ACTIONS = """log AS (SELECT conv_id AS session_id, turn AS seq, CASE WHEN turn % 3 = 0 OR turn = 1 THEN 'sync' ELSE ['reset', 'rebuild', 'archive', 'restore'][(strlen(text) % 4 + 1)::INT] END AS action, text FROM conversations),
+synced AS (SELECT session_id, max(seq) AS seq FROM log WHERE action = 'sync' GROUP BY 1),
+ev AS (SELECT session_id, unnest(range(0, strlen(text) % 4)) AS i, text FROM log JOIN synced USING (session_id, seq)),
+evd AS (SELECT DISTINCT session_id, CASE WHEN i % 2 = 0 THEN 'checkpoint' ELSE 'compaction' END AS kind, greatest(i - 1, 0)::BIGINT AS ordinal, CASE WHEN i > 1 THEN 'r"' || i END AS record_id, CASE WHEN i <> 2 THEN i * 100 END::BIGINT AS ts, md5(text) AS detail FROM ev),
+keyed AS (SELECT *, '["' || kind || '",' || ordinal || ',' || coalesce('"r\\"' || substr(record_id, 3) || '"', 'null') || ',null,' || coalesce(ts::VARCHAR, 'null') || ',"' || detail || '"]' AS event_key FROM evd),
+st AS (SELECT session_id, count(*) FILTER (WHERE action = 'reset') AS reset_generation, max(seq) FILTER (WHERE action = 'reset') AS r, max(seq) FILTER (WHERE action = 'rebuild') AS b, max(seq) FILTER (WHERE action = 'archive') AS a, max(seq) FILTER (WHERE action = 'restore') AS t, arg_max(strlen(text) % 4 > 0, seq) FILTER (WHERE action = 'sync') AS has_events FROM log GROUP BY 1)"""
+
+
+def _continuity_log(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    n = F.octet_length("text")
+    action = F.when((F.col("turn") % 3 == 0) | (F.col("turn") == 1), "sync").otherwise(F.element_at(F.array(*map(F.lit, ("reset", "rebuild", "archive", "restore"))), n % 4 + 1))
+    none = F.lit(None).cast("string")
+
+    def event(i):
+        return F.struct(
+            F.when(i % 2 == 0, "checkpoint").otherwise("?").alias("kind"), (i - 1).cast("long").alias("ordinal"), F.when(i > 1, F.concat(F.lit('r"'), i.cast("string"))).otherwise(" ").alias("record_id"),
+            none.alias("record_uuid"), F.when(i != 2, (i * 100).cast("long")).alias("ts"), F.lit("uuid").alias("identity"), F.concat(F.lit(" "), F.md5("text")).alias("detail"),
+        )
+
+    # each event twice, as a replay gives it
+    count = n % 4
+    made = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) * 2 - 1), lambda i: event(i % F.greatest(count, F.lit(1))))).otherwise(F.array().cast(f"array<{continuity.EVENT}>"))
+    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), action.alias("action"), F.lit("unsupported").alias("support"), made.alias("events"))
+
+
+@query("continuity_states", f"""WITH {ACTIONS} SELECT session_id, CASE WHEN has_events THEN 'supported' WHEN has_events IS NULL THEN 'unknown' ELSE 'unsupported' END AS support,
+CASE WHEN a > coalesce(t, -1) THEN 'archived' WHEN r > coalesce(b, -1) THEN 'reset' ELSE 'active' END AS status, coalesce(a > coalesce(t, -1), false) AS archived, reset_generation, CASE WHEN r > coalesce(b, -1) THEN r END AS reset_at FROM st""")
+def continuity_states(spark, sf_dir):
+    """What a log of syncs, resets, rebuilds and archivings comes to for each session."""
+    return continuity.states(_continuity_log(spark, sf_dir))
+
+
+@query("continuity_history", f"""WITH {ACTIONS} SELECT session_id, event_key, kind, ordinal, record_id, ts, detail, reset_generation AS generation, row_number() OVER (PARTITION BY session_id ORDER BY ordinal, ts NULLS LAST, event_key) - 1 AS position
+FROM keyed JOIN st USING (session_id) WHERE NOT coalesce(r > coalesce(b, -1), false)""")
+def continuity_history(spark, sf_dir):
+    """The events that are shown, each once, in order."""
+    return continuity.history(_continuity_log(spark, sf_dir)).select("session_id", "event_key", "kind", "ordinal", "record_id", "ts", "detail", "generation", "position")

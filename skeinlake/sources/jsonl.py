@@ -142,6 +142,18 @@ def continuity(rec: DataFrame) -> DataFrame:
     return rows.select("path", "line_no", F.lit("compact_boundary").alias("event"), "uuid")
 
 
+def continuity_events(lines: DataFrame) -> DataFrame:
+    """(path, events): events of compaction as ``operators.continuity`` takes them; only records that say so count."""
+    field = lambda name: F.get_json_object("line", f"$.{name}")
+    rows = lines.filter((field("type") == "system") & (field("subtype") == "compact_boundary"))
+    ts = F.unix_millis(F.try_to_timestamp(field("timestamp"))).alias("ts")
+    uuid, message = field("uuid"), field("message.id")
+    identity = F.when(uuid.isNotNull(), "uuid").when(message.isNotNull(), "message-id").otherwise("none").alias("identity")
+    detail = F.when(F.startswith(field("compactMetadata"), F.lit("{")), field("compactMetadata")).alias("detail")
+    event = F.struct(F.lit("compaction").alias("kind"), F.col("line_no").cast("long").alias("ordinal"), message.alias("record_id"), uuid.alias("record_uuid"), ts, identity, detail)
+    return rows.select("path", event.alias("e")).groupBy("path").agg(F.array_sort(F.collect_list("e")).alias("events"))
+
+
 def turns(rec: DataFrame) -> DataFrame:
     """Adds ``turn``: how many turn contexts came before in the file."""
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)

@@ -186,6 +186,17 @@ def context_records(lines: DataFrame) -> DataFrame:
     return made.select("path", "line_no", F.col("id").alias("record_id"), "record_kind", side.alias("side"), shown.alias("prose"), "checkpoint")
 
 
+def context_events(records: DataFrame) -> DataFrame:
+    """(path, events): the checkpoints of contexts as ``operators.continuity`` takes them."""
+    none = F.lit(None).cast("string")
+    identity = F.when(F.col("record_id").isNotNull(), "record-id").otherwise("none").alias("identity")
+    event = F.struct(
+        F.lit("checkpoint").alias("kind"), F.col("line_no").cast("long").alias("ordinal"), F.col("record_id"), none.alias("record_uuid"), none.cast("long").alias("ts"), identity,
+        F.lit("kimi:_checkpoint").alias("detail"),
+    )
+    return records.filter("checkpoint").select("path", event.alias("e")).groupBy("path").agg(F.array_sort(F.collect_list("e")).alias("events"))
+
+
 def context_identity(path: Column) -> Column:
     """struct(native_id, parent): of a context's path; null if it isn't one. Sub-agents name their parent."""
     child = r"([^/]+)/subagents/([^/]+)/context\.jsonl$"

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinlake.functions import porter
-from skeinlake.operators import creator, filters, graph, lineage, packing, passages, publish, replay, search, sessions, textindex, topics
-from skeinlake.sources import exports, jsonl
+from skeinlake.operators import continuity, creator, filters, graph, lineage, packing, passages, publish, replay, search, sessions, textindex, topics
+from skeinlake.sources import exports, jsonl, rollouts
 from skeinlake.sources.sqlite import SqliteSource
 from skeinlake.streaming import capture, sessionize
 
@@ -337,6 +337,106 @@ def test_capture_takes_what_is_appended(spark, tmp_path):
     assert told() == [*more[:4], ("b.jsonl", 0, "9")]
 
 
+def test_capture_tells_rewritten_files(spark, tmp_path, monkeypatch):
+    """A file written anew starts a generation at any length; its old lines stay; places are compacted."""
+    monkeypatch.setattr(capture, "WHOLE_EVERY", 3)
+    src, out, state = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/state"
+    src.mkdir()
+
+    def told(text, thorough=False):
+        if text is not None:
+            (src / "a.jsonl").write_text(text)
+        capture.sweep(spark, f"file://{src}", out, state, thorough)
+        rows = capture.captured(spark, out).orderBy("byte_offset").collect()
+        return [(r.generation, r.line) for r in rows]
+
+    assert told("one\ntwo\n") == [(0, "one"), (0, "two")]
+    assert told("ONE\nTWO\n") == [(1, "ONE"), (1, "TWO")]
+    assert told("alpha\nbeta\ngamma\n") == [(2, "alpha"), (2, "beta"), (2, "gamma")]
+    assert told(None) == told("alpha\nbeta\ngamma\nto") == [(2, "alpha"), (2, "beta"), (2, "gamma")]
+    assert told("alpha\nbeta\ngamma\ntorn\n")[-1] == (2, "torn")
+    assert told("x\n") == told("") == told("x\n") == [(3, "x")]
+    big = ["head " * 2000, "middle " * 2000, "tail " * 2000]
+    assert [g for g, _ in told("\n".join(big) + "\n")] == [4] * 3
+    big[1] = big[1].upper()
+    # the same beginning and end: only a thorough sweep sees it
+    assert told("\n".join(big) + "\n")[1] == (4, "middle " * 2000)
+    (src / "a.jsonl").touch()
+    assert told("\n".join(big) + "\n", thorough=True)[1] == (5, "MIDDLE " * 2000)
+    offsets, number = capture.offsets_of(spark, state)
+    assert number == 12 and offsets.count() == 1
+    assert len({r.generation for r in capture.lines_of(spark, out).collect()}) == 6
+    (src / "a.jsonl").unlink()
+    (src / "b.jsonl").write_text("1\n")
+    assert capture.sweep_until_still(spark, f"file://{src}", out, state) == capture.Sweep(13, 0)
+    files = capture.availability(capture.listing(spark, f"file://{src}"), capture.offsets_of(spark, state)[0])
+    assert {r.path.rsplit("/", 1)[1]: r.status for r in files.collect()} == {"a.jsonl": "snapshot_only", "b.jsonl": "current"}
+    assert capture.captured(spark, out).count() == 4
+
+
+def test_windows_cut_lines_at_any_place(monkeypatch):
+    import io
+    import zlib
+
+    text = b"a\n\n" + b"long" * 20 + b"\nb\ntorn"
+    for window in range(1, 30):
+        monkeypatch.setattr(capture, "WINDOW", window)
+        for start in (0, 2):
+            found, end, crc = [], start, zlib.crc32(text[:start])
+            for offsets, lines, end, crc in capture.complete_lines(io.BytesIO(text), start, len(text), crc):
+                found += zip(offsets, lines)
+            assert found == [x for x in [(0, b"a"), (2, b""), (3, b"long" * 20), (84, b"b")] if x[0] >= start]
+            assert end == 86 and crc == zlib.crc32(text[:86]) == capture.checksum(io.BytesIO(text), 86)
+
+
+def continuity_log(spark, *rows):
+    event = lambda kind, n, i, ts, detail=None, uuid=None: (kind, n, i, uuid, ts, "record-id", detail)
+    data = [(1, seq, action, "unknown", [event(*e) for e in events]) for seq, (action, *events) in enumerate(rows)]
+    return spark.createDataFrame(data, continuity.LOG)
+
+
+def test_continuity_is_ordered_deduplicated_and_refreshed(spark):
+    first = ("sync", ("checkpoint", 20, "z", 300, "z"), ("compaction", 10, "a", 100, "a"), ("compaction", 10, "a", 100, "a"), ("checkpoint", 5, "null-ts", None, "null"), ("compaction", 10, "a", None, " "))
+    log = continuity_log(spark, first)
+    rows = continuity.history(log).orderBy("position").collect()
+    assert [(r.ordinal, r.ts) for r in rows] == [(5, None), (10, 100), (10, None), (20, 300)]
+    assert rows[1].event_key == '["compaction",10,"a",null,100,"a"]' and rows[2].detail is None
+    again = continuity_log(spark, first, ("sync", ("other", -7, "new \"x\"", 700)))
+    only = continuity.history(again).first()
+    assert (only.kind, only.ordinal, only.event_key) == ("compaction", 0, '["compaction",0,"new \\"x\\"",null,700,null]')
+
+
+def test_continuity_reset_rebuild_archive(spark):
+    two = ("sync", ("compaction", 2, "c", 200), ("checkpoint", 4, "k", 400))
+
+    def after(*actions):
+        log = continuity_log(spark, two, *[a if isinstance(a, tuple) else (a,) for a in actions])
+        s = continuity.states(log).first()
+        return s.status, s.reset_generation, [r.record_id for r in continuity.history(log).orderBy("position").collect()], continuity.evidence(log).count()
+
+    assert after() == ("active", 0, ["c", "k"], 2)
+    assert after("reset") == after("reset", two) == ("reset", 1, [], 2)
+    assert after("reset", two, "rebuild") == ("active", 1, ["c", "k"], 2)
+    assert after("reset", "rebuild", "reset") == ("reset", 2, [], 2)
+    assert after("archive") == ("archived", 0, ["c", "k"], 2) and after("archive", "restore") == ("active", 0, ["c", "k"], 2)
+    assert after("reset", "archive") == ("archived", 1, [], 2)
+    assert after(("sync",)) == ("active", 0, [], 0)
+
+
+def test_continuity_of_records(spark):
+    lines = [
+        ("a", 0, '{"type":"system","subtype":"compact_boundary","uuid":"u1","timestamp":"2026-01-02T03:04:05Z","compactMetadata":{"trigger":"auto"}}'),
+        ("a", 1, '{"type":"user","message":{"role":"user","content":"system compact_boundary, it was compacted"}}'),
+        ("a", 2, '{"type":"system","subtype":"other"}'),
+        ("a", 3, '{"type":"system","subtype":"compact_boundary","compactMetadata":7}'),
+    ]
+    frame = spark.createDataFrame(lines, "path string, line_no int, line string")
+    got = jsonl.continuity_events(frame).first().events
+    assert [(e.ordinal, e.record_uuid, e.ts, e.identity, e.detail) for e in got] == [(0, "u1", 1767323045000, "uuid", '{"trigger":"auto"}'), (3, None, None, "none", None)]
+    kimi = rollouts.context_events(rollouts.context_records(spark.createDataFrame([("c", 0, '{"role":"_checkpoint","id":"7"}'), ("c", 1, '{"role":"user","content":"_checkpoint"}')], "path string, line_no int, line string")))
+    assert [(e.kind, e.record_id, e.identity, e.detail) for e in kimi.first().events] == [("checkpoint", "7", "record-id", "kimi:_checkpoint")]
+
+
 def test_capture_follows(spark, tmp_path):
     import time
 
