@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ["q_sessions", "q_search", "q_text", "q_events", "q_relations", "q_library", "q_sources", "q_views", "q_filters"]
+MODULES = ["q_sessions", "q_search", "q_text", "q_events", "q_relations", "q_library", "q_sources", "q_views", "q_filters", "q_decisions"]
 
 
 def queries() -> dict[str, registry.Query]:
