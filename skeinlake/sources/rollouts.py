@@ -100,32 +100,42 @@ def completions(rows: DataFrame) -> DataFrame:
 def associated(records: DataFrame, done: DataFrame) -> DataFrame:
     """(path, line_no) of the records that a completion is about.
 
-    A completion with a known response id means the first record of that id and role. Others mean
-    the last record before them, in their turn, of their role and with their text, that no other
-    completion has taken: a stack, folded per turn, role and text. Ids come first.
+    Completions are taken in their order. One with a known response id means the first record of that id and role, taken or
+    not. Others mean the last record before them, in their turn, of their role and with their text, that no
+    completion has taken by then: a stack, folded per turn, role and text, from which records go as well when they are named.
     """
     key = ["path", "response_id", "response_role"]
-    by_id = records.filter("response_id IS NOT NULL").groupBy(*key).agg(F.min("line_no").alias("line_no"))
-    named = done.filter("response_id IS NOT NULL")
-    found = by_id.join(named.select(*key).distinct(), key, "left_semi").select("path", "line_no")
-    open_ones = done.join(by_id.select(*key), key, "left_anti").filter("turn >= 0 AND prose IS NOT NULL")
-    free = records.filter("prose IS NOT NULL AND response_role IS NOT NULL").join(found, ["path", "line_no"], "left_anti")
+    by_id = records.filter("response_id IS NOT NULL").groupBy(*key).agg(F.min("line_no").alias("meant"))
+    both = done.join(by_id, key, "left")
+    found = both.filter("meant IS NOT NULL").select("path", F.col("meant").alias("line_no")).distinct()
+    # a record leaves its stack with the first completion that names it
+    named = both.filter("meant IS NOT NULL").groupBy("path", F.col("meant").alias("record")).agg(F.min("line_no").alias("line_no"))
+    free = records.filter("prose IS NOT NULL AND response_role IS NOT NULL")
     group = ["path", "turn", "response_role", F.sha2("prose", 256).alias("digest")]
-    events = free.select(*group, "line_no", F.lit(False).alias("done")).unionByName(open_ones.select(*group, "line_no", F.lit(True).alias("done")))
-    told = events.groupBy("path", "turn", "response_role", "digest").agg(F.array_sort(F.collect_list(F.struct("line_no", "done"))).alias("e"))
-    none = F.array().cast("array<bigint>")
+    none = F.lit(None).cast("bigint")
+    pushes = free.select(*group, "line_no", F.lit(0).alias("what"), F.col("line_no").alias("record"))
+    leaves = free.select(*group, F.col("line_no").alias("record")).join(named, ["path", "record"])
+    # one that was named before it came never enters
+    early = named.filter("line_no < record").select("path", F.col("record"))
+    pushes = pushes.join(early, ["path", "record"], "left_anti").select(*pushes.columns)
+    gone = leaves.select("path", "turn", "response_role", "digest", "line_no", F.lit(1).alias("what"), "record")
+    pops = both.filter("meant IS NULL AND turn >= 0 AND prose IS NOT NULL").select(*group, "line_no", F.lit(2).alias("what"), none.alias("record"))
+    events = pushes.unionByName(gone).unionByName(pops)
+    told = events.groupBy("path", "turn", "response_role", "digest").agg(F.array_sort(F.collect_list(F.struct("line_no", "what", "record"))).alias("e"))
+    empty = F.array().cast("array<bigint>")
 
     def step(s: Column, e: Column) -> Column:
         left = F.size(s["stack"])
-        pushed = F.struct(F.concat(s["stack"], F.array(e["line_no"])).alias("stack"), s["taken"].alias("taken"))
+        pushed = F.struct(F.concat(s["stack"], F.array(e["record"])).alias("stack"), s["taken"].alias("taken"))
+        named_one = F.struct(F.array_remove(s["stack"], e["record"]).alias("stack"), s["taken"].alias("taken"))
         popped = F.struct(
             F.slice(s["stack"], 1, F.greatest(left - 1, F.lit(0))).alias("stack"), F.concat(s["taken"], F.array(F.try_element_at(s["stack"], F.lit(-1)))).alias("taken")
         )
-        return F.when(~e["done"], pushed).when(left > 0, popped).otherwise(s)
+        return F.when(e["what"] == 0, pushed).when(e["what"] == 1, named_one).when(left > 0, popped).otherwise(s)
 
-    start = F.struct(none.alias("stack"), none.alias("taken"))
+    start = F.struct(empty.alias("stack"), empty.alias("taken"))
     taken = told.select("path", F.explode(F.aggregate("e", start, step)["taken"]).alias("line_no"))
-    return found.unionByName(taken)
+    return found.unionByName(taken).distinct()
 
 
 def rollout_admission(rows: DataFrame) -> DataFrame:

@@ -134,3 +134,97 @@ def test_times_come_from_within(read):
     ]})
     assert [(r.ts, r.line_no, r.ordinal) for r in records["sessions/t.jsonl"]] == [(702000, 1, 0), (701000, 2, 1), (None, 3, 2)]
     assert (sessions["t"].start_ts, sessions["t"].end_ts) == (701000, 702000)
+
+
+# --- databases and transcripts of agents -----------------------------------------------------------------------
+
+
+def zcode_db(path, wal=False):
+    import sqlite3
+
+    db = sqlite3.connect(path)
+    if wal:
+        db.execute("PRAGMA journal_mode=WAL")
+        db.execute("PRAGMA wal_autocheckpoint=0")
+    db.execute("CREATE TABLE session (id TEXT, parent_id TEXT, directory TEXT, title TEXT, task_type TEXT)")
+    db.execute("CREATE TABLE message (id TEXT, session_id TEXT, time_created INTEGER, data TEXT)")
+    db.execute("CREATE TABLE part (id TEXT, message_id TEXT, data TEXT)")
+    db.executemany("INSERT INTO session VALUES (?, ?, ?, ?, ?)", [("s", None, " /w ", "", "interactive"), ("kid", "s", None, "t", None), ("sub", " ", None, None, "subagent_child")])
+    rows = [("m1", "s", 5, {"role": "User"}), ("m2", "s", 4, {"role": "assistant"}), ("m3", "s", 3, {"role": "assistant"}), ("m4", "s", 2, {"role": "user"}), ("m5", "s", 1, "{")]
+    db.executemany("INSERT INTO message VALUES (?, ?, ?, ?)", [(*r[:3], r[3] if isinstance(r[3], str) else json.dumps(r[3])) for r in rows])
+    state = {"status": "completed", "input": {"b": 1, "a": "x"}, "output": "out"}
+    parts = [("p2", "m1", {"type": "text", "text": "second "}), ("p1", "m1", {"type": "text", "text": "first"}), ("p3", "m2", {"type": "tool", "tool": "run", "callID": "c", "state": state}), ("p4", "m3", {"type": "reasoning"}), ("p5", "m4", {"type": "file", "filename": "f.txt"}), ("p6", "m5", {"type": "other"})]
+    db.executemany("INSERT INTO part VALUES (?, ?, ?)", [(*r[:2], json.dumps(r[2])) for r in parts])
+    db.commit()
+    return db
+
+
+@pytest.mark.parametrize("how", ["local", "wal", "bytes"])
+def test_messages_of_a_database(spark, tmp_path, monkeypatch, how):
+    from skeinlake.sources import databases, sqlite
+
+    db = zcode_db(tmp_path / "z.sqlite", how == "wal")
+    if how == "bytes":
+        db.close()
+        pages = bytearray((tmp_path / "z.sqlite").read_bytes())
+        pages[18:20] = b"\x02\x02"  # as a database with a log is marked
+        (tmp_path / "z.sqlite").write_bytes(pages)
+        monkeypatch.setattr(sqlite.os.path, "exists", lambda p: False)
+        assert [r[0] for r in sqlite.opened(f"file://{tmp_path}/z.sqlite").execute("SELECT id FROM part ORDER BY rowid")] == ["p2", "p1", "p3", "p4", "p5", "p6"]
+        (tmp_path / "z.sqlite-wal").write_bytes(b"x")
+        with pytest.raises(ValueError, match="write-ahead"):
+            sqlite.opened(f"file://{tmp_path}/z.sqlite")
+        return
+    read = lambda name: databases.read_table(spark, f"file://{tmp_path}", name)
+    got = databases.zcode(read("session"), read("message"), read("part")).orderBy("ordinal").collect()
+    assert [(r.record_id, r.record_kind, r.prose, r.cwd, r.ts) for r in got] == [
+        ("m1", "real_user", "second \nfirst", "/w", 5), ("m2", "tool", None, "/w", 4), ("m3", "control_context", None, "/w", 3), ("m4", "tool", None, "/w", 2), ("m5", "unclassified", None, "/w", 1),
+    ]
+    assert tuple(got[1].tools[0]) == ("result", "run", '{"status":"completed","input":{"b":1,"a":"x"},"output":"out"}', "c")
+    assert (got[3].tools[0].kind, got[3].tools[0].name) == ("attachment", "f.txt")
+    assert {r.native_id: r.origin for r in databases.zcode_origin(read("session")).collect()} == {"s": "human", "kid": "agent", "sub": "agent"}
+    db.close()
+
+
+def test_transcripts_of_agents(spark, tmp_path):
+    from skeinlake.sources import databases
+
+    row = lambda kind, name=None, sid="s", **payload: {"type": kind, "sessionId": sid, "id": name, "timestamp": "1970-01-01T00:00:02Z", "payload": payload}
+    tree(tmp_path, {
+        "agents/sess_p/a/transcript.jsonl": [
+            row("turn_started", "1", input=" ask "), row("model_streaming", "2"), {"sessionId": "s"}, row("model_streaming", "3"), row("tool_ran", "4"), row("model_streaming", "5"),
+            row("turn_complete", "6", response=""), row("model_request", "7"), row("model_streaming", "8"),
+        ],
+        "agents/other/a/transcript.jsonl": [row("turn_started", "1", sid="o", input="x")],
+        "agents/sess_q/a/transcript.jsonl": [row("turn_started", "1"), row("turn_started", "2", sid="else")],
+    })
+    got = databases.zcode_transcripts(jsonl.complete_lines(spark, f"file://{tmp_path}")).orderBy("native_id", "ordinal").collect()
+    assert [(r.native_id, r.parent, r.record_id, r.record_kind, r.prose) for r in got] == [
+        ("o", None, "1", "real_user", "x"), ("s", "sess_p", "1", "real_user", "ask"), ("s", "sess_p", "3", "control_context", None), ("s", "sess_p", "5", "control_context", None),
+        ("s", "sess_p", "6", "control_context", None), ("s", "sess_p", "7", "control_context", None), ("s", "sess_p", "8", "control_context", None),
+    ]
+    assert {r.ts for r in got} == {2000}
+
+
+def test_placeholder_titles(spark):
+    from pyspark.sql import functions as F
+
+    from skeinlake.sources import databases
+
+    titles = ["New session - 2026-01-02T03:04:05Z", "New session - tomorrow", "New session", None, "x New session - 2026-01-02T03:04:05Z"]
+    frame = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert [r.p for r in frame.select(databases.placeholder_title(F.col("t")).alias("p")).collect()] == [True, False, False, False, False]
+
+
+def test_completions_are_taken_in_order(spark):
+    """An earlier completion without an id takes the record that a later one names; then no second record is marked."""
+    from skeinlake.sources import rollouts
+
+    records = spark.createDataFrame([("f", 1, 0, "assistant", "same", "r1"), ("f", 2, 0, "assistant", "same", "r2")], "path string, line_no long, turn long, response_role string, prose string, response_id string")
+    done = lambda *rows: spark.createDataFrame(rows, records.schema)
+    got = lambda d: sorted(r.line_no for r in rollouts.associated(records, d).collect())
+    assert got(done(("f", 3, 0, "assistant", "same", None), ("f", 4, 0, "assistant", "other", "r2"))) == [2]
+    assert got(done(("f", 3, 0, "assistant", "other", "r2"), ("f", 4, 0, "assistant", "same", None))) == [1, 2]
+    assert got(done(("f", 3, 0, "assistant", "same", None), ("f", 4, 0, "assistant", "same", None), ("f", 5, 0, "assistant", "same", None))) == [1, 2]
+    assert got(done(("f", 3, 0, "assistant", "same", "unknown"))) == [2]
+    assert got(done(("f", 0, 0, "assistant", "x", "r2"), ("f", 3, 0, "assistant", "same", None))) == [1, 2]
