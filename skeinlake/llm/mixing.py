@@ -9,7 +9,8 @@ The copies then get random positions in one global order.
 
 Edge cases: a null source is a source of its own; a null text has no bytes (a
 source without any bytes keeps each of its documents once); rows that share a
-doc_id draw the same k, and stand side by side ordered by a hash of their text; an empty table gives an empty result; columns named
+doc_id draw the same k, and stand side by side ordered by a hash of their text; rows without an id draw by their text; texts of
+any length are single values; an empty table gives an empty result; columns named
 like those added here are replaced.
 """
 
@@ -63,6 +64,11 @@ def source_rates(
     )
 
 
+def _name() -> Column:
+    """What a document's draws and places come from: its id, or its text where it has none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text-"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def _cumulative(rate: Column) -> Column:
     """P(K <= k) for k = 0, 1, ... until doubles can't tell it from 1."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
@@ -93,7 +99,7 @@ def replicate(
     rates, _ = common.small_side(rates, MAX_BROADCAST_SOURCES, "rates")
 
     def draw(total: Column, part: Column) -> Column:
-        at = common.hex52(str(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), part.cast("string"))
+        at = common.hex52(str(seed), _name(), part.cast("string"))
         unit = at.cast("double") / float(1 << 52)
         return total + F.size(F.filter(F.col("__upto"), lambda c: c <= unit))
 
@@ -123,7 +129,7 @@ def mix(
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
     ranges = max(MIN_RANGES, math.ceil(total / RANGE_BYTES))
     key = common.hex52(
-        f"{seed}-order", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")
+        f"{seed}-order", _name(), F.col("copy").cast("string")
     )
     keyed = (
         replicate(docs, weights, temperature, seed)

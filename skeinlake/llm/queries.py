@@ -58,8 +58,8 @@ def _unit(parts: str) -> str:
 
 def op2_body(docs: str) -> str:
     """CTEs mix_rates, mix_counts and mixed (doc_id, source, rate, copy, position) over a table."""
-    draw = _unit("'42:' || coalesce(d.doc_id::VARCHAR, '') || ':0'")
-    order = _unit("'42-order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR")
+    draw = _unit("'42:' || d.name || ':0'")
+    order = _unit("'42-order:' || name || ':' || copy::VARCHAR")
     return f"""
 mix_sizes AS (
   SELECT source, coalesce(sum(coalesce(strlen(text), 0)), 0)::BIGINT AS n_bytes FROM {docs} GROUP BY source),
@@ -73,10 +73,10 @@ mix_cdf AS (
   SELECT source, rate, k + 1, p * rate / (k + 1), upto + p * rate / (k + 1) FROM mix_cdf
   WHERE k + 1 <= ceil(rate + 12 * sqrt(rate) + 30)),
 mix_counts AS (
-  SELECT d.doc_id, d.source, c.rate, count(*) FILTER (WHERE c.upto <= {draw} / 4503599627370496.0) AS n
-  FROM (SELECT *, row_number() OVER () AS mix_row FROM {docs}) d JOIN mix_cdf c ON d.source IS NOT DISTINCT FROM c.source
-  GROUP BY d.mix_row, d.doc_id, d.source, c.rate),
-mix_copies AS (SELECT doc_id, source, rate, unnest(range(1, n + 1))::INT AS copy FROM mix_counts),
+  SELECT d.doc_id, d.name, d.source, c.rate, count(*) FILTER (WHERE c.upto <= {draw} / 4503599627370496.0) AS n
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, 'text-' || md5(coalesce(text, ''))) AS name, row_number() OVER () AS mix_row FROM {docs}) d JOIN mix_cdf c ON d.source IS NOT DISTINCT FROM c.source
+  GROUP BY d.mix_row, d.doc_id, d.name, d.source, c.rate),
+mix_copies AS (SELECT doc_id, name, source, rate, unnest(range(1, n + 1))::INT AS copy FROM mix_counts),
 mixed AS (
   SELECT doc_id, source, rate, copy,
     row_number() OVER (ORDER BY {order}, doc_id NULLS FIRST, copy) - 1 AS position

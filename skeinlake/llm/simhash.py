@@ -8,7 +8,8 @@ form groups.
 Finding the links takes two steps. Fingerprints that differ in 3 bits or fewer
 agree on at least one of 4 blocks of 16 bits (5 bits: 6 blocks), so each distinct
 fingerprint is dealt to 4 groups by the value of a block; a group that is still
-too large is dealt again by blocks of the bits not yet fixed, and so on, which
+too large is dealt again by blocks of the bits not yet fixed, and so on; one that more bits don't
+split, as its members are all near to each other, is cut to parts, of which any two meet in a task. That
 loses no link and bounds every group. Inside a task the members of a group are sorted by
 Gray rank, so that neighbours share bits, and a tree is built over them: a node
 holds the bits on which all its members agree, and children only the bits that
@@ -213,28 +214,50 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _tiled(stuck: DataFrame, limit: int, own: list[str]) -> DataFrame:
+    """Members of groups that more bits don't split, dealt to tiles that hold two parts each.
+
+    A part has half of ``limit`` members, and any two parts meet in one tile, so no pair is lost; a member comes once for each other part.
+    """
+    parts = F.ceil(F.col("n") / (limit / 2)).cast("int")
+    cut = stuck.withColumn("parts", F.greatest(parts, F.lit(2))).withColumn("part", F.pmod(F.xxhash64(*own), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("part"))
+    met = cut.select("mask", "value", *own, "part", "parts", F.explode(others).alias("other"))
+    tile = F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other") + 1
+    return met.select("mask", "value", tile.alias("tile"), *own)
+
+
 def deal(codes: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> DataFrame:
-    """(mask, value) and the columns of ``codes``: the groups in which links are looked for."""
-    spark, own = codes.sparkSession, codes.columns
+    """(mask, value, tile) and the columns of ``codes``: the groups in which links are looked for.
+
+    A group that is too large is dealt again by more bits as long as that pays: each member goes to ``bits`` + 1
+    groups, so those must be smaller by as much. Where they aren't, as codes are equal or all near to each other (one page's
+    many variants), the group is cut to tiles instead. So the rows of a round are no more than those before, and rounds end.
+    """
+    spark, own, fan = codes.sparkSession, codes.columns, bits + 1
     top = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("value")) for m in _split_bits(0, bits)])
-    open_groups = codes.select(*own, F.explode(top).alias("g")).select("g.mask", "g.value", *own)
+    size = F.lit(codes.count()).cast("long")
+    open_groups = codes.select(*own, F.explode(top).alias("g")).select("g.mask", "g.value", size.alias("was"), *own)
     masks, settled = _split_bits(0, bits), None
     while True:
         open_groups = common.materialise(open_groups, "simhash-groups")
-        large = open_groups.groupBy("mask", "value").count().filter(F.col("count") > limit)
-        large = common.materialise(large.select("mask", "value"), "simhash-large")
+        large = open_groups.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"), F.max("was").alias("__was")).filter(F.col("n") > limit)
+        large = common.materialise(large.select("mask", "value", "n", (F.col("n") * fan > F.col("__was")).alias("stuck")), "simhash-large")
         none = large.isEmpty()
-        small = open_groups if none else open_groups.join(large, ["mask", "value"], "left_anti")
+        whole = open_groups if none else open_groups.join(large, ["mask", "value"], "left_anti")
+        small = whole.select("mask", "value", F.lit(0).cast("long").alias("tile"), *own)
         settled = small if settled is None else settled.unionByName(small)
         if none:
             return settled
+        held = open_groups.join(large, ["mask", "value"])
+        settled = settled.unionByName(_tiled(held.filter("stuck"), limit, own))
         finer = [(_signed(m), _signed(x)) for m in set(masks) for x in _split_bits(m, bits)]
         masks = [x & ALL_BITS for _, x in finer]
         children = F.broadcast(spark.createDataFrame(finer, "mask long, child long"))
         open_groups = (
-            open_groups.join(large, ["mask", "value"], "left_semi")
+            held.filter("NOT stuck")
             .join(children, "mask")
-            .select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value"), *own)
+            .select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("value"), F.col("n").alias("was"), *own)
         )
 
 
@@ -251,12 +274,12 @@ def links(codes: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> DataF
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        mask, value, code = (rows.column(i).to_numpy().view(np.uint64) for i in range(3))
-        order = np.lexsort((gray_rank(code), value, mask))
-        mask, value, code = mask[order], value[order], code[order]
-        group = np.cumsum(np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])
-        second = rows.column(3).to_numpy().view(np.uint64)[order] if paired else None
-        names = rows.column(4).to_numpy()[order] if paired else code.view(np.int64)
+        mask, value, tile, code = (rows.column(i).to_numpy().view(np.uint64) for i in range(4))
+        order = np.lexsort((gray_rank(code), tile, value, mask))
+        mask, value, tile, code = mask[order], value[order], tile[order], code[order]
+        group = np.cumsum(np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]) | (tile[1:] != tile[:-1])])
+        second = rows.column(4).to_numpy().view(np.uint64)[order] if paired else None
+        names = rows.column(5).to_numpy()[order] if paired else code.view(np.int64)
         child, root = GrayIndex(group, code, second).links(bits)
         a, b = names[child], names[root]
         yield pa.RecordBatch.from_arrays(
@@ -265,7 +288,7 @@ def links(codes: DataFrame, bits: int = BITS, limit: int = GROUP_LIMIT) -> DataF
 
     dealt = deal(codes, bits, limit)
     parts = common.partitions(dealt.count(), ROWS_PER_TASK, codes.sparkSession)
-    return dealt.repartition(parts, "mask", "value").mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+    return dealt.repartition(parts, "mask", "value", "tile").mapInArrow(run, "u long, v long").filter("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

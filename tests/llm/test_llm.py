@@ -140,6 +140,16 @@ def test_mixing_odd_input(spark, odd):
     assert rows(mixing.mix(odd).toPandas()) == rows(mixed.toPandas())
 
 
+def test_rows_without_id_draw_by_their_text(spark):
+    """At a rate of 1 about a third is left out, others come several times; equal rows draw alike."""
+    frame = spark.createDataFrame([(None, f"text {i}", "a") for i in range(1500)], "doc_id bigint, text string, source string")
+    mixed = mixing.mix(frame)
+    n = Counter(r.text for r in mixed.collect())
+    share = Counter(n.values())
+    assert abs((1500 - len(n)) / 1500 - math.exp(-1)) < 0.04 and abs(share[2] / 1500 - math.exp(-1) / 2) < 0.03
+    assert sorted(r.position for r in mixed.collect()) == list(range(sum(n.values())))
+
+
 # --- 3 personal data -----------------------------------------------------------------------
 
 KINDS = {
@@ -446,6 +456,39 @@ def test_links_like_brute_force(spark, limit, bits):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("kind", ["one fingerprint", "all near", "two templates"])
+def test_dealing_of_many_variants_ends(spark, kind):
+    """Codes that more bits don't split: rounds end, rows for each code are bounded, and no link is lost."""
+    rng = np.random.default_rng(8)
+    n, limit = 3000, 256
+    near = lambda code, flips: code ^ sum(1 << int(b) for b in rng.choice(64, flips, replace=False))
+    template, second = 0x0123456789ABCDEF, 0x0F1E2D3C4B5A6978
+    if kind == "one fingerprint":
+        pairs = {(template, near(second, int(rng.integers(12)))) for _ in range(n)}
+    elif kind == "all near":
+        pairs = {(near(template, int(rng.integers(5))), near(second, int(rng.integers(5)))) for _ in range(n)}
+    else:
+        pairs = {(near(template if i % 2 else ~template & (1 << 64) - 1, int(rng.integers(3))), near(second, int(rng.integers(20)))) for i in range(n)}
+    pairs = sorted(pairs)
+    rows_ = [(simhash._signed(a), simhash._signed(b), i) for i, (a, b) in enumerate(pairs)]
+    frame = spark.createDataFrame(rows_, "fp bigint, second bigint, node bigint")
+    dealt = simhash.deal(frame, simhash.WORD_BITS, limit)
+    assert dealt.count() < 8 * len(pairs) * 4 * len(pairs) / limit
+    most = dealt.groupBy("mask", "value", "tile").count().agg(F.max("count")).first()[0]
+    assert most < 2 * limit
+    roots = {r.node: r.root for r in simhash.components(simhash.links(frame, simhash.WORD_BITS, limit)).collect()}
+    fp, two = (np.array([p[i] for p in pairs], np.uint64) for i in (0, 1))
+    label = np.arange(len(pairs))
+    left, right = [], []
+    for i in range(len(pairs)):
+        near_ones = np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= simhash.WORD_BITS) & (np.bitwise_count(two ^ two[i]) <= simhash.SECOND_BITS))
+        left += [i] * len(near_ones)
+        right += near_ones.tolist()
+    label = simhash.contract(len(pairs), np.array(left), np.array(right))
+    mine = [roots.get(i, i) for i in range(len(pairs))]
+    assert len(set(zip(mine, label.tolist()))) == len(set(mine)) == len(set(label.tolist()))
+
+
 def test_groups_of_documents(spark, docs, local):
     want = brute_groups([(d, simhash.fingerprint(t)) for d, t in sorted(local.items())])
     assert {r.doc_id: r.component_id for r in simhash.groups(docs).collect()} == want
