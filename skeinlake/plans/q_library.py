@@ -141,15 +141,56 @@ def head_tail_cap(spark, sf_dir):
     return packing.head_tail(msgs(spark, sf_dir), 300)
 
 
-@query("batch_packing", f"""WITH RECURSIVE {SESS}, r AS (SELECT harness, session_id, tok_total AS tokens, row_number() OVER (PARTITION BY harness ORDER BY session_id) AS rn FROM sess),
-f AS (SELECT harness, session_id, rn, 0 AS batch, 1 AS items, tokens::BIGINT AS used FROM r WHERE rn = 1
-  UNION ALL SELECT r.harness, r.session_id, r.rn, f.batch + CASE WHEN f.items + 1 > 20 OR f.used + r.tokens > 4000 THEN 1 ELSE 0 END, CASE WHEN f.items + 1 > 20 OR f.used + r.tokens > 4000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items + 1 > 20 OR f.used + r.tokens > 4000 THEN r.tokens ELSE f.used + r.tokens END
-  FROM f JOIN r ON r.harness = f.harness AND r.rn = f.rn + 1)
+TURNS = f"""{MSGS}, t AS (SELECT session_id, ordinal, side, text, ceil((length(side) + 2 + length(text)) / 4.0)::BIGINT AS tokens FROM msgs WHERE side IS NOT NULL),
+a AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id)::BIGINT AS total, sum(tokens) OVER (PARTITION BY session_id ORDER BY ordinal)::BIGINT AS up FROM t),
+e AS (SELECT *, length(side) + 2 AS s, total - up + tokens AS down FROM a),
+h AS (SELECT *, CASE WHEN up <= 200 THEN text WHEN 4 * (200 - up + tokens) - s > 0 THEN substr(text, 1, 4 * (200 - up + tokens) - s) END AS head, CASE WHEN down <= 201 THEN text WHEN 4 * (201 - down + tokens) - s > 0 THEN right(text, 4 * (201 - down + tokens) - s) END AS tail FROM e),
+m AS (SELECT session_id, ordinal, side, s, text, CASE WHEN total <= 401 THEN text WHEN head IS NOT NULL AND tail IS NOT NULL THEN
+  CASE WHEN ceil((s + length(head) + 21 + length(tail)) / 4.0) <= 401 THEN head || chr(10) || '[…middle omitted…]' || chr(10) || tail WHEN ceil((s + length(head) + 1 + length(tail)) / 4.0) <= 401 THEN head || chr(10) || tail ELSE substr(head, 1, 800 - s) || right(tail, 800 - s) END
+  ELSE coalesce(head, tail) END AS shown FROM h WHERE total <= 401 OR head IS NOT NULL OR tail IS NOT NULL),
+n AS (SELECT *, ceil((s + length(shown)) / 4.0)::BIGINT AS n FROM m),
+o AS (SELECT *, sum(n) OVER (PARTITION BY session_id) - 401 - coalesce(sum(n) OVER (PARTITION BY session_id ORDER BY ordinal DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM n),
+c AS (SELECT session_id, ordinal, side, s, text, CASE WHEN over <= 0 THEN shown WHEN 4 * (n - over) - s > 0 THEN right(shown, (4 * (n - over) - s)::BIGINT) END AS shown FROM o)"""
+
+
+@query("capped_turns", f"""WITH {TURNS} SELECT session_id, ordinal, md5(shown) AS digest, ceil((s + length(shown)) / 4.0)::BIGINT AS tokens, shown <> text AS cut FROM c WHERE shown IS NOT NULL""")
+def capped_turns(spark, sf_dir):
+    """Dialogues within 401 tokens: turns at the cap are cut, a turn in the middle keeps both ends."""
+    t = msgs(spark, sf_dir).filter("side IS NOT NULL")
+    return packing.capped_turns(t, 401).select("session_id", "ordinal", F.md5("text").alias("digest"), "tokens", "cut")
+
+
+@query("capped_omissions", f"""WITH {TURNS}, k AS (SELECT session_id, count(*) AS kept, count(*) FILTER (WHERE shown <> text) AS cut, sum(length(replace(shown, chr(10) || '[…middle omitted…]' || chr(10), '')))::BIGINT AS held FROM c WHERE shown IS NOT NULL GROUP BY 1),
+w AS (SELECT session_id, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM t GROUP BY 1)
+SELECT session_id, turns, coalesce(kept, 0) AS kept, coalesce(cut, 0) AS cut, turns - coalesce(kept, 0) AS omitted, chars - coalesce(held, 0) AS omitted_chars FROM w LEFT JOIN k USING (session_id)""")
+def capped_omissions(spark, sf_dir):
+    """What the cap left out of each dialogue."""
+    t = msgs(spark, sf_dir).filter("side IS NOT NULL")
+    return packing.omissions(t, packing.capped_turns(t, 401))
+
+
+@query("batch_packing", f"""WITH RECURSIVE {SESS}, r AS (SELECT harness, session_id, session_id // 100000 AS shard, least(tok_total, 4000) AS tokens, row_number() OVER (PARTITION BY harness, session_id // 100000 ORDER BY session_id) AS rn FROM sess),
+f AS (SELECT harness, shard, session_id, rn, 0 AS batch, 1 AS items, tokens::BIGINT AS used FROM r WHERE rn = 1
+  UNION ALL SELECT r.harness, r.shard, r.session_id, r.rn, f.batch + CASE WHEN f.items + 1 > 20 OR f.used + r.tokens > 4000 THEN 1 ELSE 0 END, CASE WHEN f.items + 1 > 20 OR f.used + r.tokens > 4000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items + 1 > 20 OR f.used + r.tokens > 4000 THEN r.tokens ELSE f.used + r.tokens END
+  FROM f JOIN r ON r.harness = f.harness AND r.shard = f.shard AND r.rn = f.rn + 1)
 SELECT harness, session_id, batch FROM f""")
 def batch_packing(spark, sf_dir):
-    """Sessions dealt to batches of at most 20 sessions and 4,000 tokens, each harness apart, in shards of a size for one task."""
+    """Sessions dealt to batches of at most 20 sessions and 4,000 tokens, each harness and each range of 100,000 ids apart."""
     s = sess(spark, sf_dir).select("harness", "session_id", F.col("tok_total").alias("tokens"))
-    return packing.pack(packing.sharded(s, ["session_id"]), ["harness", "shard"], ["session_id"], 20, 4000).drop("shard")
+    return packing.pack(packing.ranged(s, "session_id", 100_000), ["harness", "shard"], ["session_id"], 20, 4000).drop("shard")
+
+
+@query("batch_plan", f"""WITH RECURSIVE {SESS}, p AS (SELECT session_id, tok_total AS tin, 500 AS tout, tok_total * 3.0::DOUBLE / 1000000 AS din, 500 * 15.0::DOUBLE / 1000000 AS dout FROM sess WHERE tok_total <= 3000),
+r AS (SELECT *, round(din + dout, 8) AS dall, session_id // 64 AS shard, row_number() OVER (PARTITION BY session_id // 64 ORDER BY session_id) AS rn FROM p),
+f AS (SELECT shard, session_id, rn, 0 AS batch, tin::BIGINT AS a, tout::BIGINT AS b, din AS c, dout AS d, dall AS e FROM r WHERE rn = 1
+  UNION ALL SELECT shard, session_id, rn, batch + flush, CASE WHEN flush = 1 THEN tin ELSE a + tin END, CASE WHEN flush = 1 THEN tout ELSE b + tout END, CASE WHEN flush = 1 THEN din ELSE c + din END, CASE WHEN flush = 1 THEN dout ELSE d + dout END, CASE WHEN flush = 1 THEN dall ELSE e + dall END
+  FROM (SELECT r.*, f.batch, f.a, f.b, f.c, f.d, f.e, CASE WHEN f.a + r.tin > 3000 OR f.b + r.tout > 5000 OR f.c + r.din > 0.008 OR f.d + r.dout > 0.05 OR f.e + r.dall > 0.045 THEN 1 ELSE 0 END AS flush FROM f JOIN r ON r.shard = f.shard AND r.rn = f.rn + 1))
+SELECT shard, session_id, batch FROM f""")
+def batch_plan(spark, sf_dir):
+    """Sessions dealt to batches within five caps of tokens and dollars, in ranges of 64 ids."""
+    s = sess(spark, sf_dir).filter("tok_total <= 3000").select("session_id", F.col("tok_total").alias("input_tokens"))
+    caps = dict(zip(packing.CAPS, (3000, 5000, 0.008, 0.05, 0.045)))
+    return packing.pack_within(packing.priced(packing.ranged(s, "session_id", 64), 500, 3.0, 15.0), ["shard"], ["session_id"], caps)
 
 
 @query("export_ladder", r"""WITH s AS (SELECT source AS scope, sum(ceil(length(text) / 4.0))::BIGINT AS "full", sum(ceil(length(CASE WHEN regexp_extract(trim(text), '^((?:[^.!?]*[.!?]){1,2})', 1) <> '' THEN trim(regexp_extract(trim(text), '^((?:[^.!?]*[.!?]){1,2})', 1)) ELSE trim(text) END) / 4.0))::BIGINT AS short FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),
