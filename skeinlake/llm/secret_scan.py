@@ -9,17 +9,19 @@ words beside it.
 
 The forest learns from labelled findings, ``per_class`` distinct feature vectors of each
 label at most, those with the smallest hash, drawn by how often they occur (damped by the
-logarithm, so that copies of one finding don't take all places). Findings may be given; else ``weak_labels`` derives them
-from the documents: a value that is assigned to a name for secrets, or has the form of a
-known kind of key, is one; numbers, UUIDs, words joined by separators and values after a word for
-digests and versions are not; all others stay unlabelled. The rules are no features. The dictionary and the transitions come from the word
-counts of all documents.
+logarithm, so that copies of one finding don't take all places). Findings may be given; else ``weak_label`` derives them
+from where a finding stands, which no feature tells: a value that is assigned to a name for secrets is one; a value that is assigned to,
+or follows, a word for digests and versions is none, nor is one that stands in prose, assigned to nothing. What is assigned to
+other names stays unlabelled, and so does what looks like a key of a known service but has no such name: about those the forest
+decides. The name that a value is assigned to, the sign between them and quotes are no features; neighbouring words are the
+others. The dictionary and the transitions come from the word counts of all documents.
 
 Edge cases: null and empty texts have no candidates; a null doc_id or source is
 carried along; rows that repeat give their findings again; overlapping candidates
 don't occur, as matching goes on after each match; without findings of both labels
-each finding gets the share of secrets among the labels, or 0.5 without labels; an
-empty table gives an empty result.
+each finding gets the share of secrets among the labels, or 0.5 without labels; texts of any length
+are scanned whole; equal findings get equal scores; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LONG = r"[A-Za-z0-9+/_=\-]{16,}"
+LONG = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 ASSIGNED = r"[A-Za-z_][A-Za-z0-9_\-]*[\"']?\s?[:=]\s?[\"'][^\"'\s]{8,}[\"']"
 QUOTED = r"(?:(?<=[:=][\"'])|(?<=[:=]\s[\"']))[^\"'\s]{8,}(?=[\"'])"
 CANDIDATE = re.compile(f"{QUOTED}|{LONG}")
@@ -50,11 +52,8 @@ KEY = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|sk-[A-Za-z0-9_\-]{20,}"
     r"|[sr]k_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|glpat-[A-Za-z0-9_\-]{20,})(?![A-Za-z0-9])"
 )
-#: Words before what is no secret, and its forms: numbers, UUIDs, joined words.
+#: Words before what is no secret.
 PLAIN_NAMES = frozenset("commit sha sha1 sha256 md5 hash digest checksum revision rev uuid guid etag version build".split())
-PLAIN = re.compile(
-    r"[0-9\-]+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[/_=\-]*[A-Za-z]{2,}(?:[/_=\-]+(?:[A-Za-z]{2,}|[0-9]{1,4}))+[/_=\-]*"
-)
 #: Words of the dictionary, at most.
 DICTIONARY = 5000
 PER_CLASS = 2000
@@ -62,7 +61,10 @@ TREES = 25
 DEPTH = 7
 LEAF = 4
 CUTS = 16
-N_FEATURES = 17
+#: Indicators that words beside a value, and sources, are hashed to; words on either side.
+WORD_BINS, SOURCE_BINS = 16, 16
+BESIDE = 2
+N_FEATURES = 13 + WORD_BINS + SOURCE_BINS
 THRESHOLD = 0.5
 ALPHABET = 38
 
@@ -113,13 +115,24 @@ def assigned_name(before: str) -> str | None:
 
 
 def weak_label(value: str, before: str) -> int | None:
-    """1: a secret, 0: none, by rules that look at names and forms; None if none of them holds."""
+    """1: a secret, 0: none, by where the value stands; None if that doesn't tell."""
     name = assigned_name(before)
-    if KEY.search(value) or name and any(s in name for s in SECRET_NAMES):
+    if name and any(s in name for s in SECRET_NAMES):
         return 1
     words = re.findall(r"[A-Za-z0-9_]+", before)
     near = name or (words[-1].lower() if words else "")
-    return 0 if near in PLAIN_NAMES or PLAIN.fullmatch(value) else None
+    if near in PLAIN_NAMES:
+        return 0
+    return None if name or KEY.search(value) else 0
+
+
+def beside(before: str, after: str) -> list[str]:
+    """The words next to a value, without the name that it is assigned to."""
+    held = ASSIGNMENT.sub("", before)
+    return [w.lower() for w in [*WORD.findall(held)[-BESIDE:], *WORD.findall(after)[:BESIDE]]]
+
+
+WORD = re.compile(r"[^\W\d_]{2,}")
 
 
 def features(value: str, before: str, after: str, source: str | None, known: Lexicon) -> list[float]:
@@ -129,9 +142,11 @@ def features(value: str, before: str, after: str, source: str | None, known: Lex
     seen = Counter(value)
     at = [_symbol(c) for c in value]
     move = float(np.mean(known.moves[at[:-1], at[1:]])) if n > 1 else 0.0
-    words = before.split()
-    last = re.sub(r"[^A-Za-z_\-]", "", words[-1]).lower() if words else ""
-    nextw = after.split()
+    near = beside(before, after)
+    words, sources = [0.0] * WORD_BINS, [0.0] * SOURCE_BINS
+    for w in near:
+        words[zlib.crc32(w.encode()) % WORD_BINS] = 1.0
+    sources[zlib.crc32((source or "").encode()) % SOURCE_BINS] = 1.0
     return [
         n,
         share["d"] / n,
@@ -144,12 +159,10 @@ def features(value: str, before: str, after: str, source: str | None, known: Lex
         move,
         known.coverage(value),
         float(all(c in "0123456789abcdefABCDEF" for c in value)),
-        zlib.crc32((source or "").encode()) % 64,
-        float(before[-1:] in ("'", '"') and before != ""),
-        float(after[:1] in ("'", '"') and after != ""),
-        len(last),
-        known.coverage(last) if last else 0.0,
-        known.coverage(re.sub(r"[^a-z]", "", nextw[0].lower()) or "-") if nextw else 0.0,
+        float(np.mean([known.coverage(w) for w in near])) if near else 0.0,
+        len(near),
+        *words,
+        *sources,
     ]
 
 
@@ -237,7 +250,7 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.nda
             return own
         best = (1e-12, -1, 0.0)
         whole = _impurity(y[rows].sum(), np.array(len(rows)))
-        for f in rng.choice(x.shape[1], max(1, math.isqrt(x.shape[1])), replace=False):
+        for f in rng.choice(x.shape[1], max(1, x.shape[1] // 3), replace=False):
             cuts = np.unique(np.quantile(x[rows, f], np.linspace(0, 1, CUTS + 2)[1:-1]))
             low = x[rows, f][:, None] <= cuts
             n_low, pos_low = low.sum(axis=0), (low * y[rows][:, None]).sum(axis=0)
