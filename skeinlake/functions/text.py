@@ -1,10 +1,13 @@
 """Scalar functions on text, as columns.
 
-All of them stay in the JVM. Null texts give null unless a function says otherwise.
+All but ``nfkc`` stay in the JVM. Null texts give null unless a function says otherwise.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -335,6 +338,35 @@ def utf8_slice(text: Column, start: Column, end: Column) -> Column:
     return F.when((start >= 0) & (start <= end) & (end <= F.octet_length(text)) & F.is_valid_utf8(piece), F.decode(piece, "UTF-8"))
 
 
+def selection_bytes(text: Column, start: Column, end: Column) -> Column:
+    """struct(start, end): where a selection in UTF-16 units, as terminals and browsers count, lies in bytes of UTF-8.
+
+    Null where it isn't in the text, or splits a pair of surrogates.
+    """
+    units = F.encode(text, "UTF-16LE")
+    count = (F.octet_length(units) / 2).cast("int")
+    high = lambda at: F.conv(F.hex(F.substring(units, 2 * at, F.lit(1))), 16, 10).cast("int")
+    # the unit before a place is the first of a pair, the one behind it the second
+    splits = lambda n: (n > 0) & (n < count) & high(n).between(0xD8, 0xDB) & high(n + 1).between(0xDC, 0xDF)
+    upto = lambda n: F.octet_length(F.decode(F.substring(units, F.lit(1), 2 * n), "UTF-16LE"))
+    fits = (start >= 0) & (end >= start) & (end <= count) & ~splits(start) & ~splits(end)
+    # a cut inside a pair can't be decoded, so cuts that don't fit are made nowhere
+    safe = lambda n: upto(F.when(fits, n).otherwise(F.lit(0)))
+    return F.when(fits, F.struct(safe(start).cast("long").alias("start"), safe(end).cast("long").alias("end")))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility composition; each distinct text of a batch is composed once."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode()
+        made = pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in coded.dictionary.to_pylist()], pa.string())
+        return made.take(coded.indices)
+
+    return run(text)
+
+
 # --- answers and paragraphs -----------------------------------------------------------
 
 

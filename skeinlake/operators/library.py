@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinlake.functions import text as fx
+
 MATCHES = {"title": "title", "summary": "overview", "related": "topics"}
 
 
@@ -55,3 +57,28 @@ def artifacts(mentions: DataFrame, sessions: DataFrame, name: str) -> DataFrame:
     """(path, sessions, mentions, newest): artifacts whose path holds ``name``, as sessions of a scope mention them."""
     rows = mentions.filter(F.contains(F.lower("path"), F.lit(name.lower()))).join(sessions.select("session_id", "updated"), "session_id")
     return rows.groupBy("path").agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("mentions"), F.max("updated").alias("newest"))
+
+
+def topic_name(text: Column) -> Column:
+    """What topics are compared by: letters and numbers, lower case, compatibility forms composed; null if nothing is left."""
+    plain = F.trim(F.regexp_replace(fx.nfkc(F.lower(text)), r"[^\p{L}\p{N}]+", " "))
+    return F.nullif(plain, F.lit(""))
+
+
+def topic_collections(claims: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(id, title, sessions, refs, hidden): collections of the topics that two sessions at least claim, or that exist already.
+
+    ``claims`` has (session, at, text, refs); a session's last claim of a topic counts, the first claim names it. Collections that
+    fewer claim now stay, hidden.
+    """
+    named = claims.withColumn("name", topic_name(F.col("text"))).filter("name IS NOT NULL")
+    keyed = named.withColumn("id", F.concat(F.lit("topic:"), F.substring(F.sha2("name", 256), 1, 24)))
+    last = keyed.groupBy("id", "session").agg(F.max_by("refs", "at").alias("refs"))
+    titles = keyed.groupBy("id").agg(F.min_by("text", F.struct("at", "session", "text")).alias("title"))
+    per = last.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("session", "refs"))).alias("m"))
+    both = per.join(titles, "id")
+    if existing is not None:
+        both = both.join(existing.select("id", F.lit(True).alias("known")), "id", "left")
+    few = F.size("m") < 2
+    kept = both.filter(~few | F.coalesce("known", F.lit(False))) if existing is not None else both.filter(~few)
+    return kept.select("id", "title", F.col("m.session").alias("sessions"), F.flatten("m.refs").alias("refs"), few.alias("hidden"))
