@@ -113,6 +113,7 @@ def voice(text: Column, typos: Column | None = None) -> tuple[Column, Column]:
         (F.contains(text, F.lit("?")), 1),
     )
     verb = text.rlike(BRIEF_VERBS)
+    # fixed values: the patterns and points of both scores
     brief = points(
         (verb, 1),
         (head.rlike(r"\b(lane|LANE)\b"), 2),

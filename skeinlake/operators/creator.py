@@ -111,7 +111,7 @@ def learned_vocabulary(msgs: DataFrame, least: int = 4) -> DataFrame:
     return told.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-#: Endings that an inflected word may have, and what its base has in their place.
+#: Endings that an inflected word may have, and what its base has in their place.
 ENDINGS = [
     ("s", ""), ("es", ""), ("ies", "y"), ("ied", "y"), ("ier", "y"), ("iest", "y"), ("ed", ""), ("d", ""),
     ("ing", ""), ("ing", "e"), ("er", ""), ("r", ""), ("est", ""), ("st", ""), ("ly", ""),

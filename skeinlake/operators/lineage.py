@@ -10,10 +10,10 @@ from skeinlake.functions import text as fx
 DAY_MS = 86_400_000
 COLLECTION_CHILDREN = 8
 #: Folders named after a role rather than a project, and worktree names.
-GENERIC = (
-    "source src app apps web main repo code frontend backend server client docs packages worktrees test tests lib core "
-    "site project workspace"
-).split()
+GENERIC = [
+    "source", "src", "app", "apps", "web", "main", "repo", "code", "frontend", "backend", "server", "client", "docs", "packages", "worktrees",
+    "test", "tests", "lib", "core", "site", "project", "workspace",
+]
 WORKTREE = r"^(.+?)(?:-wt-.+|-worktree(?:-.+)?|\.worktrees?)$"
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.functions import porter
 from skeinlake.functions.text import WHITE
+from skeinlake.operators.graph import checkpoint
 
 #: Fixed value: what a term is made of, besides letters and digits.
 TERM = r"[\p{L}\p{N}_+./-]+"
@@ -142,6 +143,7 @@ def bm25(docs: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """
     phrases = stems_of(wanted)
     held = docs.select("session_id", "ordinal", _counted(F.col("text"), phrases).alias("__c")).select("session_id", "ordinal", "__c.*")
+    held = checkpoint(held)  # ids and counts, read for the totals and again for the scores, so that texts are cut once
     dfs = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]
     totals = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *dfs)
     return scored(held, totals, len(phrases))
