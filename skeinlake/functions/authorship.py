@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skeinlake.functions.text import WHITE
+
 #: How records begin that a harness wrote, and those that another agent wrote.
 HARNESS_PREFIXES = [
     (r"^<(recommended_plugins|codex_internal_context|goal_context|environment_context|user_instructions|system-reminder|subagent_notification|task-notification|local-command-(stdout|stderr|caveat)|turn_aborted|user_shell_command|skill|INSTRUCTIONS)\b", "harness:envelope"),
@@ -75,9 +77,9 @@ def author(rule: Column) -> Column:
 
 def human_text(prose: Column) -> Column:
     """The human's words; null for injected records. A slash command keeps its arguments."""
-    text = F.trim(prose)
-    name = F.trim(F.regexp_extract(text, r"<command-name>([^<]*)</command-name>", 1))
-    args = F.trim(F.regexp_extract(text, r"<command-args>([\s\S]*?)</command-args>", 1))
+    text = F.btrim(prose, F.lit(WHITE))
+    name = F.btrim(F.regexp_extract(text, r"<command-name>([^<]*)</command-name>", 1), F.lit(WHITE))
+    args = F.btrim(F.regexp_extract(text, r"<command-args>([\s\S]*?)</command-args>", 1), F.lit(WHITE))
     slash = F.when(F.startswith(name, F.lit("/")), name).otherwise(F.concat(F.lit("/"), name))
     command = F.when((name != "") & (args != ""), F.concat_ws(" ", slash, args))
     injected = F.lit(False)

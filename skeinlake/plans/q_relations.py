@@ -243,7 +243,23 @@ def cwd_statistics(spark, sf_dir):
     return stats.select("cwd", "sessions", "first", "last", F.coalesce(F.try_element_at("harnesses", F.lit("en")), F.lit(0)).alias("en"))
 
 
-@query("project_lineage")
+#: Of folders (``paths``) and a target (``t``: root, base, parent) those that belong to it: itself, below it, or by the name of a folder on the way.
+RESOLVED = r"""cwds AS (SELECT DISTINCT cwd, CASE WHEN length(cwd) > 1 THEN rtrim(cwd, '/') ELSE cwd END AS c FROM paths),
+way AS (SELECT cwd, c, i, array_to_string(string_split(c, '/')[1:i], '/') AS dir FROM (SELECT *, unnest(range(2, len(string_split(c, '/')) + 1)) AS i FROM cwds)),
+ups AS (SELECT *, CASE WHEN i = 2 THEN '/' ELSE array_to_string(string_split(dir, '/')[1:-2], '/') END AS up, string_split(dir, '/')[-1] AS b FROM way),
+kids AS (SELECT up, count(DISTINCT dir) AS n FROM ups GROUP BY 1),
+alias AS (SELECT cwd, c, i, root, CASE WHEN dir = root OR starts_with(dir, root || '/') OR starts_with(root, dir || '/') THEN NULL
+  WHEN b = base AND (string_split(ups.up, '/')[-1] = parent OR n >= 8 OR regexp_matches(ups.up, '/\.(codex|claude)/worktrees/[^/]+$')) THEN 'moved'
+  WHEN b = parent || '-' || base OR string_split(ups.up, '/')[-1] || '-' || b = base THEN 'renamed'
+  WHEN regexp_extract(b, '^(.+?)(-wt-.+|-worktree(-.+)?|\.worktrees?)$', 1) = base THEN 'worktree' END AS reason FROM ups JOIN kids ON kids.up = ups.up, t),
+included AS (SELECT cwd, reason FROM (SELECT cwd, CASE WHEN any_value(c) = any_value(root) THEN 'exact' WHEN starts_with(any_value(c), any_value(root) || '/') THEN 'inside' ELSE arg_max(reason, i) FILTER (WHERE reason IS NOT NULL) END AS reason FROM alias GROUP BY cwd) WHERE reason IS NOT NULL)"""
+
+
+@query("project_lineage", rf"""WITH h AS (SELECT replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '.', '-') AS name, regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) AS rest FROM pages),
+paths AS (SELECT name, '/home/u/code/' || CASE length(rest) % 4 WHEN 0 THEN name || '/src' WHEN 1 THEN name || '-wt-x' WHEN 2 THEN 'code-' || name ELSE name || '/' || rest END AS cwd FROM h),
+n AS (SELECT name FROM paths GROUP BY 1 ORDER BY count(*) DESC, name LIMIT 1),
+t AS (SELECT name AS base, 'code' AS parent, '/home/u/code/' || name AS root FROM n), {RESOLVED}
+SELECT cwd, reason FROM included""")
 def project_lineage(spark, sf_dir):
     """Folders that belong to one project, for folders made from the hosts and paths of the pages' addresses; the target lies in a worktree."""
     name = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), r"\.", "-")
