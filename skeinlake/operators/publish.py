@@ -18,17 +18,24 @@ def publish(frame: DataFrame, root: str, broken: DataFrame | None = None) -> str
         raise ValueError(f"not published: {broken.count()} rows break the rules, such as {broken.first()}")
     generation = f"g-{uuid.uuid4().hex}"
     frame.write.parquet(f"{root}/{generation}")
-    spark = frame.sparkSession
-    # append-only: every publish adds a row, the newest one counts
+    point(frame.sparkSession, root, generation)
+    return generation
+
+
+def point(spark: SparkSession, root: str, generation: str) -> None:
+    """Point readers to a generation that is written. Append-only: every publish adds a row, the newest one counts."""
     pointer = spark.createDataFrame([(generation,)], "generation string").withColumn("at", F.current_timestamp())
     pointer.write.mode("append").parquet(f"{root}/_pointer")
-    return generation
+
+
+def newest(spark: SparkSession, root: str) -> str:
+    """The name of the generation that readers see."""
+    return spark.read.parquet(f"{root}/_pointer").orderBy(F.col("at").desc()).first()["generation"]
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The newest published generation."""
-    newest = spark.read.parquet(f"{root}/_pointer").orderBy(F.col("at").desc()).first()
-    return spark.read.parquet(f"{root}/{newest['generation']}")
+    return spark.read.parquet(f"{root}/{newest(spark, root)}")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: Column) -> DataFrame:
