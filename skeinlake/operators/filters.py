@@ -25,6 +25,7 @@ class SessionFilter:
     artifact_kinds: Sequence[str] | None = None
     validations: Sequence[str] | None = None
     chain: str | int | None = None
+    chain_key: str | None = None
     states: Sequence[str] | None = None
     origins: Sequence[str] | None = None
     hide_agents: bool = False
@@ -68,9 +69,10 @@ def apply(
     tags: DataFrame | None = None,
     favorites: DataFrame | None = None,
     layer_tags: DataFrame | None = None,
+    chains: DataFrame | None = None,
 ) -> DataFrame:
     """The sessions that fit. Side tables: tags (session_id, tag), favorites (harness,
-    native_id), layer_tags (session_id, facet, tag, parent)."""
+    native_id), layer_tags (session_id, facet, tag, parent), chains (chain, stable_key)."""
     keep = F.lit(True)
     if chosen.visible_only:
         keep = keep & F.col("visible")
@@ -109,6 +111,8 @@ def apply(
     rows = sessions.filter(keep)
     if chosen.tags is not None:
         rows = rows.join(tags.filter(F.col("tag").isin(list(chosen.tags))), "session_id", "left_semi")
+    if chosen.chain_key is not None:
+        rows = rows.join(chains.filter(F.col("stable_key") == chosen.chain_key).select("chain"), "chain", "left_semi")
     if chosen.favorite is not None:
         rows = rows.join(favorites, ["harness", "native_id"], "left_semi" if chosen.favorite else "left_anti")
     if chosen.layer_tags is not None:

@@ -97,6 +97,36 @@ def chain_summary(members: DataFrame, sess: DataFrame) -> DataFrame:
     )
 
 
+def stable_chains(members: DataFrame, resolved: DataFrame, sess: DataFrame) -> DataFrame:
+    """(chain, stable_key, harness, root, members, first_activity, last_activity, tok_total, head) of chains of two or more.
+
+    The key names the root, so it outlives rebuilds, new members and other ids: of the members that follow none (all of them, should each
+    follow one) the one with the smallest native id. The head is the newest session, ties by native id; sessions without a time come
+    last. ``members`` (session_id, chain), ``resolved`` (child), ``sess`` (session_id, harness, native_id, last_activity, tok_total).
+    """
+    follows = resolved.select(F.col("child").alias("session_id"), F.lit(1).alias("__follows")).distinct()
+    rows = members.join(sess.select("session_id", "harness", "native_id", "last_activity", "tok_total"), "session_id").join(follows, "session_id", "left")
+    newest = F.struct(F.col("last_activity").isNull(), -F.col("last_activity"), "native_id")
+    made = rows.groupBy("chain").agg(
+        F.min(F.struct(F.coalesce("__follows", F.lit(0)), "native_id", "harness")).alias("r"), F.count(F.lit(1)).alias("members"), F.min("last_activity").alias("first_activity"),
+        F.max("last_activity").alias("last_activity"), F.sum("tok_total").alias("tok_total"), F.min_by("session_id", newest).alias("head"),
+    )
+    # fixed value: how the key begins
+    key = F.concat(F.lit("lineage-v1:"), F.col("r.harness"), F.lit(":"), F.col("r.native_id"))
+    return made.filter("members > 1").select("chain", key.alias("stable_key"), "r.harness", F.col("r.native_id").alias("root"), "members", "first_activity", "last_activity", "tok_total", "head")
+
+
+def chain_mismatches(chains: DataFrame, sess: DataFrame) -> DataFrame:
+    """(chain, members, held): chains that don't hold as many sessions as they say, those that sessions name but aren't there included.
+
+    ``sess`` has chain, null where a session stands alone.
+    """
+    held = sess.filter("chain IS NOT NULL").groupBy("chain").agg(F.count(F.lit(1)).alias("held"))
+    both = chains.select("chain", "members").join(held, "chain", "full_outer")
+    none = F.lit(0).cast("long")
+    return both.select("chain", F.coalesce("members", none).alias("members"), F.coalesce("held", none).alias("held")).filter("members <> held")
+
+
 def final_merges(spark: SparkSession, decisions: DataFrame) -> DataFrame:
     """(tag, target, depth): where each merged tag ends up, eight merges deep at most.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinlake.functions import text as fx
@@ -82,3 +82,48 @@ def topic_collections(claims: DataFrame, existing: DataFrame | None = None) -> D
     few = F.size("m") < 2
     kept = both.filter(~few | F.coalesce("known", F.lit(False))) if existing is not None else both.filter(~few)
     return kept.select("id", "title", F.col("m.session").alias("sessions"), F.flatten("m.refs").alias("refs"), few.alias("hidden"))
+
+
+#: Characters of a limitation that are shown.
+TOLD = 1024
+
+
+def latest_observations(observations: DataFrame) -> DataFrame:
+    """The newest observation (source_id, locator, at, id, ...) of every place; ties by the larger id."""
+    newest = Window.partitionBy("source_id", "locator").orderBy(F.desc_nulls_last("at"), F.desc("id"))
+    return observations.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
+
+
+def _set(flag: str) -> Column:
+    return F.coalesce(F.col(flag), F.lit(False))
+
+
+def limitations(sources: DataFrame, observations: DataFrame) -> DataFrame:
+    """(kind, id, text, cut): why the library doesn't cover all, one row per source or observation with an issue.
+
+    A source (id, harness, enabled, reachable, capability, error) has one if it is excluded, out of reach, unsupported or in error. The latest
+    observation of a place (id, source_id, locator, at, admission, indexed, gaps) has one if it is kept but not indexed, or has gaps,
+    and isn't excluded. A flag that is null is none. Texts over ``TOLD`` characters are ``cut``.
+    """
+    error = F.nullif(F.col("error"), F.lit(""))
+    issue = ~_set("enabled") | ~_set("reachable") | F.coalesce(F.col("capability") == "unsupported", F.lit(False)) | error.isNotNull()
+    why = F.concat(F.col("harness"), F.lit(": "), F.coalesce(error, F.when(~_set("enabled"), "excluded").otherwise("unavailable or unsupported")))
+    of_sources = sources.filter(issue).select(F.lit("source").alias("kind"), F.col("id").cast("string").alias("id"), why.alias("text"))
+    gaps = F.coalesce("gaps", F.array().cast("array<string>"))
+    open_ = (F.coalesce("admission", F.lit("")) != "excluded") & (~_set("indexed") | (F.size(gaps) > 0))
+    what = F.concat(F.col("id").cast("string"), F.lit(": "), F.when(F.size(gaps) > 0, F.array_join(gaps, "; ")).otherwise("retained but not indexed"))
+    of_places = latest_observations(observations).filter(open_).select(F.lit("observation").alias("kind"), F.col("id").cast("string").alias("id"), what.alias("text"))
+    both = of_sources.unionByName(of_places)
+    cut = F.length("text") > TOLD
+    return both.select("kind", "id", F.when(cut, F.concat(F.substring("text", 1, TOLD), F.lit("…"))).otherwise(F.col("text")).alias("text"), cut.alias("cut"))
+
+
+def coverage_totals(sources: DataFrame, observations: DataFrame) -> DataFrame:
+    """One row: sources, observations, indexed, excluded, source_issues, observation_issues, partial.
+
+    Without any source the archive isn't covered: that is partial, too.
+    """
+    told = limitations(sources, observations).agg(F.count_if(F.col("kind") == "source").alias("source_issues"), F.count_if(F.col("kind") == "observation").alias("observation_issues"))
+    places = latest_observations(observations).agg(F.count(F.lit(1)).alias("observations"), F.count_if(_set("indexed")).alias("indexed"), F.count_if(F.col("admission") == "excluded").alias("excluded"))
+    one = sources.agg(F.count(F.lit(1)).alias("sources")).join(F.broadcast(places)).join(F.broadcast(told))  # three single rows
+    return one.withColumn("partial", (F.col("source_issues") + F.col("observation_issues") > 0) | (F.col("sources") == 0))

@@ -118,6 +118,26 @@ def documents(msgs: DataFrame) -> DataFrame:
     return msgs.filter(F.col("side").isNotNull() & (F.btrim("text", F.lit(WHITE)) != ""))
 
 
+def united(docs: DataFrame, titles: DataFrame) -> DataFrame:
+    """(session_id, ordinal, scope, text): dialogue and the titles of sessions as one set of documents, to be ranked by one law.
+
+    ``docs`` are ``documents``; ``titles`` has session_id and title, those that are blank are left out. A title has ordinal -1. Weights of terms
+    come from both scopes, so scores of the two can be compared.
+    """
+    named = titles.filter(F.btrim("title", F.lit(WHITE)) != "")
+    said = docs.select("session_id", F.col("ordinal").cast("long").alias("ordinal"), F.lit("dialogue").alias("scope"), "text")
+    return said.unionByName(named.select("session_id", F.lit(-1).cast("long").alias("ordinal"), F.lit("title").alias("scope"), F.col("title").alias("text")))
+
+
+def in_scope(scored: DataFrame, scope: str | None = None) -> DataFrame:
+    """Of scored ``united`` documents those of one scope: dialogue or title; of both without one. Adds ``scope``.
+
+    A title by itself makes no message a hit.
+    """
+    told = scored.withColumn("scope", F.when(F.col("ordinal") < 0, "title").otherwise("dialogue"))
+    return told if scope is None else told.filter(F.col("scope") == scope)
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(session_id, ordinal, term, tf, positions, dl) of every document, terms as they are written."""
     return listed_postings(docs.select("session_id", "ordinal", terms(F.col("text")).alias("__t")))

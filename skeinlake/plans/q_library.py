@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinlake.operators import packing, passages
+from skeinlake.operators import library, packing, passages
 from skeinlake.plans.q_sessions import MSGS, SESS, msgs, sess
 from skeinlake.plans.registry import query, table
 
@@ -102,6 +102,40 @@ def coverage_summary(spark, sf_dir):
     return passages.coverage(rows)
 
 
+COVERED = """src AS (SELECT s_suppkey AS id, 'h' || s_nationkey AS harness, s_suppkey % 3 <> 0 AS enabled, CASE s_suppkey % 4 WHEN 1 THEN NULL ELSE s_suppkey % 4 <> 2 END AS reachable, CASE s_suppkey % 5 WHEN 0 THEN 'unsupported' WHEN 1 THEN NULL ELSE 'full' END AS capability, CASE s_suppkey % 7 WHEN 3 THEN 'no access ' || repeat('x', (s_suppkey * 30)::INT) WHEN 4 THEN '' END AS error FROM supplier),
+obs AS (SELECT event_id AS id, user_id % 10 AS source_id, event_id % 300 AS locator, ts AS seen, CASE event_id % 6 WHEN 0 THEN 'excluded' WHEN 1 THEN NULL ELSE 'kept' END AS admission, event_type <> 'error' AS indexed, CASE WHEN event_type = 'click' THEN ['gap ' || event_id, 'late'] WHEN event_type = 'view' THEN [] END AS gaps FROM events),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, locator ORDER BY seen DESC, id DESC) AS rn FROM obs) WHERE rn = 1),
+lim AS (SELECT 'source' AS kind, id::VARCHAR AS id, harness || ': ' || CASE WHEN coalesce(error, '') <> '' THEN error WHEN NOT enabled THEN 'excluded' ELSE 'unavailable or unsupported' END AS text FROM src WHERE NOT enabled OR NOT coalesce(reachable, false) OR coalesce(capability, '') = 'unsupported' OR coalesce(error, '') <> ''
+  UNION ALL SELECT 'observation', id::VARCHAR, id || ': ' || CASE WHEN coalesce(len(gaps), 0) > 0 THEN array_to_string(gaps, '; ') ELSE 'retained but not indexed' END FROM latest WHERE coalesce(admission, '') <> 'excluded' AND (NOT indexed OR coalesce(len(gaps), 0) > 0))"""
+
+
+def _covered(spark, sf_dir):
+    k = F.col("s_suppkey")
+    sources = table(spark, sf_dir, "supplier").select(
+        k.alias("id"), F.concat(F.lit("h"), F.col("s_nationkey").cast("string")).alias("harness"), (k % 3 != 0).alias("enabled"), F.when(k % 4 != 1, k % 4 != 2).alias("reachable"),
+        F.when(k % 5 == 0, "unsupported").when(k % 5 != 1, "full").alias("capability"), F.when(k % 7 == 3, F.concat(F.lit("no access "), F.repeat(F.lit("x"), (k * 30).cast("int")))).when(k % 7 == 4, "").alias("error"),
+    )
+    e, t = F.col("event_id"), F.col("event_type")
+    observations = table(spark, sf_dir, "events").select(
+        e.alias("id"), (F.col("user_id") % 10).alias("source_id"), (e % 300).alias("locator"), F.col("ts").alias("at"), F.when(e % 6 == 0, "excluded").when(e % 6 != 1, "kept").alias("admission"), (t != "error").alias("indexed"),
+        F.when(t == "click", F.array(F.concat(F.lit("gap "), e.cast("string")), F.lit("late"))).when(t == "view", F.array().cast("array<string>")).alias("gaps"),
+    )
+    return sources, observations
+
+
+@query("coverage_limitations", f"""WITH {COVERED} SELECT kind, id, CASE WHEN length(text) > 1024 THEN substr(text, 1, 1024) || '…' ELSE text END AS text, length(text) > 1024 AS cut FROM lim""")
+def coverage_limitations(spark, sf_dir):
+    """Why sources and places aren't covered, each with its own words."""
+    return library.limitations(*_covered(spark, sf_dir))
+
+
+@query("coverage_totals", f"""WITH {COVERED} SELECT (SELECT count(*) FROM src) AS sources, (SELECT count(*) FROM latest) AS observations, (SELECT count(*) FROM latest WHERE indexed) AS indexed, (SELECT count(*) FROM latest WHERE admission = 'excluded') AS excluded,
+(SELECT count(*) FROM lim WHERE kind = 'source') AS source_issues, (SELECT count(*) FROM lim WHERE kind = 'observation') AS observation_issues, (SELECT count(*) FROM lim) > 0 AS "partial" """)
+def coverage_totals(spark, sf_dir):
+    """How much is covered, in one row."""
+    return library.coverage_totals(*_covered(spark, sf_dir))
+
+
 @query("correction_overlay", """SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 'junk' ELSE d.source END AS source, d.lang FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def correction_overlay(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skeinlake.functions import text as fx
-from skeinlake.operators import graph, lineage
+from skeinlake.operators import filters, graph, lineage
 from skeinlake.plans.q_sessions import MSGS, SESS, msgs, sess
 from skeinlake.plans.registry import query, table
 
@@ -159,6 +159,40 @@ def chain_components(spark, sf_dir):
     return graph.chains(status.filter("status = 'resolved'").select("child", "parent"))
 
 
+STABLE = f"""{STATUS}, ed AS (SELECT child AS a, parent AS b FROM st WHERE status = 'resolved' UNION SELECT parent, child FROM st WHERE status = 'resolved'),
+reach AS (SELECT a, a AS r FROM ed UNION SELECT reach.a, ed.b FROM reach JOIN ed ON ed.a = reach.r),
+mem AS (SELECT a AS id, min(r) AS chain FROM reach GROUP BY a),
+cs AS (SELECT m.id, m.chain, 'n' || (c_nationkey * 100000 + c_custkey) AS native, CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey END AS act, c_custkey % 10 AS tok, m.id NOT IN (SELECT child FROM st WHERE status = 'resolved') AS top FROM mem m JOIN customer ON c_custkey = m.id),
+keys AS (SELECT chain, 'lineage-v1:claude:' || coalesce(min(native) FILTER (WHERE top), min(native)) AS stable_key, count(*) AS members, min(act) AS first_activity, max(act) AS last_activity, sum(tok)::BIGINT AS tok_total FROM cs GROUP BY 1 HAVING count(*) > 1),
+heads AS (SELECT chain, id AS head FROM (SELECT chain, id, row_number() OVER (PARTITION BY chain ORDER BY act DESC NULLS LAST, native) AS rn FROM cs) WHERE rn = 1)"""
+
+
+def _chained(spark, sf_dir):
+    """Customers as sessions, their chains and those chains with stable keys."""
+    resolved = graph.checkpoint(lineage_claim_status(spark, sf_dir).filter("status = 'resolved'").select("child", "parent"))
+    members = graph.chains(resolved)
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("session_id"), F.lit("claude").alias("harness"), F.concat(F.lit("n"), (n.cast("long") * 100000 + k).cast("string")).alias("native_id"), F.when(k % 7 != 0, n).alias("last_activity"), (k % 10).alias("tok_total")
+    )
+    return rows, members, graph.stable_chains(members, resolved, rows)
+
+
+@query("chain_stable_keys", f"WITH RECURSIVE {STABLE} SELECT chain, stable_key, members, first_activity, last_activity, tok_total, head FROM keys JOIN heads USING (chain)")
+def chain_stable_keys(spark, sf_dir):
+    """Every chain by the key of its root, with its newest session."""
+    return _chained(spark, sf_dir)[2].drop("harness", "root")
+
+
+@query("filter_chain_key", f"WITH RECURSIVE {STABLE} SELECT id AS session_id, native AS native_id FROM cs JOIN keys USING (chain) WHERE stable_key = (SELECT stable_key FROM keys ORDER BY members DESC, stable_key LIMIT 1)")
+def filter_chain_key(spark, sf_dir):
+    """The sessions of the largest chain, chosen by its stable key."""
+    rows, members, keyed = _chained(spark, sf_dir)
+    largest = keyed.orderBy(F.desc("members"), "stable_key").first()
+    chosen = filters.SessionFilter(chain_key=largest["stable_key"] if largest else "")
+    return filters.apply(rows.join(members, "session_id", "left"), chosen, chains=keyed).select("session_id", "native_id")
+
+
 @query("chain_summary", f"""WITH {SESS}, m AS (SELECT session_id, session_id - session_id % 4 AS chain FROM sess)
 SELECT chain, count(*) AS members, min(last_activity) AS first_activity, max(last_activity) AS last_activity, sum(tok_total)::BIGINT AS tok_total, arg_max(session_id, last_activity * 1000000 + session_id) AS head FROM m JOIN sess USING (session_id) GROUP BY 1 HAVING count(*) > 1""")
 def chain_summary(spark, sf_dir):

@@ -228,6 +228,32 @@ def search_title_scope(spark, sf_dir):
     return titles.filter(F.array_contains(search.terms(F.col("title")), "the")).select("session_id")
 
 
+UNITED = f"""{MSGS}, titles AS (SELECT session_id, rtrim(substr(trim(regexp_replace(arg_min(text, ordinal), '\\s+', ' ', 'g')), 1, 240)) AS title FROM msgs WHERE record_kind = 'real_user' AND trim(text) <> '' GROUP BY 1),
+docs AS (SELECT session_id, ordinal, text FROM msgs WHERE side IS NOT NULL AND trim(text) <> '' UNION ALL SELECT session_id, -1, title FROM titles WHERE title <> ''),
+toks AS (SELECT session_id, ordinal, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_+./-]+') AS t FROM docs),
+tf AS (SELECT session_id, ordinal, len(t) AS dl, len(list_filter(t, lambda x: x = 'and')) AS tf0 FROM toks),
+tot AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE tf0 > 0) AS df0 FROM tf),
+scored AS (SELECT session_id, ordinal, - greatest(1e-6, ln((n - df0 + 0.5) / (df0 + 0.5))) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM tf, tot WHERE tf0 > 0)"""
+
+
+def _united(spark, sf_dir):
+    m = msgs(spark, sf_dir)
+    return search.bm25(search.united(search.documents(m), sessions.session_titles(m)), ["and"])
+
+
+@query("search_united", f"WITH {UNITED} SELECT session_id, CASE WHEN ordinal < 0 THEN 'title' ELSE 'dialogue' END AS scope, round(min(score), 6) AS rank, count(*) AS hits FROM scored GROUP BY ALL")
+def search_united(spark, sf_dir):
+    """Titles and dialogue under one law of ranking, the best of each session in either scope."""
+    hits = search.in_scope(_united(spark, sf_dir))
+    return hits.groupBy("session_id", "scope").agg(F.round(F.min("score"), 6).alias("rank"), F.count(F.lit(1)).alias("hits"))
+
+
+@query("search_united_dialogue", f"WITH {UNITED} SELECT session_id, ordinal, round(score, 6) AS score FROM scored WHERE ordinal >= 0")
+def search_united_dialogue(spark, sf_dir):
+    """The dialogue of that ranking only: no title is a message."""
+    return search.in_scope(_united(spark, sf_dir), "dialogue").select("session_id", "ordinal", F.round("score", 6).alias("score"))
+
+
 @query("snippet_windows")
 def snippet_windows(spark, sf_dir):
     return search.snippets(_docs(spark, sf_dir), ["with", "the of"])
