@@ -83,16 +83,21 @@ def replace_matches(text: Column, pattern: str, change) -> Column:
     return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
 
 
-def redact(text: Column, entropy_bits: float = ENTROPY_BITS) -> Column:
-    """Secrets replaced by ``[redacted:kind]``: six patterns, then tokens of high entropy."""
-    for kind, pattern in REDACTIONS:
-        text = F.regexp_replace(text, pattern, f"$1[redacted:{kind}]$3")
+def redact_entropy(text: Column, entropy_bits: float = ENTROPY_BITS) -> Column:
+    """Tokens of high entropy replaced, whatever patterns they hold by chance: a random token may contain ``/sk`` and sixteen letters."""
     hidden = F.lit("[redacted:private-key-words]")
     judged = lambda t: F.when(~looks_like_prose(t) & (shannon_entropy(t) >= entropy_bits), hidden).otherwise(t)
     # as the variable of a function the text is replaced once, however often it is named
     return F.element_at(F.transform(F.array(text), lambda t: replace_matches(t, ENTROPY_TOKEN, judged)), 1)
 
 
+def redact(text: Column, entropy_bits: float = ENTROPY_BITS) -> Column:
+    """Secrets replaced by ``[redacted:kind]``: six patterns, then tokens of high entropy."""
+    for kind, pattern in REDACTIONS:
+        text = F.regexp_replace(text, pattern, f"$1[redacted:{kind}]$3")
+    return redact_entropy(text, entropy_bits)
+
+
 # --- refusals and structured answers ----------------------------------------------
 
 #: What a refusal looks like.

@@ -50,6 +50,13 @@ def test_redaction(spark, text, shown):
     assert one(spark, lambda x: fx.redact(x), x=text) == shown
 
 
+def test_entropy_alone_judges_a_random_token(spark):
+    token = "xQKjprISru2RYNWSfyrRBzZu+sk7dLm9wPqEaXcVbT3hJ="  # "sk" and sixteen letters stand in it by chance
+    assert one(spark, lambda x: fx.redact_entropy(x), x=f"a {token} b") == "a [redacted:private-key-words] b"
+    assert "[redacted:api-token]" in one(spark, lambda x: fx.redact(x), x=f"a {token} b")
+    assert one(spark, lambda x: fx.redact_entropy(x), x=None) is None
+
+
 @pytest.mark.parametrize(
     "raw, tag",
     [("Spark SQL", "spark-sql"), ("#parity-exploration-202609", "parity-exploration"), ("code", None), ("claude-opus-4-5", None), ("v12", None), ("x", None), ("gpt-6-astra", None)],
