@@ -12,7 +12,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +30,8 @@ FOLDED = {a: b for a, b in ACCENTED if a != b and a == a.lower()}
 MARKS = "".join(map(chr, range(0x300, 0x370)))
 K1 = 1.2
 B = 0.75
+#: How stems of a query may be written, by stem; a stem that isn't named is found in all its forms.
+Forms = Mapping[str, Sequence[str]]
 #: The weight of a term that more than half of the documents hold.
 FLOOR_IDF = 1e-6
 
@@ -82,12 +84,12 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(TERM), F.lit(0))
 
 
-def stems(text: Column) -> Column:
-    """The terms of a text as stems, in their places."""
-    return porter.stemmed(terms(text))
+def stems(text: Column, forms: Forms | None = None) -> Column:
+    """The terms of a text as stems, in their places; empty where a stem of ``forms`` is written in another way."""
+    return porter.stemmed(terms(text), forms)
 
 
-def _counted(text: Column, wanted: Sequence[Sequence[str]]) -> Column:
+def _counted(text: Column, wanted: Sequence[Sequence[str]], forms: Forms | None = None) -> Column:
     """struct(dl, tf0, tf1 ...): terms of the text, and how often it holds each sequence of stems.
 
     The terms are the variable of a function, so that they are cut once.
@@ -110,7 +112,7 @@ def _counted(text: Column, wanted: Sequence[Sequence[str]]) -> Column:
     def all_counts(t: Column) -> Column:
         return F.struct(F.size(t).alias("dl"), *[count(t, w).alias(f"tf{i}") for i, w in enumerate(wanted)])
 
-    return F.element_at(F.transform(F.array(stems(text)), all_counts), 1)
+    return F.element_at(F.transform(F.array(stems(text, forms)), all_counts), 1)
 
 
 def documents(msgs: DataFrame) -> DataFrame:
@@ -156,13 +158,14 @@ def index_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(docs: DataFrame, wanted: Sequence[str]) -> DataFrame:
+def bm25(docs: DataFrame, wanted: Sequence[str], forms: Forms | None = None) -> DataFrame:
     """(session_id, ordinal, score) of documents that hold all atoms of the query; lower is better.
 
-    An atom of several terms is a phrase and counts where they stand side by side.
+    An atom of several terms is a phrase and counts where they stand side by side. Words are found by their stems; ``forms``
+    narrows a stem to the forms that are meant.
     """
     phrases = stems_of(wanted)
-    held = docs.select("session_id", "ordinal", _counted(F.col("text"), phrases).alias("__c")).select("session_id", "ordinal", "__c.*")
+    held = docs.select("session_id", "ordinal", _counted(F.col("text"), phrases, forms).alias("__c")).select("session_id", "ordinal", "__c.*")
     held = checkpoint(held)  # ids and counts, read for the totals and again for the scores, so that texts are cut once
     dfs = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]
     totals = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *dfs)
@@ -180,9 +183,9 @@ def scored(held: DataFrame, totals: DataFrame, n: int) -> DataFrame:
     return held.filter(every).join(F.broadcast(totals)).select("session_id", "ordinal", score.alias("score"))
 
 
-def phrase_matches(docs: DataFrame, phrase: str) -> DataFrame:
+def phrase_matches(docs: DataFrame, phrase: str, forms: Forms | None = None) -> DataFrame:
     """Documents that hold the phrase's terms side by side, with how often."""
-    hits = _counted(F.col("text"), stems_of([phrase]))["tf0"]
+    hits = _counted(F.col("text"), stems_of([phrase]), forms)["tf0"]
     return docs.select("session_id", "ordinal", hits.alias("hits")).filter("hits > 0")
 
 

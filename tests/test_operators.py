@@ -60,6 +60,15 @@ def test_words_are_found_in_all_their_forms(spark):
     assert found("run") == found("Running") == [0, 1, 2] and found("oscillate") == [5, 6] and found('"generally oscillator"') == [6]
 
 
+def test_a_stem_is_narrowed_to_written_forms(spark):
+    texts = ["a run over", "running over", "runs over", "run ran over"]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "session_id long, ordinal int, text string")
+    forms = {"run": ("run", "runs")}
+    assert sorted(r.session_id for r in search.bm25(docs, ["Runs"], forms).collect()) == [0, 2, 3]
+    assert sorted(r.session_id for r in search.phrase_matches(docs, "run over", forms).collect()) == [0, 2]
+    assert search.phrase_matches(docs, "run over").count() == 3
+
+
 def test_stems_of_published_pairs():
     pairs = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
     conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky
