@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.operators.graph import scratch_dir
 from skeinlake.plans.registry import query, table
+from skeinlake.plans.trees import new_root, write_tree
 from skeinlake.sources import databases, jsonl, prime
 
 
-def new_root(spark: SparkSession, name: str) -> str:
-    root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
-
-
-def write_tree(rows: DataFrame, root: str) -> None:
-    """Files of lines (file, place, line), in folders of their own."""
-
-    def write(group: pa.Table) -> pa.Table:
-        from pyarrow import fs
-
-        name = group.column("file")[0].as_py()
-        store, path = fs.FileSystem.from_uri(f"{root}/{name}")
-        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        lines = [x for _, x in sorted(zip(group.column("place").to_pylist(), group.column("line").to_pylist(), strict=True))]
-        with store.open_output_stream(path) as out:
-            out.write(("\n".join(lines) + "\n").encode())
-        return pa.table({"file": pa.array([name], pa.string())})
-
-    rows.select("file", "place", "line").groupBy("file").applyInArrow(write, "file string").write.format("noop").mode("overwrite").save()
-
-
 def _json(*fields: tuple[str, Column]) -> Column:
     """A JSON object of fields whose values are JSON already; null ones are left out."""
     parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in fields]

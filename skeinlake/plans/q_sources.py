@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 from skeinlake.operators import continuity, publish, sessions
 from skeinlake.operators.graph import scratch_dir
 from skeinlake.plans.q_sessions import MSGS, msgs
+from skeinlake.plans import trees
 from skeinlake.plans.registry import query, table
 from skeinlake.sources import exports, jsonl, rollouts
 from skeinlake.streaming import capture
 
 
+#: Folders of the transcripts that are written.
+FOLDERS = 64
+
+
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as JSON lines in one folder per session, read back as complete lines."""
+    """Conversations as JSON lines in one file per session, read back as complete lines.
+
+    Files lie in ``FOLDERS`` folders: a folder for each took most of the time, in making, moving and listing them.
+    """
     c = table(spark, sf_dir, "conversations")
     k, t = F.col("conv_id"), F.col("turn")
     own = F.concat(F.lit("s"), k.cast("string"))
@@ -30,12 +38,10 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',"message":{"role":"'), F.col("role"), F.lit('","content":'), raw, F.lit("}}"),
     )
     line = F.when((k % 11 == 7) & (t == 1), F.lit('{"type": broken')).otherwise(line)
-    folder = f"{scratch_dir(spark)}/transcripts-{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = c.select(own.alias("session"), t.alias("turn"), line.alias("value")).repartition(parts, "session").sortWithinPartitions("session", "turn")
-    rows.select("session", "value").write.partitionBy("session").text(folder)
-    lines = jsonl.complete_lines(spark, folder)
-    return lines.withColumn("path", F.concat(F.regexp_extract("path", r"session=([^/]+)/", 1), F.lit(".jsonl")))
+    root = trees.new_root(spark, "transcripts")
+    file = F.concat(F.pmod(F.xxhash64(own), F.lit(FOLDERS)).cast("string"), F.lit("/"), own, F.lit(".jsonl"))
+    trees.write_tree(c.select(file.alias("file"), t.cast("long").alias("place"), line.alias("line")), root)
+    return jsonl.complete_lines(spark, root).withColumn("path", F.regexp_extract("path", r"([^/]+)$", 1))
 
 
 @query("jsonl_record_kinds", f"""WITH {MSGS} SELECT 's' || session_id || '.jsonl' AS path, CASE WHEN session_id % 11 = 7 AND ordinal = 1 THEN 'unclassified' ELSE record_kind END AS record_kind, count(*) AS n, sum(CASE WHEN session_id % 11 = 7 AND ordinal = 1 THEN 0 ELSE length(text) END)::BIGINT AS chars FROM msgs GROUP BY 1, 2""")
