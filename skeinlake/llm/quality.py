@@ -135,9 +135,10 @@ def leading_axes(weighed: np.ndarray, count: int) -> np.ndarray:
     """The right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
     start = np.random.default_rng(5).normal(size=(weighed.shape[1], min(count + 16, *weighed.shape)))
     q = np.linalg.qr(start)[0]
+    parts = [slice(at, at + BLOCK) for at in range(0, len(weighed), BLOCK)]  # only one is held in doubles at a time
     for _ in range(8):
-        q = np.linalg.qr(weighed.T @ (weighed @ q))[0]
-    inside = weighed @ q
+        q = np.linalg.qr(sum(w.T @ (w @ q) for w in (weighed[p].astype(np.float64) for p in parts)))[0]
+    inside = np.concatenate([weighed[p].astype(np.float64) @ q for p in parts])
     _, turned = np.linalg.eigh(inside.T @ inside)
     return q @ turned[:, ::-1][:, :count]
 
@@ -180,12 +181,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensio
     if not rows:
         return Model(np.zeros(N_TERMS - 3), np.zeros((N_TERMS, 1)), np.zeros((0, 1)), np.zeros(0), prior)
     rows.sort(key=lambda r: (r.quality, r.terms))
-    counts = np.frombuffer(b"".join(r.terms for r in rows), np.float32).reshape(-1, N_TERMS)
-    seen = (counts[:, :-3] > 0).sum(axis=0)
+    # the driver holds the counts once, as they came, and the weighed rows once; all else goes by blocks
+    blocks = [range(at, min(at + BLOCK, len(rows))) for at in range(0, len(rows), BLOCK)]
+    counts = lambda block: np.stack([np.frombuffer(rows[i].terms, np.float32) for i in block])
+    seen = sum((counts(b)[:, :-3] > 0).sum(axis=0) for b in blocks)
     model = Model(np.log((1 + len(rows)) / (1 + seen)) + 0.1, np.eye(N_TERMS, 1), np.zeros((0, 1)), np.array([r.quality for r in rows], float), prior)
-    weighed = model.weigh(counts).astype(np.float64)
-    model.axes = leading_axes(weighed, min(dimensions, len(rows))).astype(np.float32)
-    model.vectors = model.embed(counts)
+    weighed = np.empty((len(rows), N_TERMS), np.float32)
+    for b in blocks:
+        weighed[b.start : b.stop] = model.weigh(counts(b))
+    rows.clear()
+    model.axes = leading_axes(weighed, min(dimensions, len(weighed))).astype(np.float32)
+    model.vectors = _unit(weighed @ model.axes)
     return model
 
 

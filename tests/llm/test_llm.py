@@ -527,6 +527,17 @@ def test_scores_are_votes_of_the_nearest(spark, docs, local):
         assert score == pytest.approx((weight * model.votes[top]).sum() / weight.sum(), abs=1e-3)
 
 
+def test_leading_axes_hold_no_copy_in_doubles():
+    import tracemalloc
+
+    x = np.random.default_rng(3).normal(size=(4096, 1024)).astype(np.float32)
+    tracemalloc.start()
+    axes = quality.leading_axes(x, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert axes.shape == (1024, 6) and peak < x.nbytes
+
+
 def test_quality_terms_and_axes():
     one = quality.terms("{")
     assert one[int(quality.CLASS_OF[ord("{")]) * (quality.N_CLASSES + 1)] == 1 and one[: quality.N_PAIRS].sum() == 1
