@@ -228,3 +228,15 @@ def test_completions_are_taken_in_order(spark):
     assert got(done(("f", 3, 0, "assistant", "same", None), ("f", 4, 0, "assistant", "same", None), ("f", 5, 0, "assistant", "same", None))) == [1, 2]
     assert got(done(("f", 3, 0, "assistant", "same", "unknown"))) == [2]
     assert got(done(("f", 0, 0, "assistant", "x", "r2"), ("f", 3, 0, "assistant", "same", None))) == [1, 2]
+
+
+def test_transcripts_share_folders(spark):
+    """Sessions don't have a folder each, and reading leaves the session's settings as they were."""
+    from skeinlake.plans import q_sources
+
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    lines = q_sources._transcripts(spark, "/root/testdata/sf0.01")
+    folders = {f.rsplit("/", 2)[1] for f in lines.inputFiles()}
+    assert len(folders) <= q_sources.FOLDERS < lines.select("path").distinct().count()
+    assert spark.conf.get(key) == before
