@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinlake.functions import text as fx
+from skeinlake.operators.graph import checkpoint
 
 WINDOW = 3
 MIN_UNITS = 3
 MAX_EPISODES = 40
 THRESHOLD = 3
 COMMON = 0.2
+#: Units whose words one task counts.
+UNITS_PER_TASK = 1000
 #: Fixed value: phrases that announce another topic.
 CUE = r"(?i)^(new topic|different (question|topic)|unrelated|switching|changing gears|ok next|next up|next:|now let'?s|also,? (can|could|what)|btw\b|random q)"
 
@@ -35,41 +38,65 @@ def units(msgs: DataFrame) -> DataFrame:
     return grouped.select("session_id", place.alias("unit"), F.col("p")[0]["ordinal"].alias("ordinal"), F.col("p")[0]["text"].alias("human"), grow.alias("context"))
 
 
+def tasks_of(unit: DataFrame) -> tuple[int, int]:
+    """How many units there are, and to how many tasks their words are dealt, so that a task's words don't grow with the table.
+
+    Deal behind a join, as Spark takes the other side's partitions for one before it.
+    """
+    n = unit.count()
+    return n, max(int(unit.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // UNITS_PER_TASK))
+
+
 def document_frequency(unit: DataFrame) -> DataFrame:
     """(word, df): units that hold the word."""
     words = unit.select(F.explode(F.array_distinct(fx.topic_words(F.col("context")))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-def tfidf(terms: DataFrame, df: DataFrame, n: Column, keys: list[str]) -> DataFrame:
+def inverse_frequency(tf: DataFrame, df: DataFrame, n: int, tasks: int) -> DataFrame:
+    """Rows of ``tf`` (with word) and ``idf``, ln((n + 1) / (df + 1)), without the words that more than a fifth of the units hold.
+
+    Those are few, at most five times the words of a unit, and go first, so that no word's rows weigh down a task.
+    """
+    common = F.broadcast(df.filter(F.col("df") > n * COMMON).select("word"))
+    rest = tf.join(common, "word", "left_anti").repartition(tasks, "word")
+    idf = F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1))
+    return rest.join(df.filter(F.col("df") <= n * COMMON), "word", "left").select(*tf.columns, idf.alias("idf"))
+
+
+def _weight(tf: Column) -> Column:
+    return (1 + F.log(tf)) * F.col("idf")
+
+
+def tfidf(terms: DataFrame, df: DataFrame, n: int, tasks: int, keys: list[str]) -> DataFrame:
     """(keys..., word, weight) from rows (keys..., word): (1 + ln tf) ln((n + 1) / (df + 1)).
 
-    Words that more than a fifth of the units hold are left out.
+    Words that more than a fifth of the units hold are left out. Terms that are dealt by one of the keys stay where they are to be counted;
+    ``df`` is read twice.
     """
     tf = terms.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
-    joined = tf.join(df, "word", "left").withColumn("df", F.coalesce("df", F.lit(0))).filter(F.col("df") <= n * COMMON)
-    weight = (1 + F.log("tf")) * F.log((n + 1) / (F.col("df") + 1))
-    return joined.select(*keys, "word", weight.alias("weight"))
+    return inverse_frequency(tf, df, n, tasks).select(*keys, "word", _weight(F.col("tf")).alias("weight"))
 
 
 def neighbour_similarity(unit: DataFrame) -> DataFrame:
     """(session_id, unit, similarity) of the units before and from each gap, WINDOW on each side.
 
-    A gap needs two units on each side.
+    A gap needs two units on each side. Words are counted once for each unit, and only what is left of them is spread to the gaps around.
     """
-    n = unit.count()
-    words = unit.select("session_id", "unit", F.explode(fx.topic_words(F.col("context"))).alias("word"))
-    df = document_frequency(unit)
+    n, tasks = tasks_of(unit)
     sizes = unit.groupBy("session_id").agg(F.count(F.lit(1)).alias("units"))
-    spread = words.select(
-        "session_id", "word", F.explode(
-            F.transform(F.sequence(F.lit(1 - WINDOW), F.lit(WINDOW)), lambda d: F.struct((F.col("unit") + d).alias("gap"), F.when(d <= 0, "after").otherwise("before").alias("part")))
-        ).alias("g"),
-    ).select("session_id", "word", F.col("g.gap").alias("gap"), F.col("g.part").alias("part"))
-    spread = spread.join(sizes, "session_id").filter((F.col("gap") >= 2) & (F.col("units") - F.col("gap") >= 2))
-    weights = tfidf(spread, df, F.lit(n), ["session_id", "gap", "part"])
-    side = lambda p: F.coalesce(F.max(F.when(F.col("part") == p, F.col("weight"))), F.lit(0.0))
-    pairs = weights.groupBy("session_id", "gap", "word").agg(side("before").alias("a"), side("after").alias("b"))
+    dealt = unit.select("session_id", "unit", "context").join(sizes, "session_id").repartition(tasks, "session_id")
+    words = dealt.select("session_id", "unit", "units", F.explode(fx.topic_words(F.col("context"))).alias("word"))
+    tf = checkpoint(words.groupBy("session_id", "unit", "units", "word").agg(F.count(F.lit(1)).alias("tf")))
+    df = checkpoint(tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    # a session of fewer units than a gap needs has none
+    told = inverse_frequency(tf.filter("units >= 4"), df, n, tasks).repartition(tasks, "session_id")
+    around = F.explode(F.sequence(F.lit(1 - WINDOW), F.lit(WINDOW))).alias("d")
+    spread = told.select("*", around).withColumn("gap", F.col("unit") + F.col("d")).filter((F.col("gap") >= 2) & (F.col("units") - F.col("gap") >= 2))
+    side = lambda before: F.sum(F.when((F.col("d") > 0) == before, F.col("tf")))
+    pairs = spread.groupBy("session_id", "gap", "word", "idf").agg(side(True).alias("a"), side(False).alias("b"))
+    none = F.lit(0.0)
+    pairs = pairs.select("session_id", "gap", F.coalesce(_weight(F.col("a")), none).alias("a"), F.coalesce(_weight(F.col("b")), none).alias("b"))
     sums = pairs.groupBy("session_id", "gap").agg(
         F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("na"), F.sum(F.col("b") * F.col("b")).alias("nb")
     )
@@ -118,16 +145,16 @@ def episodes(unit: DataFrame, scores: DataFrame, threshold: int = THRESHOLD) ->
 
     sizes = unit.groupBy("session_id").agg(F.count(F.lit(1)).alias("units"))
     rows = sizes.join(scores, "session_id", "left").withColumns({"unit": F.coalesce("unit", F.lit(0)), "score": F.coalesce("score", F.lit(0))})
-    return rows.groupBy("session_id").applyInPandas(cut, "session_id long, episode int, first_unit int, last_unit int")
+    return rows.repartition(tasks_of(unit)[1], "session_id").groupBy("session_id").applyInPandas(cut, "session_id long, episode int, first_unit int, last_unit int")
 
 
 def keywords(unit: DataFrame, episode: DataFrame, most: int = 4) -> DataFrame:
     """(session_id, episode, rank, word): best words of each episode; the user's count double more."""
-    n = unit.count()
-    inside = unit.join(episode, "session_id").filter((F.col("unit") >= F.col("first_unit")) & (F.col("unit") <= F.col("last_unit")))
+    n, tasks = tasks_of(unit)
+    inside = unit.join(episode, "session_id").filter((F.col("unit") >= F.col("first_unit")) & (F.col("unit") <= F.col("last_unit"))).repartition(tasks, "session_id")
     words = F.flatten(F.array(fx.topic_words(F.col("human")), fx.topic_words(F.col("human")), fx.topic_words(F.col("context"))))
     told = inside.select("session_id", "episode", F.explode(words).alias("word"))
-    weights = tfidf(told, document_frequency(unit), F.lit(n), ["session_id", "episode"])
+    weights = tfidf(told, checkpoint(document_frequency(unit)), n, tasks, ["session_id", "episode"]).repartition(tasks, "session_id")
     place = F.row_number().over(Window.partitionBy("session_id", "episode").orderBy(F.col("weight").desc(), "word"))
     return weights.withColumn("rank", place).filter(F.col("rank") <= most).select("session_id", "episode", "rank", "word")
 

@@ -1,6 +1,7 @@
 """Operators on small frames: ties, cycles, torn files, greedy rules, streams."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,6 +230,19 @@ def test_greedy_segments_keep_three_units(spark):
     assert got == [(0, 3), (4, 6), (7, 9)]
 
 
+def test_words_of_more_units_meet_in_more_tasks(spark, monkeypatch):
+    """A task counts the words of so many units, however many there are; the similarities stay the same."""
+    rows = [(s, u, u, "", f"alpha{u // 3} beta{u} gamma{s} delta{u % 2} alpha{u // 3}") for s in range(8) for u in range(7)]
+    unit = spark.createDataFrame(rows, "session_id bigint, unit int, ordinal int, human string, context string")
+    told = lambda: {(r.session_id, r.unit): round(r.similarity, 9) for r in topics.neighbour_similarity(unit).collect()}
+    want = told()
+    monkeypatch.setattr(topics, "UNITS_PER_TASK", 3)
+    assert told() == want and len(want) == 8 * 4 and any(want.values())
+    episode = topics.episodes(unit, topics.boundary_scores(unit))
+    for df in (topics.neighbour_similarity(unit), topics.keywords(unit, episode)):
+        assert re.search(r"hashpartitioning\(session_id#\d+L?, 19\)", df._jdf.queryExecution().executedPlan().toString())
+
+
 def test_shape_order(spark):
     f = spark.createDataFrame([("agent", 99, 0), ("human", 9, 999), ("human", 20, 300), ("human", 20, 10), ("human", 20, 80)], "s string, h int, t int")
     shape = topics.shape(F.col("s"), F.col("h"), F.col("t"), F.lit(0), F.lit(0), F.lit(1))
