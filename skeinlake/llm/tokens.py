@@ -93,8 +93,12 @@ class Encoder:
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.by_piece else []
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> list[int]:
+        """The call that leaves out where in the text a token stands, which takes a third of the time."""
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self._ids(text)).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Remember pieces: encoded in one go, told apart by line breaks, which are pieces of their own."""
@@ -103,7 +107,7 @@ class Encoder:
         solid = [p for p in pieces if not p.isspace()]
         for at in range(0, len(solid), PIECES_AT_ONCE):
             some = solid[at : at + PIECES_AT_ONCE]
-            flat = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            flat = np.array(self._ids("\n".join(some)), "<u4")
             cuts = np.flatnonzero(flat == self.line_break[0])
             raw, starts, ends = flat.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(flat)]
             self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, starts, ends, strict=True))
@@ -113,13 +117,27 @@ class Encoder:
         out: list[bytes] = []
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             some = texts[at : at + TEXTS_AT_ONCE]
-            cut = [PIECES.findall(t) if self._is_plain(t) else None for t in some]
             if len(self.known) > MOST_PIECES:
                 self.known.clear()
-            if new := set().union(*filter(None, cut)).difference(self.known):
-                self._learn(list(new))
-            for text, pieces in zip(some, cut, strict=True):
-                out.append(self._whole(text) if pieces is None else b"".join(map(self.known.__getitem__, pieces)))
+            # each piece is looked up once; a text with new ones waits, and only those are filled in
+            waiting: list[tuple[int, list[str], list[bytes | None]]] = []
+            for text in some:
+                if not self._is_plain(text):
+                    out.append(self._whole(text))
+                    continue
+                pieces = PIECES.findall(text)
+                found = list(map(self.known.get, pieces))
+                try:
+                    out.append(b"".join(found))
+                except TypeError:  # None among them
+                    waiting.append((len(out), pieces, found))
+                    out.append(b"")
+            gaps = [[i for i, ids in enumerate(found) if ids is None] for _, _, found in waiting]
+            self._learn(list({pieces[i] for (_, pieces, _), own in zip(waiting, gaps, strict=True) for i in own}))
+            for (place, pieces, found), own in zip(waiting, gaps, strict=True):
+                for i in own:
+                    found[i] = self.known[pieces[i]]
+                out[place] = b"".join(found)
         return out
 
     def _is_plain(self, text: str) -> bool:

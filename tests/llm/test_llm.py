@@ -947,3 +947,26 @@ def test_mixing_is_repeatable(spark, docs):
     """Counts of copies don't depend on how the rows are dealt."""
     a, b = mixing.mix(docs).select("doc_id", "copy", "position"), mixing.mix(docs.repartition(7)).select("doc_id", "copy", "position")
     assert rows(a.toPandas()) == rows(b.toPandas())
+
+
+def test_pieces_are_encoded_without_places_in_the_text():
+    """The tokenizer is asked once for each new piece, by the call that tells ids only; ids are those of whole texts, also when the memory starts anew."""
+
+    class IdsOnly:
+        def __init__(self, inner):
+            self.inner, self.asked = inner, []
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            self.asked += texts
+            return self.inner.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    made = tokens.Encoder(tokens.default_tokenizer())
+    whole = made.tokenizer
+    made.tokenizer = IdsOnly(whole)
+    texts = ["one two  three\n\n four", "two three, one's 42 zwölf", "", "три 四 one", "one two  three\n\n four five "]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert made.encode(texts) == want
+    asked = len(made.tokenizer.asked)
+    assert made.encode(texts[:3]) == want[:3] and len(made.tokenizer.asked) == asked
+    made.known.clear()
+    assert made.encode(texts) == want
