@@ -27,6 +27,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """As a side that joins by a shuffle: in rounds over all sessions, each broadcast would go through the driver."""
+    return df.hint("merge")
+
+
 def claim_status(sessions: DataFrame, claims: DataFrame) -> DataFrame:
     """(child, parent, status): unresolved, self_invalid, cycle_invalid or resolved.
 
@@ -35,7 +40,7 @@ def claim_status(sessions: DataFrame, claims: DataFrame) -> DataFrame:
     lies on a cycle, and only the edges of those members are invalid.
     """
     known = sessions.select(F.col("session_id").alias("__k"))
-    base = claims.select("child", "parent").join(known, F.col("parent") == F.col("__k"), "left")
+    base = claims.select("child", "parent").join(shuffled(known), F.col("parent") == F.col("__k"), "left")
     status = F.when(F.col("child") == F.col("parent"), "self_invalid").when(F.col("__k").isNull(), "unresolved")
     flagged = checkpoint(base.select("child", "parent", status.alias("status")))
     reach = flagged.filter(F.col("status").isNull()).select("child", F.col("parent").alias("at"))
@@ -45,9 +50,9 @@ def claim_status(sessions: DataFrame, claims: DataFrame) -> DataFrame:
         if reach.isEmpty():
             break
         ahead = reach.select(F.col("child").alias("__c"), F.col("at").alias("__a"))
-        reach = checkpoint(reach.join(ahead, reach["at"] == ahead["__c"]).select("child", F.col("__a").alias("at")))
+        reach = checkpoint(reach.join(shuffled(ahead), reach["at"] == ahead["__c"]).select("child", F.col("__a").alias("at")))
     cyclic = reach.select(F.col("at").alias("__cy")).distinct()
-    joined = flagged.join(cyclic, F.col("child") == F.col("__cy"), "left")
+    joined = flagged.join(shuffled(cyclic), F.col("child") == F.col("__cy"), "left")
     final = F.coalesce("status", F.when(F.col("__cy").isNotNull(), "cycle_invalid"), F.lit("resolved"))
     return joined.select("child", "parent", final.alias("status"))
 
@@ -72,10 +77,10 @@ def chains(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             break
         before = state
         other = label.select(F.col("a").alias("b"), F.col("label").alias("other"))
-        around = both.join(other, "b").groupBy("a").agg(F.min("other").alias("m"))
-        low = label.join(around, "a").select("a", F.least("label", "m").alias("label"))
+        around = both.join(shuffled(other), "b").groupBy("a").agg(F.min("other").alias("m"))
+        low = label.join(shuffled(around), "a").select("a", F.least("label", "m").alias("label"))
         jump = low.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        label = low.join(jump, "label", "left").select("a", F.least("label", F.coalesce("up", "label")).alias("label"))
+        label = low.join(shuffled(jump), "label", "left").select("a", F.least("label", F.coalesce("up", "label")).alias("label"))
     else:
         raise RuntimeError(f"chains don't settle in {most_rounds} rounds")
     return label.select(F.col("a").alias("session_id"), F.col("label").alias("chain"))
@@ -105,7 +110,8 @@ def stable_chains(members: DataFrame, resolved: DataFrame, sess: DataFrame) -> D
     last. ``members`` (session_id, chain), ``resolved`` (child), ``sess`` (session_id, harness, native_id, last_activity, tok_total).
     """
     follows = resolved.select(F.col("child").alias("session_id"), F.lit(1).alias("__follows")).distinct()
-    rows = members.join(sess.select("session_id", "harness", "native_id", "last_activity", "tok_total"), "session_id").join(follows, "session_id", "left")
+    told = sess.select("session_id", "harness", "native_id", "last_activity", "tok_total")
+    rows = members.join(shuffled(told), "session_id").join(shuffled(follows), "session_id", "left")
     newest = F.struct(F.col("last_activity").isNull(), -F.col("last_activity"), "native_id")
     made = rows.groupBy("chain").agg(
         F.min(F.struct(F.coalesce("__follows", F.lit(0)), "native_id", "harness")).alias("r"), F.count(F.lit(1)).alias("members"), F.min("last_activity").alias("first_activity"),

@@ -190,7 +190,7 @@ def filter_chain_key(spark, sf_dir):
     rows, members, keyed = _chained(spark, sf_dir)
     largest = keyed.orderBy(F.desc("members"), "stable_key").first()
     chosen = filters.SessionFilter(chain_key=largest["stable_key"] if largest else "")
-    return filters.apply(rows.join(members, "session_id", "left"), chosen, chains=keyed).select("session_id", "native_id")
+    return filters.apply(rows.join(graph.shuffled(members), "session_id", "left"), chosen, chains=keyed).select("session_id", "native_id")
 
 
 @query("chain_summary", f"""WITH {SESS}, m AS (SELECT session_id, session_id - session_id % 4 AS chain FROM sess)

@@ -230,6 +230,19 @@ def test_greedy_segments_keep_three_units(spark):
     assert got == [(0, 3), (4, 6), (7, 9)]
 
 
+def test_rounds_over_all_sessions_broadcast_nothing(spark):
+    """What is broadcast goes through the driver, round by round."""
+    known = spark.createDataFrame([(i,) for i in range(1, 9)], "session_id bigint")
+    claims = spark.createDataFrame([(2, 1), (3, 2), (5, 4), (6, 7), (7, 6), (8, 8), (4, 99)], "child bigint, parent bigint")
+    status = graph.claim_status(known, claims)
+    resolved = graph.checkpoint(status.filter("status = 'resolved'").select("child", "parent"))
+    members = graph.chains(resolved)
+    sess = known.select("session_id", F.lit("h").alias("harness"), F.concat(F.lit("n"), "session_id").alias("native_id"), F.lit(1).alias("last_activity"), F.lit(1).alias("tok_total"))
+    keyed = graph.stable_chains(members, resolved, sess)
+    assert sorted((r.chain, r.stable_key, r.members) for r in keyed.collect()) == [(1, "lineage-v1:h:n1", 3), (4, "lineage-v1:h:n4", 2)]
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in (status, members, keyed))
+
+
 def test_words_of_more_units_meet_in_more_tasks(spark, monkeypatch):
     """A task counts the words of so many units, however many there are; the similarities stay the same."""
     rows = [(s, u, u, "", f"alpha{u // 3} beta{u} gamma{s} delta{u % 2} alpha{u // 3}") for s in range(8) for u in range(7)]
