@@ -970,3 +970,39 @@ def test_pieces_are_encoded_without_places_in_the_text():
     assert made.encode(texts[:3]) == want[:3] and len(made.tokenizer.asked) == asked
     made.known.clear()
     assert made.encode(texts) == want
+
+
+def test_each_distinct_piece_is_looked_up_once():
+    """However often a batch repeats a piece; its ids are those of the whole texts, in groups of any size and with a small memory."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    made = tokens.Encoder(tokens.default_tokenizer())
+    texts = ["the same few words, again and again. " * 500] * 20
+    want = [np.array(made.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    made.known = Counted()
+    assert made.encode(texts) == want
+    assert made.known.asked < 100  # 90,000 pieces, 10 distinct ones
+
+
+def test_texts_are_cut_as_the_tokenizer_cuts_them(monkeypatch):
+    made = tokens.Encoder(tokens.default_tokenizer())
+    rng = np.random.default_rng(8)
+    letters = list("   \n\n\'\'\'stmdrevlab\u00e9\u00b3\u00df\u00bd1!.\u00ad\u00a1\u024f\u0100\u00d7")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 15))) for _ in range(4000)]
+    texts += ["", "", "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x250)])), "nul\0 inside", "tab\tinside", "<|endoftext|>", "\u4e09 three's"]
+    want = [np.array(made.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert made.encode(texts) == want
+    monkeypatch.setattr(tokens, "CHARS_AT_ONCE", 50)
+    monkeypatch.setattr(tokens, "MOST_PIECES", 40)
+    made.known.clear()
+    assert made.encode(texts) == want and len(made.known) <= 40 and made.encode([]) == []
