@@ -49,7 +49,7 @@ BLOCKS_AT_ONCE = 64
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
 MOST_PIECES = 1_500_000
 #: About how many characters of text are cut together, or the text that reaches beyond.
-CHARS_AT_ONCE = 8 << 20
+CHARS_AT_ONCE = 2 << 20
 #: Characters for which every regular expression engine agrees what a letter,
 #: a number and a space is; other texts go to the tokenizer as they are.
 PLAIN = re.compile("[\n\x20-\x7e\xa1-\u024f]*")
@@ -157,7 +157,8 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         counts = sizes[which]
         stops = np.cumsum(counts)
-        places = np.repeat((np.cumsum(sizes) - sizes)[which] - stops + counts, counts) + np.arange(stops[-1])
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - stops + counts, counts)
+        places += np.arange(len(places))
         ids = np.frombuffer(b"".join(found), "<u4")[places].tobytes()
         ends = 4 * stops[which == distinct.index(CLOSE)]
         return [ids[a:b] for a, b in pairwise([0, *ends.tolist()])]
