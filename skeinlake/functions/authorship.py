@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,10 +55,14 @@ INJECTED = [
     r"^Your claude\.ai usage limit has reset",
     r"^\[Request interrupted by user",
 ]
+#: Where a word of ASCII letters, digits and _ begins or ends; Java's own edge takes other letters for parts of words.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+#: Spaces that are trimmed before a voice is judged.
+SPACES = "\x20\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Openings and marks of dispatched briefs and of people.
-BRIEF_VERBS = r'^"?(Read|Implement|Work|Execute|Land|Build|Fix|Review|Audit|Create|Investigate|Plan|Write|Add|Update|Run|Use|Continue|Redispatch|Verify|Port|Refactor|Migrate)\b'
-GREETING = r"(?i)^(hi|hey|hello|yo|moshi|okay|ok|hmm|so|wait|lol|pls|please|can you|could you|do you|what|why|how|is|are|did|does|yes|no|nah|yeah|ehh+|oh)\b"
-BRIEF_PLACES = r"(?i)docs/briefs|brief (is )?at\b|your (complete |full )?brief|execute (it|that lane|this lane)"
+BRIEF_VERBS = r'^"?(Read|Implement|Work|Execute|Land|Build|Fix|Review|Audit|Create|Investigate|Plan|Write|Add|Update|Run|Use|Continue|Redispatch|Verify|Port|Refactor|Migrate)' + EDGE
+GREETING = r"(?iu)^(hi|hey|hello|yo|moshi|okay|ok|hmm|so|wait|lol|pls|please|can you|could you|do you|what|why|how|is|are|did|does|yes|no|nah|yeah|ehh+|oh)" + EDGE
+BRIEF_PLACES = rf"(?i)docs/briefs|brief (is )?at{EDGE}|your (complete |full )?brief|execute (it|that lane|this lane)"
 
 
 def author_rule(text: Column) -> Column:
@@ -88,42 +94,46 @@ def human_text(prose: Column) -> Column:
     return F.when(F.startswith(text, F.lit("<command-name>")), command).when(~injected, F.nullif(text, F.lit("")))
 
 
-def voice(text: Column, typos: Column | None = None) -> tuple[Column, Column]:
-    """Scores (human, brief): how much a record sounds typed, and how much dispatched."""
+def voice(text: Column, typos: Column | None = None, rules: Collection[str] | None = None) -> tuple[Column, Column]:
+    """Scores (human, brief): how much a record sounds typed, and how much dispatched; a null text scores 0 in both.
+
+    With ``rules`` only those of these names count.
+    """
     typos = F.lit(0) if typos is None else typos
-    text = F.trim(F.coalesce(text, F.lit("")))
+    text = F.btrim(text, F.lit(SPACES))
     head = F.substring(text, 1, 400)
     letters = F.regexp_replace(head, "[^A-Za-z]", "")
     upper = F.length(F.regexp_replace(letters, "[^A-Z]", ""))
 
-    def points(*scored: tuple[Column, int]) -> Column:
+    def points(*scored: tuple[str, Column, int]) -> Column:
         total = F.lit(0)
-        for condition, n in scored:
-            total = total + F.when(condition, n).otherwise(0)
+        for name, condition, n in scored:
+            if rules is None or name in rules:
+                total = total + F.when(condition, n).otherwise(0)
         return total
 
     def lines(pattern: str) -> Column:
         return F.regexp_count(text, F.lit(pattern))
 
     human = points(
-        (typos >= 1, 2),
-        (typos >= 3, 1),
-        ((F.length(letters) >= 12) & (upper / F.greatest(F.length(letters), F.lit(1)) > 0.6), 2),
-        (text.rlike("^[a-z]"), 1),
-        (text.rlike(GREETING), 1),
-        (F.length(text) < 280, 1),
-        (F.contains(text, F.lit("?")), 1),
+        ("typo", typos >= 1, 2),
+        ("typos", typos >= 3, 1),
+        ("capitals", (F.length(letters) >= 12) & (upper / F.greatest(F.length(letters), F.lit(1)) > 0.6), 2),
+        ("lower", text.rlike("^[a-z]"), 1),
+        ("greeting", text.rlike(GREETING), 1),
+        ("short", F.length(text) < 280, 1),
+        ("question", F.contains(text, F.lit("?")), 1),
     )
     verb = text.rlike(BRIEF_VERBS)
     # fixed values: the patterns and points of both scores
     brief = points(
-        (verb, 1),
-        (head.rlike(r"\b(lane|LANE)\b"), 2),
-        (text.rlike(r"\b(Repo|Repository|Worktree|Branch|HEAD)\s*:"), 1),
-        (text.rlike(BRIEF_PLACES), 2),
-        (text.rlike(r"\bexactly\b") & verb, 1),
-        ((lines(r"(?m)^#{1,3} ") >= 2) | (lines(r"(?m)^\s*([-*]|\d+\.) ") >= 4), 1),
-        (F.length(text) > 800, 1),
-        ((typos == 0) & (F.length(text) > 300), 1),
+        ("verb", verb, 1),
+        ("lane", head.rlike(f"{EDGE}(lane|LANE){EDGE}"), 2),
+        ("repository", text.rlike(EDGE + r"(Repo|Repository|Worktree|Branch|HEAD)\s*:"), 1),
+        ("place", text.rlike(BRIEF_PLACES), 2),
+        ("exactly", text.rlike(f"{EDGE}exactly{EDGE}") & verb, 1),
+        ("lists", (lines(r"(?m)^#{1,3} ") >= 2) | (lines(r"(?m)^\s*([-*]|\d+\.) ") >= 4), 1),
+        ("long", F.length(text) > 800, 1),
+        ("faultless", (typos == 0) & (F.length(text) > 300), 1),
     )
     return human, brief

@@ -1,5 +1,6 @@
 """Every registered query against its DuckDB statement; the others must at least give rows."""
 
+import duckdb
 import pytest
 
 from skeinlake import plans
@@ -20,6 +21,19 @@ def test_same_as_oracle(spark, duck, name):
     assert_same(QUERIES[name](spark, SF), duck, ORACLES[name])
 
 
+def test_voice_scores_of_odd_texts(spark, tmp_path):
+    """Letters that end an ASCII word, other spaces, nulls, and rules that the SQL doesn't name."""
+    texts = [
+        "Doesí la", "doesí", "ſo what", "Oh, no", "oh_no", "ehhé", "\u00a0ok then\u3000", "\t ok", None, "", " ", "THIS IS ALL IN CAPITALS?", "Implement lane A exactly. Repo: x, your brief",
+        "# a\n# b\n" + "- item\n" * 50, "Fix " + "é" * 296, "\u2003" * 9 + "x" * 279, "x" * 801, "What?" + " " * 300,
+    ]
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert_same(QUERIES["voice_scores"](spark, str(tmp_path)), duck, ORACLES["voice_scores"])
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
