@@ -20,22 +20,21 @@ UNITS_PER_TASK = 1000
 CUE = r"(?i)^(new topic|different (question|topic)|unrelated|switching|changing gears|ok next|next up|next:|now let'?s|also,? (can|could|what)|btw\b|random q)"
 
 
-def units(msgs: DataFrame) -> DataFrame:
-    """(session_id, unit, ordinal, human, context): a user turn and the prose that answers it."""
+def units(msgs: DataFrame, longest: tuple[int, int] | None = None) -> DataFrame:
+    """(session_id, unit, ordinal, human, context): a user turn and the prose that answers it.
+
+    With ``longest`` a context takes so many characters of a user's text and of another at most, without it all of them.
+    """
     w = Window.partitionBy("session_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     turn = F.sum(F.when(F.col("side") == "user", 1).otherwise(0)).over(w)
     told = msgs.filter(F.col("side").isNotNull()).withColumn("unit", turn).filter("unit > 0")
-    cut = F.when(F.col("side") == "user", F.substring("text", 1, 4000)).otherwise(F.substring("text", 1, 2000))
-    parts = F.array_sort(F.collect_list(F.struct("ordinal", cut.alias("text"))))
-    grouped = told.groupBy("session_id", "unit").agg(parts.alias("p"))
-    # prose is added while the context is shorter than 6000 characters
-    grow = F.aggregate(
-        F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))),
-        F.col("p")[0]["text"],
-        lambda s, x: F.when(F.length(s) < 6000, F.concat(s, F.lit("\n"), x["text"])).otherwise(s),
-    )
+    grouped = told.groupBy("session_id", "unit").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text", "side"))).alias("p"))
+    texts = F.col("p.text")
+    if longest is not None:
+        texts = F.transform("p", lambda x: F.substring(x["text"], 1, F.when(x["side"] == "user", longest[0]).otherwise(longest[1])))
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("unit")) - 1
-    return grouped.select("session_id", place.alias("unit"), F.col("p")[0]["ordinal"].alias("ordinal"), F.col("p")[0]["text"].alias("human"), grow.alias("context"))
+    first = F.col("p")[0]
+    return grouped.select("session_id", place.alias("unit"), first["ordinal"].alias("ordinal"), first["text"].alias("human"), F.array_join(texts, "\n").alias("context"))
 
 
 def tasks_of(unit: DataFrame) -> tuple[int, int]:
