@@ -28,3 +28,9 @@ def test_keywords_come_from_whole_texts(spark, long_texts):
     found = {(r.session_id, r["rank"]): r.word for r in plans.queries()["episode_keywords"](spark, long_texts).collect() if r.episode == 0}
     assert [found[s, 1] for s in range(12)] == [f"last{s}" for s in range(12)]
     assert [found[s, 2] for s in range(12)] == [f"topic{s}n0" for s in range(12)]
+
+
+def test_segments_come_from_whole_texts(spark, long_texts):
+    """Beginnings share no word, so a pause of an hour would cut; what follows is of one topic, so nothing is cut."""
+    found = plans.queries()["greedy_segments"](spark, long_texts).collect()
+    assert sorted((r.session_id, r.first_unit, r.last_unit) for r in found) == [(s, 0, 11) for s in range(12)]
