@@ -355,6 +355,53 @@ def test_lm_learns_order(spark):
     assert r.score > r.base_score + 50
 
 
+def lm_start(codes, n):
+    unigram = np.bincount(codes % lm.CLASSES, n, lm.CLASSES)
+    return lm.LogBilinear.start(unigram / unigram.sum()), unigram / unigram.sum()
+
+
+def test_lm_training_takes_every_token():
+    """Words that occur once among three million tokens are learned from as well."""
+    once = np.arange(2, 80)
+    codes = np.sort(np.r_[1, once] * lm.TOPICS * lm.CLASSES + 5)
+    n = np.where(codes // lm.CLASSES // lm.TOPICS == 1, 3_000_000, 1)
+    model, unigram = lm_start(codes, n)
+    before = model.context.copy()
+    model.learn(codes, n, unigram, 1)
+    changed = (model.context != before).any(axis=1)
+    assert changed[1:80].all() and not changed[80:].any()
+
+
+def test_lm_slopes_are_those_of_all_tokens():
+    """Token by token, each class as noise as often as expected; parts of the contexts add up."""
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(0, lm.CLASSES**3 * lm.TOPICS, 60))
+    n = rng.integers(1, 9, len(codes))
+    model, unigram = lm_start(codes, n)
+
+    def objective():
+        total, floor = 0.0, np.log(np.maximum(unigram, 1e-30) * lm.NOISE)
+        for code, times in zip(codes, n):
+            z, c1, c2 = code // lm.CLASSES % lm.TOPICS, code // lm.CLASSES // lm.TOPICS % lm.CLASSES, code // lm.CLASSES // lm.TOPICS // lm.CLASSES
+            h = model.first @ model.context[c1] + model.second @ model.context[c2] + model.third @ model.topic[z]
+            odds = np.clip(model.target @ h + model.bias - floor, -30, 30)
+            total += times * (-np.log1p(np.exp(-odds[code % lm.CLASSES])) - (lm.NOISE * unigram * np.log1p(np.exp(odds))).sum())
+        return total
+
+    found = model.gradients(codes, n, unigram)
+    halves = [a + b for a, b in zip(model.gradients(codes[:25], n[:25], unigram), model.gradients(codes[25:], n[25:], unigram))]
+    for p, g, both in zip(model.parts(), found, halves, strict=True):
+        assert np.allclose(g, both, rtol=1e-3, atol=1e-3)
+        for at in np.argsort(-np.abs(g).ravel())[:3]:
+            kept = p.flat[at]
+            p.flat[at] = kept + 1e-4
+            up = objective()
+            p.flat[at] = kept - 1e-4
+            down = objective()
+            p.flat[at] = kept
+            assert g.flat[at] == pytest.approx((up - down) / 2e-4, rel=1e-2)
+
+
 def test_lm_odd_input(spark, odd):
     got = lm.score(odd)
     assert got.count() == odd.count()
